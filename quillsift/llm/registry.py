@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from quillsift.llm import quality_rules
+from quillsift.llm import chat_format, license_scan, quality_rules
 
 
 def queries():
-    return {"op2_quality_rules": quality_rules.op2_quality_rules}
+    return {
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op4_license_scan": license_scan.op4_license_scan,
+        "op9_chat_formatting": chat_format.op9_chat_formatting,
+    }
 
 
 def oracle_sql():
-    return {"op2_quality_rules": quality_rules.oracle()}
+    return {
+        "op2_quality_rules": quality_rules.oracle(),
+        "op4_license_scan": license_scan.oracle(),
+        "op9_chat_formatting": chat_format.oracle(),
+    }
