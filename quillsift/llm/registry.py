@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from quillsift.llm import chat_format, license_scan, quality_rules
+from quillsift.llm import bpe, chat_format, fingerprint, html_extract, license_scan, packing, quality_rules, toxicity
 
 
 def queries():
     return {
+        "op1_bpe": bpe.op1_bpe,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_fingerprints": fingerprint.op3_fingerprints,
         "op4_license_scan": license_scan.op4_license_scan,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_html_extract": html_extract.op8_html_extract,
         "op9_chat_formatting": chat_format.op9_chat_formatting,
     }
 
