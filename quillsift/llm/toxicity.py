@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quillsift.llm.common import crc32_mod, table, whole_text
 
 #: Labelled texts of each class that are fitted at most (the documented bound of the sample).
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 SIZES = (3, 4, 5, 6)
 BITS = 20
 #: Features with the largest evidence that the model keeps.
@@ -76,11 +76,9 @@ def fit(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, float]:
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         return w, float(np.log(share / (1 - share)))
-    grams = [np.frombuffer(r[1], "<i4") for r in rows]
-    lengths = np.array([len(g) for g in grams])
-    flat = np.concatenate(grams)
-    toxic = np.repeat(y, lengths)
-    p, n = np.bincount(flat, toxic, 1 << BITS), np.bincount(flat, 1 - toxic, 1 << BITS)
+    p, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for label, grams in rows:  # one text at a time; a text's n-grams are distinct
+        (p if label else n)[np.frombuffer(grams, "<i4")] += 1
     n_pos, n_neg = y.sum(), len(y) - y.sum()
     ratio = np.log((p + SMOOTH) / (n_pos + 2 * SMOOTH)) - np.log((n + SMOOTH) / (n_neg + 2 * SMOOTH))
     # evidence: how far the toxic count lies from what the class shares would give
@@ -89,11 +87,11 @@ def fit(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, float]:
     evidence = np.where(total >= MIN_TEXTS, np.abs(p - total * share) / np.sqrt(total * share * (1 - share) + 1e-9), 0)
     keep = np.argsort(-evidence, kind="stable")[:FEATURES]
     keep = keep[evidence[keep] > 0]
-    column = np.full(1 << BITS, -1, np.int64)
-    column[keep] = np.arange(len(keep))
-    at = column[flat]
-    row = np.repeat(np.arange(len(y)), lengths)[at >= 0]
-    at = at[at >= 0]
+    column = np.full(1 << BITS, -1, np.int32)
+    column[keep] = np.arange(len(keep), dtype=np.int32)
+    some = [c[c >= 0] for c in (column[np.frombuffer(grams, "<i4")] for _, grams in rows)]
+    at = np.concatenate(some)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(c) for c in some])
     value = ratio[keep][at]
     # logistic regression, both classes of equal weight, by accelerated gradient steps
     weight = np.where(y == 1, 0.5 / n_pos, 0.5 / n_neg) * len(y)
