@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillsift.llm import bpe, chat_format, fingerprint, html_extract, license_scan, packing, quality_rules, toxicity
+from quillsift.llm import bpe, chat_format, fingerprint, html_extract, license_scan, packing, ppm, quality_rules, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_fingerprints": fingerprint.op3_fingerprints,
         "op4_license_scan": license_scan.op4_license_scan,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_lm_scoring": ppm.op6_lm_scoring,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_chat_formatting": chat_format.op9_chat_formatting,
