@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from quillsift.llm.common import table, whole_text
 
 MASK = (1 << 64) - 1
-#: Memo entries; beyond them the memo starts anew, so memory is bounded.
-MEMO_ENTRIES = 400_000
+#: Entries of each of the memo's two generations; a full one takes the place of the older one.
+MEMO_ENTRIES = 200_000
 #: Longer pre-tokens are not kept in the memo.
 MEMO_CHARS = 64
 
@@ -154,16 +154,21 @@ class Encoder(dict):
     def __init__(self, tables: Tables):
         super().__init__()
         self.t = tables
+        self.old: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(tables.pattern).findall
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        data = token.encode()
-        at = self.t.hash.find(data)
-        out = (self.t.ids[at],) if at is not None else tuple(merge(data, self.t.byte_ids, self.t.pairs))
-        if len(token) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[token] = out
+        out = self.old.get(token)
+        if out is None:
+            data = token.encode()
+            at = self.t.hash.find(data)
+            out = (self.t.ids[at],) if at is not None else tuple(merge(data, self.t.byte_ids, self.t.pairs))
+            if len(token) > MEMO_CHARS:
+                return out
+        if len(self) >= MEMO_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[token] = out
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -187,24 +192,37 @@ def broadcast_tables(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast(tables)
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) for each row: the ids of the whole text, without special tokens."""
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) for each row: the ids of the whole text, without special tokens.
+
+    With ``decoded`` also bytes: the ids decoded again in the same pass.
+    """
     tables = broadcast_tables(df.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(tables)
+        token = token_table(tables.value) if decoded else None
         for b in batches:
-            offsets, parts = [0], []
-            for text in b.column(1):
-                ids = np.array(enc.encode(text.as_py()), dtype=np.int32)
-                parts.append(ids)
-                offsets.append(offsets[-1] + len(ids))
-            flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
+            for s in range(0, b.num_rows, 1000):
+                part = b.slice(s, 1000)
+                offsets, parts, back = [0], [], []
+                for text in part.column(1):
+                    ids = enc.encode(text.as_py())
+                    parts.append(np.array(ids, dtype=np.int32))
+                    offsets.append(offsets[-1] + len(ids))
+                    if decoded:
+                        back.append(b"".join(map(token, ids)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *([pa.array(back, pa.binary())] * decoded)], ["doc_id", "ids", "bytes"][: 2 + decoded])
 
     rows = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", bytes binary" * decoded)
+
+
+def token_table(t: Tables):
+    """id -> bytes."""
+    return dict(zip(t.ids, t.tokens)).__getitem__
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -212,8 +230,7 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
     tables = broadcast_tables(df.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tables.value
-        token = dict(zip(t.ids, t.tokens)).__getitem__
+        token = token_table(tables.value)
         for b in batches:
             out = [b"".join(map(token, ids.values.to_numpy(zero_copy_only=False).tolist())) if ids.is_valid else b"" for ids in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
@@ -227,7 +244,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    d = decode(encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    d = encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
     return d.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
