@@ -105,20 +105,23 @@ _PLAIN = (
 )
 
 
-def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Count what the thresholds need; one row out for each row in."""
+def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
+    """Count what the thresholds need; one row out for each row in, with ``keep_row`` also the row itself as ``row``."""
+    row = ["row"] * keep_row
     words = r"[\x20\x09-\x0D]+"
     mask = PACKED_WORDS - 1
-    d = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("_text"))
+    d = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("_text"), *([F.struct(*df.columns).alias("row")] * keep_row))
     d = d.withColumn("_trim", F.btrim("_text", F.lit(SPACES)))
     d = d.select(
         "doc_id",
+        *row,
         "_trim",
         F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", words)).alias("_words"),
         F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0).alias("_lines"),
     )
     d = d.select(
         "doc_id",
+        *row,
         "_words",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
@@ -159,9 +162,9 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return d.withColumn("n_repeat_words", _covered("_at")).drop("_words", "_keys", "_rep", "_clash", "_at")
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=THRESHOLDS, keep_row: bool = False) -> DataFrame:
     """Measures, the base rule and the verdict of the threshold table for each row."""
-    d = measure(df, id_col, text_col)
+    d = measure(df, id_col, text_col, keep_row)
     d = d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return d.withColumn("kept", ~F.col("base_failed") & passes(thresholds))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quillsift.llm import bpe, chat_format, fingerprint, html_extract, license_scan, packing, ppm, quality_rules, toxicity
+import corpus_pipeline
+from quillsift.llm import bpe, chat_format, fingerprint, html_extract, license_scan, near_dedup, packing, ppm, quality_rules, toxicity
 
 
 def queries():
@@ -16,6 +17,8 @@ def queries():
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_chat_formatting": chat_format.op9_chat_formatting,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillsift.llm.common import crc32_mod, table, whole_text
 
@@ -115,21 +116,20 @@ def score_text(text: str, w: np.ndarray, known: np.ndarray, bias: float) -> floa
     return float(1 / (1 + np.exp(-np.clip(w[g].sum(dtype=np.float64) + bias, -50, 50))))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, further columns named in ``keep``) for each row."""
+def score_rows(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
+    """(row, score) for each row of ``docs``; row is a struct of all its columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("_scored"), *keep)
-    kinds = dict(rows.dtypes)
-    names = ["doc_id", "score", *keep]
+    at = docs.columns.index(text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
         known = w != 0
         for b in batches:
-            out = pa.array([score_text(t.as_py(), w, known, bias) for t in b.column(1)], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), out, *b.columns[2:]], names)
+            texts = b.column(0).field(at)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score_text(t.as_py() or "", w, known, bias) for t in texts], pa.float64())], ["row", "score"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {'double' if n == 'score' else kinds[n]}" for n in names))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
@@ -140,6 +140,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select(
+    return score_rows(docs.select("doc_id", "text"), model).select("row.doc_id", "score").select(
         "doc_id", (crc32_mod("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
