@@ -1,28 +1,14 @@
-"""Named queries of the library and the SQL they are checked against."""
+"""All named queries of the library and the SQL they are checked against."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-
-def exact_dup_groups(spark, sf_dir):
-    """Texts that occur more than once: how often, and how many rows are redundant."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return (
-        docs.groupBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("first_doc_id"))
-        .where("n_rows > 1")
-        .withColumn("n_redundant", F.col("n_rows") - 1)
-    )
+from quillsift.plans import corpus, similarity, visits  # noqa: F401  (they register their queries)
+from quillsift.plans.base import QUERIES, SQL
 
 
 def queries():
-    return {"exact_dup_groups": exact_dup_groups}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {
-        "exact_dup_groups": """
-SELECT md5(coalesce(text, '')) AS digest, count(*) AS n_rows, min(doc_id) AS first_doc_id, count(*) - 1 AS n_redundant
-FROM documents GROUP BY 1 HAVING count(*) > 1"""
-    }
+    return dict(SQL)
