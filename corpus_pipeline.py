@@ -39,7 +39,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     chosen = chosen.select(F.col("x.node").alias("_node"), F.coalesce("x.doc_id", no_id).alias("_id"))
     d = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_node"), F.coalesce(F.col("doc_id").cast("long"), no_id).alias("_id"))
     # the keys of the join are those of the duplicates, so rows meet without another shuffle
-    return d.join(chosen, ["_node", "_id"]).dropDuplicates(["_node", "_id"]).select(*docs.columns)
+    return d.join(chosen.hint("merge"), ["_node", "_id"]).dropDuplicates(["_node", "_id"]).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

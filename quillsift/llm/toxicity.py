@@ -5,7 +5,7 @@ scaled by the log ratio of its share in toxic and in other training texts; a
 logistic regression with L2 weights them.  Scores use the text only.
 
 Training fits on at most ``TRAIN_ROWS`` labelled texts of each class, taken by a
-hash of the id; only their hashed n-grams reach the driver.  N-grams that mark a
+hash of the id; what of them reaches the driver has a fixed size.  N-grams that mark a
 class are picked by evidence over those texts, so the model has a fixed size
 whatever the corpus and goes to the executors by broadcast.  Scoring is one scan.
 
@@ -17,6 +17,7 @@ repeated rows give repeated results; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsift.llm.common import crc32_mod, table, whole_text
+from quillsift.llm.common import crc32_mod, release, table, whole_text, written
 
 #: Labelled texts of each class that are fitted at most (the documented bound of the sample).
 TRAIN_ROWS = 2000
@@ -70,44 +71,71 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
     return one.mapInArrow(run, "toxic int, grams binary")
 
 
-def fit(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, float]:
-    """(weight of each hashed n-gram, intercept) from (label, n-grams) rows."""
-    w = np.zeros(1 << BITS, np.float32)
-    y = np.array([r[0] for r in rows], np.float64)
-    if not len(y) or y.min() == y.max():
-        share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-        return w, float(np.log(share / (1 - share)))
-    p, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for label, grams in rows:  # one text at a time; a text's n-grams are distinct
-        (p if label else n)[np.frombuffer(grams, "<i4")] += 1
-    n_pos, n_neg = y.sum(), len(y) - y.sum()
+def pick(p: np.ndarray, n: np.ndarray, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed n-grams with the most evidence, their log-count ratios) from the texts of each class that hold them."""
     ratio = np.log((p + SMOOTH) / (n_pos + 2 * SMOOTH)) - np.log((n + SMOOTH) / (n_neg + 2 * SMOOTH))
     # evidence: how far the toxic count lies from what the class shares would give
-    total = p + n
-    share = n_pos / len(y)
+    total = (p + n).astype(np.float64)
+    share = n_pos / (n_pos + n_neg)
     evidence = np.where(total >= MIN_TEXTS, np.abs(p - total * share) / np.sqrt(total * share * (1 - share) + 1e-9), 0)
     keep = np.argsort(-evidence, kind="stable")[:FEATURES]
     keep = keep[evidence[keep] > 0]
-    column = np.full(1 << BITS, -1, np.int32)
-    column[keep] = np.arange(len(keep), dtype=np.int32)
-    some = [c[c >= 0] for c in (column[np.frombuffer(grams, "<i4")] for _, grams in rows)]
-    at = np.concatenate(some)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(c) for c in some])
-    value = ratio[keep][at]
-    # logistic regression, both classes of equal weight, by accelerated gradient steps
+    return keep, ratio[keep]
+
+
+def regress(y: np.ndarray, features: list[np.ndarray], ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weight of each kept n-gram, intercept): logistic regression by accelerated gradient steps, classes of equal weight."""
+    at = np.concatenate(features).astype(np.int64)
+    row = np.repeat(np.arange(len(y)), [len(c) for c in features])
+    value = ratio[at]
+    n_pos, n_neg = y.sum(), len(y) - y.sum()
     weight = np.where(y == 1, 0.5 / n_pos, 0.5 / n_neg) * len(y)
     size = np.bincount(row, value**2, len(y))
     step = 1.0 / (0.25 * weight.max() * np.sort(size)[-max(1, len(y) // 50) :].mean() + L2)
-    beta, bias, before, b0 = np.zeros(len(keep)), 0.0, np.zeros(len(keep)), 0.0
+    beta, bias, before, b0 = np.zeros(len(ratio)), 0.0, np.zeros(len(ratio)), 0.0
     for k in range(300):
         m = k / (k + 3)
         v, c = beta + m * (beta - before), bias + m * (bias - b0)
         z = np.bincount(row, value * v[at], len(y)) + c
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         before, b0 = beta, bias
-        beta, bias = v - step * (np.bincount(at, value * g[row], len(keep)) + L2 * v), c - step * g.sum()
-    w[keep] = beta * ratio[keep]
-    return w, float(bias)
+        beta, bias = v - step * (np.bincount(at, value * g[row], len(ratio)) + L2 * v), c - step * g.sum()
+    return beta * ratio, float(bias)
+
+
+def counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Texts of each class per hashed n-gram, and of each class, over a sample of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, texts = np.zeros((2, 1 << BITS), np.uint16), [0, 0]
+        for b in batches:
+            for label, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen[label][np.frombuffer(grams, "<i4")] += 1  # a text's n-grams are distinct
+                texts[label] += 1
+        if any(texts):
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary()), pa.array([texts], pa.list_(pa.int64()))], ["seen", "texts"])
+
+    total, texts = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
+    for r in rows.mapInArrow(run, "seen binary, texts array<long>").toLocalIterator():
+        total += np.frombuffer(zlib.decompress(bytes(r.seen)), np.uint16).reshape(2, -1)
+        texts += r.texts
+    return total[1], total[0], int(texts[1]), int(texts[0])
+
+
+def kept_features(rows: DataFrame, keep: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(labels, the places in ``keep`` of each text's n-grams)."""
+    shared = rows.sparkSession.sparkContext.broadcast(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BITS, -1, np.int32)
+        place[shared.value] = np.arange(len(shared.value), dtype=np.int32)
+        for b in batches:
+            out = [place[np.frombuffer(g, "<i4")] for g in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(o[o >= 0]).tobytes() for o in out], pa.binary())], ["toxic", "at"])
+
+    # in an order that does not depend on how tasks finish
+    got = sorted((r.toxic, bytes(r["at"])) for r in rows.mapInArrow(run, "toxic int, at binary").toLocalIterator())
+    return np.array([x for x, _ in got], np.float64), [np.frombuffer(x, np.int32) for _, x in got]
 
 
 def score_text(text: str, w: np.ndarray, known: np.ndarray, bias: float) -> float:
@@ -133,8 +161,20 @@ def score_rows(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str =
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    # 2 * rows texts at most; their order does not depend on how tasks finish
-    return fit(sorted((r.toxic, bytes(r.grams)) for r in sample(docs, labels, rows).toLocalIterator()))
+    """(weight of each hashed n-gram, intercept); the driver holds counts per n-gram and the kept n-grams of 2 * rows texts."""
+    some = written(sample(docs, labels, rows), "sample")
+    w = np.zeros(1 << BITS, np.float32)
+    p, n, n_pos, n_neg = counts(some)
+    if not n_pos or not n_neg:
+        share = float(np.clip(n_pos / (n_pos + n_neg), 0.01, 0.99)) if n_pos + n_neg else 0.5
+        return w, float(np.log(share / (1 - share)))
+    keep, ratio = pick(p, n, n_pos, n_neg)
+    if not len(keep):
+        return w, 0.0
+    w[keep], bias = regress(*kept_features(some, keep), ratio)
+    del p, n
+    release()
+    return w, bias
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
