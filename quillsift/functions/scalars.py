@@ -75,11 +75,12 @@ def ramp(x, low: float, high: float) -> Column:
     """Linear ramp from low (0) to high (1), clipped; inverted if high < low, 0 if they are equal."""
     if low == high:
         return F.lit(0.0)
-    return F.greatest(F.least((c(x) - F.lit(low)) / F.lit(high - low), F.lit(1.0)), F.lit(0.0))
+    return clip01((c(x) - F.lit(low)) / F.lit(high - low))
 
 
 def clip01(x) -> Column:
-    return F.greatest(F.least(c(x), F.lit(1.0)), F.lit(0.0))
+    # greatest and least pass over nulls, so an unknown value is kept unknown
+    return F.when(c(x).isNotNull(), F.greatest(F.least(c(x), F.lit(1.0)), F.lit(0.0)))
 
 
 def saturating(n, scale: float) -> Column:

@@ -34,7 +34,8 @@ def wilson(k, n, z: float = Z95) -> tuple[Column, Column, Column]:
     mid = (p + F.lit(z * z) / (2 * safe)) / d
     half = F.lit(z) * F.sqrt(p * (1 - p) / safe + F.lit(z * z) / (4 * safe * safe)) / d
     zero = F.lit(0.0)
-    return F.coalesce(p, zero), F.coalesce(F.greatest(mid - half, zero), zero), F.coalesce(F.least(mid + half, F.lit(1.0)), zero)
+    known = lambda x: F.when(n > 0, x).otherwise(zero)  # noqa: E731  (greatest and least pass over nulls)
+    return known(p), known(F.greatest(mid - half, zero)), known(F.least(mid + half, F.lit(1.0)))
 
 
 def confusion_counts(truth, predicted) -> list[Column]:

@@ -62,7 +62,9 @@ def read_csv(spark: SparkSession, path: str, schema: str, glob: str | None = Non
 def parse_check(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(n_rows, n_bad) of a CSV: rows that do not fit the schema are counted, not dropped."""
     d = spark.read.option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(f"{schema}, _bad string").csv(path)
-    return d.select(F.col("_bad").isNotNull().alias("bad"), *[x for x in d.columns if x != "_bad"]).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("bad").alias("n_bad"))
+    # the reader parses only the columns that are used, so the check uses them all
+    used = F.to_json(F.struct(*[x for x in d.columns if x != "_bad"])).isNotNull()
+    return d.select(F.col("_bad").isNotNull().alias("bad"), used.alias("used")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("bad") & F.col("used")).alias("n_bad"))
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -114,9 +116,9 @@ def markdown_register(lines: DataFrame, states: list[str], line: str = "value",
     Rows with under four cells are not table rows; a state that is not listed fails.
     """
     cells = F.transform(F.filter(F.split(F.trim(line), r"\|"), lambda x: F.lit(True)), lambda x: F.trim(x))
-    d = lines.where(F.trim(line).startswith("|")).select(F.col(number).alias("n"), F.slice(cells, 2, F.size(cells) - 2).alias("cells"))
-    d = d.where((F.size("cells") >= 4) & ~F.col("cells")[0].rlike(r"^:?-+:?$") & (F.lower(F.col("cells")[0]) != "key"))
-    d = d.select("n", F.translate(F.col("cells")[0], "`", "").alias("key"), F.lower(F.col("cells")[2]).alias("state"), "cells")
+    d = lines.where(F.trim(line).startswith("|")).select(F.col(number).alias("n"), F.slice(cells, 2, F.greatest(F.size(cells) - 2, F.lit(0))).alias("cells"))
+    d = d.where((F.size("cells") >= 4) & ~F.get("cells", F.lit(0)).rlike(r"^:?-+:?$") & (F.lower(F.get("cells", F.lit(0))) != "key"))
+    d = d.select("n", F.translate(F.get("cells", F.lit(0)), "`", "").alias("key"), F.lower(F.get("cells", F.lit(2))).alias("state"), "cells")
     d = guarded(d, ~F.col("state").isin(*states), "a state that is not known")
     return d.groupBy("key").agg(F.max(F.struct("n", "state", "cells")).alias("m")).select("key", "m.state", "m.cells")
 

@@ -53,7 +53,7 @@ def visit_changes(stream: DataFrame, late: str = "2 days") -> DataFrame:
 def rate_limited(frames: DataFrame, key: str = "camera", gap_ms: int = 500, busy: str = "took_ms") -> DataFrame:
     """Frames that an analyser takes: ``gap_ms`` after the last run ended and none under way; others are dropped, never queued.
 
-    frames: key, at_ms, took_ms.  Works on a stream or a table; state is one row a key.
+    frames: a stream of key, at_ms, took_ms; state is one row a key.
     """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
