@@ -87,6 +87,7 @@ FORMS = (
     ("link", r"(?:opensource org|spdx org|choosealicense com) licen[cs]es {id}", "licenses", 0.9),
     ("subject", r"(?:subject to|governed by|see|accept|accompanying) (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?", "", 0.85),
     ("named", r"(?:the )?{name} licen[cs]e", "licen", 0.8),
+    ("titled", r"(?:the )?{name}", "", 0.75),
 )
 
 #: Rules written out by themselves: label, keyword, pattern, score.
@@ -119,8 +120,10 @@ def rules() -> list[Rule]:
     """All rules in order of priority, made from the tables above; the base phrases come first."""
     out = [Rule(label, "license", phrase, 0.6) for phrase, label in BASE]
     out += [Rule(label, kw, pattern, score) for label, kw, pattern, score in TEXTS]
-    for _, pattern, more, score in FORMS:
+    for form, pattern, more, score in FORMS:
         for label, kw, name, ident in FAMILIES:
+            if form == "titled" and " licen" not in name:
+                continue  # a bare name is no license
             keyword = more if "{id}" in pattern else kw
             out.append(Rule(label, keyword, pattern.replace("{name}", f"(?:{name})").replace("{id}", f"(?:{ident})"), score))
     return out
