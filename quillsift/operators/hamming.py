@@ -7,6 +7,8 @@ and a bit count decides.  Equal fingerprints are joined once, as one node.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,17 +63,30 @@ def owner_pairs(hashes: DataFrame, owner: str, column: str, limit: int) -> DataF
     return j.where("_a != _b").select(F.least("_a", "_b").alias("owner_a"), F.greatest("_a", "_b").alias("owner_b")).distinct()
 
 
+def majority_bits(hashes: pd.Series) -> pd.Series:
+    """Per row the 60-bit number whose bits most of the row's hashes have; null for no hashes."""
+    places = np.arange(60, dtype=np.int64)
+    out = []
+    for h in hashes:
+        if h is None or not len(h):
+            out.append(None)
+            continue
+        votes = np.zeros(60, np.int64)
+        for s in range(0, len(h), 8192):  # long texts in pieces
+            votes += ((np.asarray(h[s : s + 8192], np.int64)[:, None] >> places) & 1).sum(axis=0)
+        out.append(int(((2 * votes > len(h)).astype(np.int64) << places).sum()))
+    return pd.Series(out, dtype="Int64")
+
+
 def text_fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp): 60-bit SimHash of 3-word shingles by md5; null for texts without words.
 
-    Built-in expressions over one row's array, so no row is moved.
+    The shingles and their hashes are built-in expressions; the vote over bits is
+    a vectorised function, as it would take 60 passes over the hashes otherwise.
+    No row is moved.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+"), lambda w: w != "")
     d = df.select(F.col(id_col).alias("id"), words.alias("_w"))
     d = d.select("id", F.when(F.size("_w") > 0, F.transform(word_grams("_w"), lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 15), 16, 10).cast("long"))).alias("_h"))
-    def vote(k: int):
-        ones = F.aggregate("_h", F.lit(0).cast("long"), lambda s, h: s + F.shiftright(h, k).bitwiseAND(F.lit(1)))
-        return F.when(2 * ones > F.size("_h"), F.lit(1 << k)).otherwise(F.lit(0))
-
-    votes = [vote(k) for k in range(60)]
-    return d.select("id", F.when(F.col("_h").isNotNull(), sum(votes[1:], votes[0]).cast("long")).alias("fp"))
+    # marked as not deterministic, so that a later filter on fp is not moved below and made to repeat all of this
+    return d.select("id", F.pandas_udf(majority_bits, "long").asNondeterministic()("_h").alias("fp"))
