@@ -45,6 +45,10 @@ SKIP_NAMES = frozenset(
     "header masthead topbar footer copyright comment comments commentlist discussion disqus replies reply respond share sharing social related recommended "
     "recommendations widget toolbar pagination pager search hidden skip".split()
 )
+#: Of those, the ones that headings and paragraphs of an article may carry too: they count on containers only.
+CONTAINER_NAMES = frozenset("header footer banner search hidden skip reply respond discussion copyright topbar masthead share social related".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_BLOCKS = HEADINGS | frozenset("p li dt dd td th blockquote pre figure figcaption".split())
 #: A child with this share of its parent's score is entered.
 SHARE = 0.6
 #: Nodes of the smoothing window on each side; share of the mean fused score that a node must reach.
@@ -52,7 +56,7 @@ WINDOW, LEVEL = 2, 0.05
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？।؟،")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Start tags that end an open element of the same kind.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead", "tfoot")}
@@ -72,8 +76,10 @@ def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and any(p.lower() in SKIP_NAMES for p in NAME_PARTS.findall(value)):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", "main") and (tag != "article" or in_article):
+            marks = {p.lower() for p in NAME_PARTS.findall(value)} & SKIP_NAMES
+            if marks - CONTAINER_NAMES if tag in TEXT_BLOCKS else marks:
+                return True
     return False
 
 
@@ -200,15 +206,19 @@ def extract(page: str | None) -> str:
             children[above][c] = None
             above = c
         total[0] += w
-    # an article or main element that holds text is content by its tag
-    marked = [c for c in total if tags.get(c) in ("article", "main")]
+    # an article or main element that holds text is content by its tag; an article in it that holds most of it is entered
+    marked = {c for c in total if tags.get(c) in ("article", "main")}
+    holds = {a for n in found for k, c in enumerate(n.chain) if c in marked for a in n.chain[:k]}
     root = 0
-    while True:
-        if tags.get(root) in ("article", "main"):
+    while tags.get(root) != "article":
+        inner = [c for c in children[root] if tags[c] in CONTAINER]
+        best = max(inner, key=lambda c: (c in marked or c in holds, total[c]), default=None)
+        if best is None:
+            break
+        named = (best in marked or best in holds) and tags.get(root) != "main"
+        if not named and total[best] < SHARE * total[root]:
             break
-        best = max((c for c in children[root] if tags[c] in CONTAINER), key=lambda c: (c in marked, total[c]), default=None)
-        inside = any(m in _below(best, children) for m in marked) if best is not None and marked else False
-        if best is None or not (inside or total[best] >= SHARE * total[root]):
+        if tags.get(root) == "main" and not (best in marked or best in holds):
             break
         root = best
     own = [i for i, n in enumerate(found) if root == 0 or root in n.chain]
@@ -220,15 +230,6 @@ def extract(page: str | None) -> str:
     return " ".join(found[i].text for i in own if first <= i <= last)
 
 
-def _below(c: int, children: dict[int, dict[int, None]]) -> set[int]:
-    out, todo = {c}, [c]
-    while todo:
-        for x in children.get(todo.pop(), ()):
-            out.add(x)
-            todo.append(x)
-    return out
-
-
 def html_extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep`` columns, the main text and its length in code points; a scan that moves no rows."""
     rows = df.select(*keep, F.col(html_col).alias("_html"))

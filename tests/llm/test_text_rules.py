@@ -128,6 +128,9 @@ def test_op9_digests(spark):
         ("<article><p>x &lt;b&gt; &#233;</p><script>if (a<b) x('</p>')</script><form><p>Sign, up.</p></form><div class='cookie-notice'>c</div><p>y</p></article>", "x <b> é y"),
         ("<article><p>a</p><!-- <p>no</p> --><p title='>'>b</p></article>", "a b"),
         ("<article><header><h1>Head</h1></header><p>Body.</p></article>", "Head Body."),
+        ("<main><article><h2 class='section-header'>Head</h2><p>Text, one.</p><article class='comment'><p>No, no.</p></article></article><div class='teasers'><p>More.</p></div></main>", "Head Text, one."),
+        ("<div><a href='/?class=ad'>Some, text.</a></div>", "Some, text."),
+        ("<p class='notice'>N.</p><div><p>One, two. Three.</p><p>Four.</p></div>", "One, two. Three. Four."),
     ],
 )
 def test_extraction(page, text):
