@@ -5,12 +5,12 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillsift.operators.components import written  # noqa: F401  (used by the operators)
+
 #: White space of the word definition ``[^\x20\x09-\x0D]+``.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -20,27 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (unit tests on one machine) a temporary
-    folder stands in for it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="quillsift-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def whole_text(column: str = "text"):
     """The text, with null read as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
