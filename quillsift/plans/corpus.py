@@ -223,7 +223,7 @@ def path_order(spark, sf_dir):
     from pyspark.sql import Window as W
 
     d = t(spark, sf_dir, "documents").select("lang", "doc_id", S.slashed(doc_path()).alias("path"))
-    return d.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(S.segments("path")))).where("r <= 5")
+    return d.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(S.segments("path"))).cast("long")).where("r <= 5")
 
 
 @query(f"""WITH p AS (SELECT {DOC_PATH_SQL} AS path, n_chars FROM documents WHERE lower({DOC_PATH_SQL}) LIKE '%.json')

@@ -149,7 +149,7 @@ def bootstrap_by_lang(spark, sf_dir):
 @query("""
 WITH k AS (SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events)
 SELECT event_id, k, round(abs(((2.0 * k) * (k + 1) - 0) / 2 + 0), 6) AS area, round(pow(1.0 * k + 4, 2) / (4 * pi() * nullif(k, 0)), 6) AS compact,
-       round(((k - 170 + 90.0) % 180 + 180) % 180 - 90, 6) AS angle, round(sqrt(k * k + 4.0 * k * k + 9), 6) AS magnitude, round(1 - exp(-k / 40.0), 6) AS fill,
+       round(((k - 170 + 90.0::DOUBLE) % 180 + 180) % 180 - 90, 6) AS angle, round(sqrt(k * k + 4.0 * k * k + 9), 6) AS magnitude, round(1 - exp(-k / 40.0), 6) AS fill,
        CASE WHEN k <= 10 THEN 1 ELSE pow(2, ceil(log2(k / 10.0))) END::BIGINT AS sample, (k % 3)::BIGINT AS best FROM k""")
 def geometry_functions(spark, sf_dir):
     d = t(spark, sf_dir, "events").select("event_id", F.expr("variant_get(parse_json(props), '$.k', 'int')").alias("k"))
@@ -278,11 +278,11 @@ def richest_order(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20""")
+SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_totalprice FROM orders ORDER BY orders. o_orderdate DESC, o_orderkey DESC LIMIT 20""")
 def newest_first(spark, sf_dir):
     """A timeline's first page (a top-k report)."""
     d = t(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("captured_ms"), F.col("o_orderkey").alias("id"), "o_custkey", "o_totalprice")
-    return scans.timeline(d).limit(20).select(F.col("id").alias("o_orderkey"), "o_custkey", F.col("captured_ms").alias("o_orderdate"), "o_totalprice")
+    return scans.timeline(d).limit(20).select(F.col("id").alias("o_orderkey"), "o_custkey", F.date_format("captured_ms", "yyyy-MM-dd").alias("o_orderdate"), "o_totalprice")
 
 
 @query("""
