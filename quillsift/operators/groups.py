@@ -57,8 +57,11 @@ def rebalance(df: DataFrame, label: str, family: str, key: str, cap: int, seed:
     before = F.sum("_n").over(W.partitionBy(label).orderBy("_d", family).rowsBetween(W.unboundedPreceding, -1))
     room = sizes.withColumn("_room", F.lit(cap) - F.coalesce(before, F.lit(0))).where("_room > 0").select(label, family, "_n", "_room")
     d = df.join(room, [label, family])
-    rank = F.row_number().over(W.partitionBy(label, family).orderBy(key))
-    return d.withColumn("_r", rank).where("_r <= _room").drop("_n", "_room", "_r")
+    # a family is cut to ``cap`` rows within salts first, so that a hot one is ranked in many tasks
+    d = d.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(64)))
+    for parts in ((label, family, "_s"), (label, family)):
+        d = d.withColumn("_r", F.row_number().over(W.partitionBy(*parts).orderBy(key))).where("_r <= _room")
+    return d.drop("_n", "_room", "_r", "_s")
 
 
 def round_robin(df: DataFrame, label: str, category: str, key: str, k: int, seed: int = 42) -> DataFrame:
@@ -77,19 +80,27 @@ def bucketed_sample(df: DataFrame, bucket: str, key: str, each: int, total: int,
     return d.orderBy("topped_up", bucket, "_r", key).limit(total).drop("_d", "_r")
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """A fold for each row, dealt in drawn order within its class: fold sizes differ by one row at most.
+def dealt_rank(df: DataFrame, by: list[str], key: str, seed: int = 42, name: str = "rank") -> DataFrame:
+    """Rank from 0 of each row in drawn order within its group.
 
-    The rank is made of a count per (class, leading hash digits) and a rank within
-    them, so that a hot class is ranked in many tasks.
+    The rank is made of the rows before a part of the draw (its first three hex
+    digits, 4096 parts a group) and the rank within the part, so that a hot group
+    is ranked in many tasks.
     """
     d = df.withColumn("_d", draw(key, seed)).withColumn("_p", F.substring("_d", 1, 3))
-    sizes = d.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(label).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("_before", before).drop("_n")
-    rank = F.row_number().over(W.partitionBy(label, "_p").orderBy("_d", key))
-    joined = d.withColumn("_r", rank).join(sizes.withColumnRenamed(label, "_l").withColumnRenamed("_p", "_q"), F.col("_p").eqNullSafe(F.col("_q")) & F.col(label).eqNullSafe(F.col("_l")))
-    return joined.withColumn("fold", ((F.col("_before") + F.col("_r") - 1) % folds).cast("int")).drop("_d", "_p", "_r", "_before", "_l", "_q")
+    sizes = d.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*(F.col(b).alias(f"_b{i}") for i, b in enumerate(by)), F.col("_p").alias("_q"), before.alias("_before"))
+    rank = F.row_number().over(W.partitionBy(*by, "_p").orderBy("_d", key))
+    same = F.col("_p") == F.col("_q")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    return d.withColumn("_r", rank).join(sizes, same).select(*df.columns, (F.col("_before") + F.col("_r") - 1).alias(name))
+
+
+def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """A fold for each row, dealt in drawn order within its class: fold sizes differ by one row at most."""
+    return dealt_rank(df, [label], key, seed, "_rank").withColumn("fold", (F.col("_rank") % folds).cast("int")).drop("_rank")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -158,8 +169,7 @@ def greedy_split(df: DataFrame, group: str, label: str, order: str, fractions=SP
     deal = spark.createDataFrame(quota, f"size long, majority {kinds['majority']}, classes {kinds['classes']}, low long, high long, split string") if quota else None
     if deal is None:
         return profile.select(group, F.lit(None).cast("string").alias("split")).limit(0)
-    rank = F.row_number().over(W.partitionBy("size", "majority", "classes").orderBy(draw(group, seed), group)) - 1
-    ranked = profile.withColumn("_r", rank)
+    ranked = dealt_rank(profile, ["size", "majority", "classes"], group, seed, "_r")
     deal = deal.select(F.col("size").alias("_size"), F.col("majority").alias("_majority"), F.col("classes").alias("_classes"), "low", "high", "split")
     same = (F.col("size") == F.col("_size")) & F.col("majority").eqNullSafe(F.col("_majority")) & (F.col("classes") == F.col("_classes"))
     return ranked.join(deal, same).where("_r >= low AND _r < high").select(group, "split")

@@ -66,12 +66,27 @@ def coverage(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return d.select("*", F.expr("try_divide(100.0D * n_both, n_both + only_a)").alias("pct_of_a"), F.expr("try_divide(100.0D * n_both, n_both + only_b)").alias("pct_of_b"))
 
 
-def ordered_pairs(df: DataFrame, keys: list[str], time: str, tie: str, values: list[str]) -> DataFrame:
-    """Each row with the one before it in its group: columns older_* and newer_*."""
-    w = W.partitionBy(*keys).orderBy(time, tie)
+def ordered_pairs(df: DataFrame, keys: list[str], time: str, tie: str, values: list[str], piece: Column | None = None) -> DataFrame:
+    """Each row with the one before it in its group: columns older_* and newer_*.
+
+    ``piece`` cuts a group by time (a day, say), in order: rows are then paired
+    within pieces, and the first row of a piece with the last one of the piece
+    before, so that a hot key is spread over as many tasks as it has pieces.
+    """
     cols = [time, tie, *values]
-    d = df.select(*keys, *(F.col(x).alias(f"newer_{x}") for x in cols), *(F.lag(x).over(w).alias(f"older_{x}") for x in cols))
-    return d.where(F.col(f"older_{tie}").isNotNull())
+    d = df.select(*keys, *cols, (F.lit(0) if piece is None else piece).alias("_piece"))
+    w = W.partitionBy(*keys, "_piece").orderBy(time, tie)
+    row = F.struct(*cols)
+    d = d.withColumn("_older", F.lag(row).over(w))
+    if piece is not None:
+        last = d.groupBy(*keys, "_piece").agg(F.max(row).alias("_last"))
+        last = last.withColumn("_last", F.lag("_last").over(W.partitionBy(*keys).orderBy("_piece")))
+        last = last.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_piece").alias("_pk"), "_last")
+        same = F.col("_piece") == F.col("_pk")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        d = d.join(last, same, "left").withColumn("_older", F.coalesce("_older", "_last"))
+    return d.where(F.col("_older").isNotNull()).select(*keys, *(F.col(x).alias(f"newer_{x}") for x in cols), *(F.col(f"_older.{x}").alias(f"older_{x}") for x in cols))
 
 
 def nearest_within(pairs: DataFrame, left: str, right: str, distance: str, limit: int) -> DataFrame:

@@ -22,7 +22,7 @@ c AS (SELECT *, confidence >= 0.3 AS ok, 100.0::DOUBLE * (newer_value - older_va
 
 def _pairs(spark, sf_dir):
     e = t(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    d = joins.ordered_pairs(e, ["user_id", "event_type"], "ts", "event_id", ["value", "k"])
+    d = joins.ordered_pairs(e, ["user_id", "event_type"], "ts", "event_id", ["value", "k"], F.to_date("ts"))
     return d.withColumn("confidence", ((F.col("older_k") + F.col("newer_k")) % 100) / 100.0)
 
 

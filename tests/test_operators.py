@@ -194,3 +194,18 @@ def test_refused_changes_carry_nothing(spark):
     d = spark.createDataFrame([(10.0, 20.0, 0.29), (10.0, 20.0, 0.3), (0.0, 5.0, 0.9)], "older_value double, newer_value double, confidence double")
     got = [(r.status, r.area_change_pct, r.notable_area, r.reliability) for r in compare.changes(d).collect()]
     assert got == [("unreliable", None, False, None), ("ok", 100.0, True, "low"), ("ok", None, False, "high")]
+
+
+def test_pieces_do_not_change_pairs(spark):
+    rng = random.Random(4)
+    d = spark.createDataFrame([(rng.choice("ab") if i % 9 else None, rng.randrange(50), i, float(i)) for i in range(300)], "k string, t int, id int, v double")
+    whole = joins.ordered_pairs(d, ["k"], "t", "id", ["v"])
+    cut = joins.ordered_pairs(d, ["k"], "t", "id", ["v"], F.floor(F.col("t") / 7))
+    assert whole.columns == cut.columns and rows(whole) == rows(cut) and whole.count() == 297
+
+
+def test_dealt_rank_is_a_rank(spark):
+    d = spark.range(500).select((F.col("id") % 2).alias("g"), "id")
+    got = groups.dealt_rank(d, ["g"], "id")
+    for g in (0, 1):
+        assert sorted(r["rank"] for r in got.where(F.col("g") == g).collect()) == list(range(250))
