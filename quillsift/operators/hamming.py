@@ -1,15 +1,21 @@
 """Fingerprints and an exact Hamming join without a cross join.
 
-Cut into limit + 1 bands, two fingerprints that differ in at most ``limit`` bits
-are equal in one band at least, so an equi-join on (band, bits) finds every pair
-and a bit count decides.  Equal fingerprints are joined once, as one node.
+The bits are cut into bands.  Two fingerprints that differ in at most ``limit``
+bits differ in at most ``limit // bands`` bits of one band at least, so an
+equi-join of each fingerprint's band values against the other's, with that many
+bits flipped, finds every pair, and a bit count decides.  Flipping one or two bits
+allows fewer, wider bands, and wider bands let far fewer strangers meet: at a
+limit of 6, 0.1 % of all pairs instead of 1.4 %, at 12, 7 % instead of 47 %.
+Equal fingerprints are joined once, as one node.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.functions.scalars import hamming, word_grams
@@ -17,34 +23,53 @@ from quillsift.functions.scalars import hamming, word_grams
 BITS = 63
 
 
+def flips(limit: int) -> int:
+    """Bits that are flipped within a band."""
+    return 0 if limit < 2 else 1 if limit <= 6 else 2
+
+
 def band_spans(limit: int, bits: int = BITS) -> list[tuple[int, int]]:
-    """(shift, width) of limit + 1 bands over the bits, of nearly equal width."""
-    n = limit + 1
+    """(shift, width) of as few bands as the limit allows, of nearly equal width."""
+    n = limit // (flips(limit) + 1) + 1
     cuts = [bits * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def banded(df: DataFrame, fp: str, limit: int) -> DataFrame:
-    parts = [F.struct(F.lit(i).alias("band"), F.shiftright(fp, a).bitwiseAND(F.lit((1 << w) - 1)).alias("bits")) for i, (a, w) in enumerate(band_spans(limit))]
-    return df.select("*", F.explode(F.array(*parts)).alias("_b")).select(*df.columns, "_b.band", "_b.bits")
+def _masks(width: int, most: int) -> list[int]:
+    return [sum(1 << i for i in chosen) for k in range(most + 1) for chosen in combinations(range(width), k)]
+
+
+def banded(df: DataFrame, fp: str, limit: int, flipped: bool = False) -> DataFrame:
+    """Rows with (band, bits) of each band; ``flipped`` adds the values some bits away."""
+    parts = []
+    for i, (a, w) in enumerate(band_spans(limit)):
+        bits = F.shiftright(fp, a).bitwiseAND(F.lit((1 << w) - 1))
+        masks = F.array(*(F.lit(m).cast("long") for m in _masks(w, flips(limit) if flipped else 0)))
+        parts.append(_near(masks, bits, i))
+    return df.select("*", F.explode(F.concat(*parts)).alias("_b")).select(*df.columns, "_b.band", "_b.bits")
+
+
+def _near(masks: Column, bits: Column, band: int) -> Column:
+    return F.transform(masks, lambda m: F.struct(F.lit(band).alias("band"), bits.bitwiseXOR(m).alias("bits")))
 
 
 def hamming_pairs(df: DataFrame, fp: str, limit: int) -> DataFrame:
     """(fp_a, fp_b, distance): pairs of different fingerprints within ``limit`` bits, fp_a < fp_b.
 
     Works on distinct fingerprints; null ones have no pairs.  A pair is made by the
-    first band that both share, so no pair has to be dropped as a duplicate.
+    first band in which both are close, so no pair has to be dropped as a duplicate.
     """
-    d = banded(df.select(F.col(fp).alias("fp")).where("fp IS NOT NULL").distinct(), "fp", limit)
-    a, b = d.select(F.col("fp").alias("fp_a"), "band", "bits"), d.select(F.col("fp").alias("fp_b"), "band", "bits")
+    d = df.select(F.col(fp).alias("fp")).where("fp IS NOT NULL").distinct()
+    a = banded(d.select(F.col("fp").alias("fp_a")), "fp_a", limit, flipped=True)
+    b = banded(d.select(F.col("fp").alias("fp_b")), "fp_b", limit)
     j = a.join(b, ["band", "bits"]).where("fp_a < fp_b").withColumn("distance", hamming("fp_a", "fp_b").cast("int")).where(F.col("distance") <= limit)
-    shared = F.array(*(F.shiftright(F.col("fp_a").bitwiseXOR(F.col("fp_b")), s).bitwiseAND(F.lit((1 << w) - 1)) == 0 for s, w in band_spans(limit)))
-    return j.where(F.array_position(shared, True) == F.col("band") + 1).select("fp_a", "fp_b", "distance")
+    close = F.array(*(F.bit_count(F.shiftright(F.col("fp_a").bitwiseXOR(F.col("fp_b")), s).bitwiseAND(F.lit((1 << w) - 1))) <= flips(limit) for s, w in band_spans(limit)))
+    return j.where(F.array_position(close, True) == F.col("band") + 1).select("fp_a", "fp_b", "distance")
 
 
 def nearest_fingerprints(queries: DataFrame, base: DataFrame, key: str, fp: str, limit: int) -> DataFrame:
     """Nearest fingerprint of ``base`` for each query row, up to ``limit`` bits; ties take the least one."""
-    q, d = banded(queries.select(key, F.col(fp).alias("fp")), "fp", limit), banded(base.select(F.col(fp).alias("other")).where("other IS NOT NULL").distinct(), "other", limit)
+    q, d = banded(queries.select(key, F.col(fp).alias("fp")), "fp", limit, flipped=True), banded(base.select(F.col(fp).alias("other")).where("other IS NOT NULL").distinct(), "other", limit)
     j = q.join(d, ["band", "bits"]).withColumn("distance", hamming("fp", "other").cast("int")).where(F.col("distance") <= limit)
     return j.groupBy(key).agg(F.min(F.struct("distance", "other")).alias("_m")).select(key, F.col("_m.distance").alias("distance"), F.col("_m.other").alias("nearest"))
 

@@ -51,9 +51,9 @@ def hamming_pairs_texts(spark, sf_dir):
     return hamming.hamming_pairs(_docs(spark, sf_dir), "fp", PARAMS["audit.cluster_hamming"])
 
 
-@query(_pairs_sql(_EMB_SQL, 12))
+@query(_pairs_sql(_EMB_SQL, 20))
 def hamming_pairs_vectors(spark, sf_dir):
-    return hamming.hamming_pairs(_vectors(spark, sf_dir), "fp", 12)
+    return hamming.hamming_pairs(_vectors(spark, sf_dir), "fp", 20)
 
 
 @query(f"""WITH {_FP_SQL}, p AS (SELECT a.id AS a, b.id AS b FROM fp a JOIN fp b ON a.id < b.id WHERE bit_count(xor(a.fp, b.fp)) <= 4)
@@ -69,7 +69,7 @@ SELECT id, min(distance) AS distance, arg_min(other, {{'d': distance, 'o': other
 def nearest_texts(spark, sf_dir):
     """Nearest other fingerprint of the stated query set (ids divisible by 100) among all rows."""
     d = _docs(spark, sf_dir)
-    q, b = hamming.banded(d.where("id % 100 = 0 AND fp IS NOT NULL"), "fp", 8), hamming.banded(d.where("fp IS NOT NULL").select(F.col("fp").alias("other")).distinct(), "other", 8)
+    q, b = hamming.banded(d.where("id % 100 = 0 AND fp IS NOT NULL"), "fp", 8, flipped=True), hamming.banded(d.where("fp IS NOT NULL").select(F.col("fp").alias("other")).distinct(), "other", 8)
     j = q.join(b, ["band", "bits"]).where("fp != other").select("id", "other", S.hamming("fp", "other").cast("int").alias("distance"))
     return joins.nearest_within(j, "id", "other", "distance", 8).select("id", "distance", F.col("other").alias("nearest"))
 
