@@ -155,9 +155,6 @@ def confusion_matrix(spark, sf_dir):
     return d.groupBy("lang").pivot("quality", [0, 1]).agg(F.count(F.lit(1))).na.fill(0).toDF("lang", "q0", "q1")
 
 
-_MEASURE = "n_words, n_distinct, n_marks"
-
-
 def _quality(spark, sf_dir):
     """Two measures of a text and a score: weighted ramps of repetition and of marks."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), lambda w: w != "")
