@@ -30,7 +30,3 @@ def spark():
     s.sparkContext.environment["PYTHONPATH"] = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     yield s
     s.stop()
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from quillsift import schemas
