@@ -38,7 +38,7 @@ THRESHOLD = (1 << 64) // SCALE
 FLOOR = 16
 #: Rows of a range of ids, and the most ranges (their bounds are the only thing the driver holds).
 RANGE_ROWS, MOST_RANGES = 2000, 1 << 16
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 class WordHashes(dict):
