@@ -15,11 +15,16 @@ alike.  So the probabilities of all texts sum to at most 1.
 Distribution.  Each task cuts its texts into chunks, and writes per chunk the
 texts as lists of local word numbers and one row for each distinct word with its
 training count.  Words are counted by one shuffle of those rows.  The trie comes
-from the word counts; only its most frequent MOST_ENTRIES n-grams are kept, so
-that its broadcast has a fixed size.  Each distinct word is scored once, its two
-scores go back to the chunks that hold it, and each chunk sums them per text.
-Neither texts nor token occurrences are shuffled; no key is heavy, since a chunk
-sends each word once.
+from the word counts and is kept whole, as a written table of n-grams.  What a
+byte costs is a function of its n-gram with the class (a unit), and all n-grams
+that this takes end their context in the same two bytes, or are short: so the
+table is dealt by those two bytes into buckets.  Words are dealt into parts; a part
+asks each bucket for the costs of its distinct units, and the bucket codes them
+with its own n-grams and those of at most two bytes, whose number has a fixed
+bound.  The part sums the costs per word; a word's two scores go back to the
+chunks that hold it, and each chunk sums them per text.  Neither
+texts nor token occurrences are shuffled; no key is heavy, since a chunk sends
+each word once and a part each unit once.
 
 Edge cases: a null text counts as empty: it has the end as its only token; with
 no training text every score is that of the empty model; repeated rows give
@@ -46,8 +51,8 @@ ORDER = 5
 DISCOUNT = 0.5
 #: Classes of texts.
 CLASSES = 32
-#: N-grams that the broadcast trie holds at most.
-MOST_ENTRIES = 1 << 20
+#: N-grams of a bucket of the trie on average, and words of a part at most, about.
+BUCKET_GRAMS, PART_WORDS = 200_000, 600_000
 #: Tokens of a chunk; a text is in one chunk, which may grow by it.
 CHUNK_TOKENS = 3_000_000
 #: Bits of a slot for the word's number in its chunk, and for the chunk's number in its task.
@@ -258,36 +263,50 @@ class Trie:
         at = np.searchsorted(keys, wanted).clip(0, len(keys) - 1)
         return np.where(keys[at] == wanted, at, -1)
 
+    def costs(self, wanted: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each unit."""
+        low = wanted & np.uint64((1 << 48) - 1)
+        size = (wanted >> np.uint64(56)).astype(np.int64) - CLASSED - 1
+        out = np.zeros(len(wanted))
+        left = np.ones(len(wanted), bool)  # bytes not coded yet
+        last = np.full(len(wanted), -1)  # the context just escaped from, if any
+        for order in range(ORDER + 1, -1, -1):  # the context with the class first
+            if order > ORDER:
+                at, entry = np.arange(len(wanted)), wanted
+            else:
+                at = np.flatnonzero(left & (size >= order))
+                entry = (low[at] & np.uint64((1 << 8 * (order + 1)) - 1)) | _top(order + 1)
+            c = self._find(self.contexts, _context(entry))
+            at, c, entry = at[c >= 0], c[c >= 0], entry[c >= 0]
+            e = self._find(self.keys, entry)
+            hit, before = e >= 0, last[at]
+            if len(at):
+                total = np.where(before >= 0, self.after_total[before], self.log_total[c])
+                escape = np.where(before >= 0, self.after_escape[before], self.escape[c])
+                out[at] += np.where(hit, self.log_count[e] - total, escape)
+            left[at[hit]] = False
+            last[at[~hit]] = c[~hit]
+        out[left] += self.uniform
+        return out
+
     def log10(self, words: list[bytes], classes: np.ndarray) -> np.ndarray:
         """log10 probability of each word's code in a text of that class."""
-        flat, place, word = _runs(words)
-        kind = np.asarray(classes)[word]
-        out = np.zeros(len(flat))
-        left = place > 0  # bytes not coded yet
-        last = np.full(len(flat), -1)  # the context just escaped from, if any
-        for classed in (True, False):
-            for order in range(ORDER, -1, -1):
-                at = np.flatnonzero(left & (np.minimum(place, ORDER) == order if classed else place >= order))
-                context = _packed(flat, at, order)
-                context |= (_classes(kind[at]) | _top(order + CLASSED)) if classed else _top(order)
-                c = self._find(self.contexts, context)
-                at, c, context = at[c >= 0], c[c >= 0], context[c >= 0]
-                low = np.uint64((1 << 48) - 1)
-                entry = (context & ~low) + _top(1) | ((context & low) << np.uint64(8)) | flat[at]
-                e = self._find(self.keys, entry)
-                hit, before = e >= 0, last[at]
-                if len(at):
-                    total = np.where(before >= 0, self.after_total[before], self.log_total[c])
-                    escape = np.where(before >= 0, self.after_escape[before], self.escape[c])
-                    out[at] += np.where(hit, self.log_count[e] - total, escape)
-                left[at[hit]] = False
-                last[at[~hit]] = c[~hit]
-        out[left] += self.uniform
-        return np.bincount(word, out, len(words))
+        wanted, word = units(words, classes)
+        return np.bincount(word, self.costs(wanted), len(words))
 
 
-def trie(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of the most frequent n-grams of the counted words; at most MOST_ENTRIES."""
+def units(words: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram with the class, its word's number) of each coded byte, with the longest context."""
+    flat, place, word = _runs(words)
+    keys = np.zeros(len(flat), np.uint64)
+    for order in range(1, ORDER + 1):
+        at = np.flatnonzero(np.minimum(place, ORDER) == order)
+        keys[at] = _packed(flat, at + 1, order + 1) | _classes(np.asarray(classes)[word[at]]) | _top(order + 1 + CLASSED)
+    return keys[place > 0], word[place > 0]
+
+
+def trie(vocabulary: DataFrame) -> DataFrame:
+    """(gram, n) of all n-grams of the counted words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -298,21 +317,72 @@ def trie(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["gram", "n"])
         release()
 
-    grams = written(vocabulary.where("c > 0").select("word", "class", "c").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    # the least count such that no more n-grams than that have it: counts of counts, from the top
-    tiers = grams.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count(F.lit(1)).alias("k"))
-    least, kept = 1, 0
-    for r in sorted(tiers.toLocalIterator(), key=lambda r: -r.n):
-        kept += r.k
-        if kept > MOST_ENTRIES:
-            least = r.n + 1
-            break
-    keys, counts = [], []
-    for r in grams.where(F.col("n") >= least).toArrow().to_batches():
-        keys.append(r.column(0).to_numpy())
-        counts.append(r.column(1).to_numpy())
-    empty = np.empty(0, np.int64)
-    return (np.concatenate(keys) if keys else empty).view(np.uint64), np.concatenate(counts) if counts else empty
+    return written(vocabulary.where("c > 0").select("word", "class", "c").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The bucket of an n-gram, by the last two bytes of its context."""
+    ends = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
+    return ((ends * np.uint64(2654435761) >> np.uint64(12)) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def word_scores(vocabulary: DataFrame, n_words: int) -> DataFrame:
+    """(key, n, ppm) of each class and word."""
+    grams = trie(vocabulary)
+    length = F.shiftrightunsigned("gram", 56).bitwiseAND(CLASSED - 1)
+    # bounded: 256 first bytes, 2^16 pairs, and CLASSES * 256 first bytes of words
+    few = grams.where(length <= 2).toArrow()
+    short = grams.sparkSession.sparkContext.broadcast((few.column("gram").to_numpy().view(np.uint64), few.column("n").to_numpy()))
+    n_buckets = max(1, -(-grams.count() // BUCKET_GRAMS))
+    known = grams.where(length > 2).withColumn("bucket", F.expr(f"shiftright((shiftrightunsigned(gram, 8) & 65535L) * 2654435761L, 12) % {n_buckets}L"))
+    # words of one class share most of their units
+    parts = -(-n_words // PART_WORDS) or 1
+    dealt = vocabulary.select("word", "class", "n", (F.pmod(F.xxhash64("word"), F.lit(parts)) * CLASSES + F.col("class")).alias("part"))
+
+    def wanted(words: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct units by bucket, the place of each coded byte's unit, its word's number, and the units' buckets."""
+        keys, word = units(words.column("word").to_pylist(), words.column("class").to_numpy())
+        keys, at = np.unique(keys, return_inverse=True)
+        bucket = bucket_of(keys, n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return keys[order], place[at], word, bucket[order]
+
+    def ask(words: pa.Table) -> pa.Table:
+        keys, _, _, bucket = wanted(words)
+        some, starts = np.unique(bucket, return_index=True)
+        pack = zstandard.ZstdCompressor(3).compress
+        # rising keys: their differences, by bytes of equal weight
+        packed = [pack(np.diff(k, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()) for k in np.split(keys, starts[1:])]
+        out = pa.table({"bucket": pa.array(some), "part": pa.array(np.full(len(some), words.column("part")[0].as_py(), np.int64)), "units": pa.array(packed, pa.binary())})
+        release()
+        return out
+
+    def code(grams: pa.Table, asked: pa.Table) -> pa.Table:
+        keys, counts = grams.column("gram").to_numpy().view(np.uint64), grams.column("n").to_numpy()
+        model = Trie(np.concatenate([short.value[0], keys]), np.concatenate([short.value[1], counts]))
+        pack, unpack = zstandard.ZstdCompressor(3).compress, zstandard.ZstdDecompressor().decompress
+        out = []
+        for u in asked.column("units"):
+            k = np.cumsum(np.ascontiguousarray(np.frombuffer(unpack(u.as_py()), np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+            out.append(pack(model.costs(k).view(np.uint8).reshape(-1, 8).T.tobytes()))
+        del model
+        release()
+        return pa.table({"part": asked.column("part"), "bucket": asked.column("bucket"), "costs": pa.array(out, pa.binary())})
+
+    def add(words: pa.Table, costs: pa.Table) -> pa.Table:
+        _, place, word, _ = wanted(words)
+        unpack = zstandard.ZstdDecompressor().decompress
+        cost = np.concatenate([np.ascontiguousarray(np.frombuffer(unpack(c.as_py()), np.uint8).reshape(8, -1).T).view(np.float64).reshape(-1) for c in costs.sort_by("bucket").column("costs")])
+        keys = [bytes([k]) + w for k, w in zip(words.column("class").to_pylist(), words.column("word").to_pylist())]
+        out = pa.table({"key": pa.array(keys, pa.binary()), "n": words.column("n"), "ppm": pa.array(np.bincount(word, cost[place], words.num_rows))})
+        release()
+        return out
+
+    asked = dealt.groupBy("part").applyInArrow(ask, "bucket long, part long, units binary")
+    costs = known.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(code, "part long, bucket long, costs binary")
+    return dealt.groupBy("part").cogroup(costs.groupBy("part")).applyInArrow(add, "key binary, n long, ppm double")
 
 
 # --- scoring --------------------------------------------------------------
@@ -320,37 +390,24 @@ def trie(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of each text under the word base line and under PPM, both learned from the rows not held out."""
-    spark = df.sparkSession
     cut = written(chunks(df, id_col, text_col), "chunks")
     local = cut.where("kind = 1").select("slot", "key", "trained")
-    pairs = local.groupBy("key").agg(F.sum("trained").alias("c")).select("key", F.substring("key", 2, 1 << 30).alias("word"), F.expr("conv(hex(substring(key, 1, 1)), 16, 10)").cast("int").alias("class"), "c")
+    pairs = local.groupBy("key").agg(F.sum("trained").alias("c")).select(F.substring("key", 2, 1 << 30).alias("word"), F.expr("conv(hex(substring(key, 1, 1)), 16, 10)").cast("int").alias("class"), "c")
     # a word has CLASSES rows at most; its row of the least class counts it
     word = W.partitionBy("word")
     vocabulary = written(pairs.select("*", F.sum("c").over(word).alias("n"), (F.min("class").over(word) == F.col("class")).alias("once")), "vocabulary")
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("once") & (F.col("n") > 0)).alias("v")).first()
+    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("once") & (F.col("n") > 0)).alias("v"), F.count(F.lit(1)).alias("k")).first()
     total, distinct = int(sums.n), int(sums.v)
     ends = dict(vocabulary.where(F.col("word") == F.lit(END)).select("class", "c").toLocalIterator())
     # the class is coded once a text, by its share of the training texts
     class_cost = np.log10([(ends.get(k, 0) + 0.5) / (sum(ends.values()) + 0.5 * CLASSES) for k in range(CLASSES)])
-    model = spark.sparkContext.broadcast(trie(vocabulary))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Trie(*model.value)
-        for b in batches:
-            for s in range(0, b.num_rows, 30_000):
-                part = b.slice(s, 30_000)
-                if part.num_rows:
-                    ppm = t.log10(part.column(1).to_pylist(), part.column(2).to_numpy())
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(ppm)], ["key", "n", "ppm"])
-        release()
-
-    scored = vocabulary.select("key", "word", "class", "n").mapInArrow(run, "key binary, n long, ppm double")
-    back = local.select("slot", "key").join(scored, "key").select("slot", "n", "ppm", F.shiftright("slot", NUMBER_BITS).alias("chunk"))
+    scored = word_scores(vocabulary, int(sums.k))
+    back = local.select("slot", "key").join(scored, "key").select(F.col("slot").bitwiseAND((1 << NUMBER_BITS) - 1).cast("int").alias("at"), "n", "ppm", F.shiftright("slot", NUMBER_BITS).alias("chunk"))
     texts = cut.where("kind = 0").select(F.shiftright("slot", NUMBER_BITS).alias("of"), "ids", "held", "classes", "sizes", "words")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def gather(_key, texts: pa.Table, words: pa.Table) -> pa.Table:
-        at = words.column("slot").to_numpy() & ((1 << NUMBER_BITS) - 1)
+        at = words.column("at").to_numpy()
         c, ppm = np.zeros(len(at), np.int64), np.zeros(len(at))
         c[at], ppm[at] = words.column("n").to_numpy(), words.column("ppm").to_numpy()
         base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))

@@ -146,6 +146,29 @@ def test_op6_against_a_loop(spark, monkeypatch):
         assert got[i].score == pytest.approx(first + sum(plain.log10(w, kind[i]) for w in [*toks[i], ppm.END]))
 
 
+def test_the_trie_is_kept_whole(spark, monkeypatch):
+    # more n-grams than the 2^20 that were once kept, nearly all of count 1, in several buckets and parts
+    monkeypatch.setattr(ppm, "PART_WORDS", 60_000, raising=False)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10)) for _ in range(150_000)]
+    texts = [(i, " ".join(words[s : s + 500])) for i, s in enumerate(range(0, len(words), 500))]
+    got = {r.doc_id: r.score for r in ppm.lm_score(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    counts, ends = Counter(), Counter()
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 10:
+            k = ppm.text_class(Counter(ppm.tokens(t)))
+            counts.update((w, k) for w in [*ppm.tokens(t), ppm.END])
+            ends[k] += 1
+    keys, n = ppm.ngram_counts([w for w, _ in counts], np.array([k for _, k in counts]), np.array(list(counts.values())))
+    assert len(keys) > 1 << 20
+    whole = ppm.Trie(keys, n)
+    for i, t in texts[:40]:
+        k = ppm.text_class(Counter(ppm.tokens(t)))
+        first = math.log10((ends[k] + 0.5) / (sum(ends.values()) + 0.5 * ppm.CLASSES))
+        w = [*ppm.tokens(t), ppm.END]
+        assert got[i] == pytest.approx(first + whole.log10(w, np.full(len(w), k)).sum())
+
+
 def test_the_model_beats_the_base_line_on_held_out_texts(spark):
     r = ppm.op6_lm_scoring(spark, SF2).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
