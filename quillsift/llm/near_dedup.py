@@ -14,8 +14,8 @@ Scale.  Equal texts are one node (a 64-bit hash) from the start, so groups of
 copies are never multiplied.  A bucket of more than BUCKET texts is cut by the
 next bands' keys, and what is still too large into blocks that share the bucket's
 first text.  Within a bucket a text is paired with all candidates if they are few,
-else with its NEAREST ones: classes need connected links, not all pairs.  A pair is
-taken up in the first bucket it shares only.  The idf share is small on purpose: in
+else with its NEAREST ones: classes need connected links, not all pairs.  A pair may
+come from each bucket it shares, since any of them may be cut.  The idf share is small on purpose: in
 a large group of near copies the common shingles are frequent, and with a full idf
 their few differences would outweigh them.
 
@@ -192,7 +192,7 @@ def buckets(texts: DataFrame) -> DataFrame:
     return small.unionByName(few).unionByName(many)
 
 
-def candidate_pairs(samples: np.ndarray, keys: np.ndarray, bucket: int) -> list[tuple[int, int]]:
+def candidate_pairs(samples: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (i < j) of a bucket's texts to verify."""
     n = len(samples)
     left, right, agree = [], [], []
@@ -208,11 +208,6 @@ def candidate_pairs(samples: np.ndarray, keys: np.ndarray, bucket: int) -> list[
     i, j, agree = np.concatenate(left), np.concatenate(right), np.concatenate(agree)
     if not len(i):
         return []
-    # a pair belongs to the first band that both share (finer cuts carry other keys and keep all)
-    band = np.flatnonzero((keys == bucket).all(axis=0))
-    if len(band):
-        first = np.argmax(keys[i] == keys[j], axis=1) == band[0]
-        i, j, agree = i[first], j[first], agree[first]
     if len(i) > NEAREST * n:
         a, b, g = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
         order = np.lexsort((b, -g.astype(np.int16), a))
@@ -238,7 +233,7 @@ def pairs(placed: DataFrame) -> DataFrame:
             if len(rows) > 1:
                 nodes = sorted(rows)
                 samples = np.frombuffer(b"".join(rows[x] for x in nodes), "<u4").reshape(-1, SAMPLES)
-                for i, j in candidate_pairs(samples, band_keys(samples), at):
+                for i, j in candidate_pairs(samples):
                     out_a.append(nodes[i])
                     out_b.append(nodes[j])
 

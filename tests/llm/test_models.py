@@ -234,6 +234,14 @@ def test_cut_buckets_find_the_same_classes(spark, monkeypatch):
     assert len(set(got.values())) == len(set(truth.values()))
 
 
+def test_a_pair_is_taken_in_every_bucket_it_shares(spark):
+    # the first shared band may be a hot one whose bucket was cut, so a later bucket must take the pair as well
+    samples = np.arange(2 * near_dedup.SAMPLES, dtype=np.uint32).reshape(2, -1)
+    samples[1, :21] = samples[0, :21]  # seven bands
+    nodes = spark.createDataFrame([(b, n, bytearray(samples[n].astype("<u4").tobytes())) for b in (int(near_dedup.band_keys(samples)[0, 3]),) for n in (0, 1)], "bucket long, node long, samples binary")
+    assert [tuple(r) for r in near_dedup.pairs(nodes).collect()] == [(0, 1)]
+
+
 def test_links_against_all_pairs(spark):
     docs = spark.read.parquet(f"{SF2}/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs).collect()}
