@@ -14,8 +14,12 @@ Scale.  Equal texts are one node (a 64-bit hash) from the start, so groups of
 copies are never multiplied.  A bucket of more than BUCKET texts is cut by the
 next bands' keys, and what is still too large into blocks that share the bucket's
 first text.  Within a bucket a text is paired with all candidates if they are few,
-else with its NEAREST ones: classes need connected links, not all pairs.  A pair may
-come from each bucket it shares, since any of them may be cut.  The idf share is small on purpose: in
+else with its NEAREST ones.  A pair may come from each bucket it shares, since any of
+them may be cut.  These are only short cuts: after the components of the first links,
+an exact round compares in each bucket that was not compared whole all texts that are
+still in different components, in tiles of bounded size, and verifies every pair that
+agrees in enough samples.  Its cost grows with the square of a bucket only for texts
+outside the bucket's largest component.  The idf share is small on purpose: in
 a large group of near copies the common shingles are frequent, and with a full idf
 their few differences would outweigh them.
 
@@ -169,11 +173,15 @@ def sketches(nodes: DataFrame, idf: np.ndarray) -> DataFrame:
 # --- candidates -----------------------------------------------------------
 
 
-def buckets(texts: DataFrame) -> DataFrame:
-    """(bucket, node, samples) of the buckets with two texts or more; texts: one row per node with samples and keys."""
+def in_buckets(texts: DataFrame) -> DataFrame:
+    """Each text in each of its buckets with two texts or more; texts: one row per node with samples and keys."""
     placed = texts.select("node", "samples", "keys", F.posexplode("keys").alias("band", "bucket"))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
-    placed = written(placed.join(sizes, "bucket"), "buckets")
+    return written(placed.join(sizes, "bucket"), "buckets")
+
+
+def buckets(placed: DataFrame) -> DataFrame:
+    """(bucket, node, samples) of the buckets, with the large ones cut."""
     small = placed.where(F.col("n") <= BUCKET).select("bucket", "node", "samples")
     # cut a large bucket by the keys of the three bands that follow
     step = F.explode(F.array(*(F.lit(i) for i in (1, 2, 3))))
@@ -188,7 +196,7 @@ def buckets(texts: DataFrame) -> DataFrame:
     # texts of a cut that is still large are dealt to blocks, and its first text goes to each of them
     block = F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(7)), blocks)))
     many = many.withColumn("block", F.explode(block)).select(F.xxhash64("fine", "block").alias("bucket"), "node", "samples")
-    # between the cuts of one bucket: all meet its first text
+    # what does not meet so is left to the exact round
     return small.unionByName(few).unionByName(many)
 
 
@@ -280,6 +288,85 @@ def verified(links: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: flo
     return d.mapInArrow(run, "a long, b long")
 
 
+# --- the exact round ------------------------------------------------------
+
+TILE = ["bucket", "i", "j"]
+
+
+def unlinked_pairs(placed: DataFrame, parts: DataFrame) -> DataFrame:
+    """(bucket, i, j, a, b, part_a, part_b, agree): pairs of different components in buckets that were not compared whole.
+
+    i, j: the tile.  In a bucket the texts outside its largest component meet all texts.
+    """
+    # of at most 2 * NEAREST + 1 texts all pairs were taken
+    hot = placed.where((F.col("n") > 2 * NEAREST + 1) & (F.col("n") <= BUCKET)).select("bucket", "band", "node", "samples")
+    hot = written(hot.join(parts.select("node", F.col("component").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node")), "hot")
+    mixed = hot.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
+    mixed = mixed.agg(F.sum("k").alias("n"), F.max(F.struct("k", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = mixed.select("bucket", F.col("most.part").alias("main"), F.ceil((F.col("n") - F.col("most.k")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("columns"))
+    d = hot.join(written(mixed, "mixed"), "bucket").withColumn("asks", F.col("part") != F.col("main"))
+    block = lambda n: F.pmod(F.xxhash64("node"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    held = ["bucket", "band", "node", "samples", "part", "asks"]
+    asking = d.where("asks").select(*held, block(F.col("rows")).alias("i"), every(F.col("columns")).alias("j"), F.lit(True).alias("left"))
+    asked = d.select(*held, every(F.col("rows")).alias("i"), block(F.col("columns")).alias("j"), F.lit(False).alias("left"))
+
+    def run(t: pa.Table) -> pa.Table:
+        left = t.column("left").to_numpy()
+        node, part, asks = (t.column(c).to_numpy() for c in ("node", "part", "asks"))
+        samples = np.frombuffer(b"".join(t.column("samples").to_pylist()), "<u4").reshape(-1, SAMPLES)
+        keys, band = band_keys(samples), t.column("band")[0].as_py()
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        found = []
+        for s in range(0, len(x), 256):
+            own = x[s : s + 256]
+            same = np.zeros((len(own), len(y)), np.uint8)
+            for k in range(SAMPLES):
+                same += samples[own, k][:, None] == samples[y, k][None, :]
+            p, q = np.nonzero((same >= AGREE) & (part[own][:, None] != part[y][None, :]))
+            agree, p, q = same[p, q], own[p], y[q]
+            # two texts that both ask meet twice; and a pair belongs to the first band it shares: if that
+            # bucket is not in this round, all its pairs were verified
+            use = (~asks[q] | (node[p] < node[q])) & (np.argmax(keys[p] == keys[q], axis=1) == band)
+            found.append((p[use], q[use], agree[use]))
+        p, q, agree = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        tile = [pa.array(np.full(len(p), t.column(c)[0].as_py(), np.int64)) for c in TILE]
+        return pa.table([*tile, *(pa.array(v) for v in (node[p], node[q], part[p], part[q], agree.astype(np.int32)))], names=[*TILE, "a", "b", "part_a", "part_b", "agree"])
+
+    return asking.unionByName(asked).groupBy(*TILE).applyInArrow(run, "bucket long, i long, j long, a long, b long, part_a long, part_b long, agree int")
+
+
+def exact_links(unlinked: DataFrame, docs: DataFrame, one: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b): components that a verified pair links; each text goes once to each tile that has a pair of it."""
+    shared = unlinked.sparkSession.sparkContext.broadcast(idf)
+    # names of their own: both sides of the cogroup come from the same table
+    at = [f"of_{c}" for c in TILE]
+    ends = unlinked.select(*(F.col(c).alias(x) for c, x in zip(TILE, at)), F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = ends.select("node").distinct().join(one.select("node", "doc_id"), "node")
+    texts = docs.join(ids.hint("merge"), [docs["node"] == ids["node"], docs["doc_id"].eqNullSafe(ids["doc_id"])], "left_semi").select("node", "text").dropDuplicates(["node"])
+    texts = ends.join(texts.hint("merge"), "node").select(*at, "node", "text")
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        table = shared.value
+        sets = {n: weighted_set(t.as_py(), table) for n, t in zip(texts.column("node").to_pylist(), texts.column("text"))}
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        links = []
+        for a, b, x, y in zip(*(c.to_pylist() for c in pairs.sort_by([("agree", "descending"), ("a", "ascending"), ("b", "ascending")]).select(["a", "b", "part_a", "part_b"]).columns)):
+            u, v = root(x), root(y)
+            if u != v and weighted_jaccard(sets[a], sets[b]) >= threshold:
+                parent[max(u, v)] = min(u, v)
+                links.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return unlinked.groupBy(*TILE).cogroup(texts.groupBy(*at)).applyInArrow(run, "a long, b long")
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, node, component, class_id, class_rows) for each row: rows of a class are copies or near copies of each other.
 
@@ -297,13 +384,18 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     one = written(one, "nodes")
     texts = drawn.join(one.select("node", F.col("doc_id").alias("_id")), "node").where(F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("keys").isNotNull())
     texts = texts.select("node", "samples", "keys").dropDuplicates(["node"])
-    links = pairs(buckets(texts))
+    placed = in_buckets(texts)
+    links = pairs(buckets(placed))
     for end in ("a", "b"):
         links = links.join(one.select(F.col("node").alias(end), F.col("doc_id").alias(f"id_{end}")), end)
     links = written(links, "pairs")
     edges = verified(links, docs, idf, threshold)
     parts = connected_components(edges)
     grouped = one.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    unlinked = written(unlinked_pairs(placed, parts), "unlinked")
+    if not unlinked.isEmpty():
+        joined = connected_components(exact_links(unlinked, docs, one, idf, threshold)).select(F.col("node").alias("component"), F.col("component").alias("_least"))
+        grouped = grouped.join(joined, "component", "left").withColumn("component", F.coalesce("_least", "component")).drop("_least")
     sizes = grouped.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("n_rows").alias("class_rows"))
     classes = grouped.select("node", "component").join(sizes, "component").select("node", "component", "class_id", "class_rows")
     return drawn.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "component", "class_id", "class_rows")

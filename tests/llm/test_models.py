@@ -242,6 +242,42 @@ def test_a_pair_is_taken_in_every_bucket_it_shares(spark):
     assert [tuple(r) for r in near_dedup.pairs(nodes).collect()] == [(0, 1)]
 
 
+def templates(spark):
+    """Texts of one template that are mostly not alike, with ten pairs that are, and the class of each by all pairs."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(600)]
+    texts = []
+    for k in range(200):
+        w = list(base)
+        for x in rng.sample(range(5, 595), 8):
+            w[x] = word()
+        texts.append(w)
+        if k < 10:  # a partner that shares three of the eight changes
+            near, own = list(base), [x for x in range(600) if w[x] != base[x]][:3]
+            for x in own:
+                near[x] = w[x]
+            for x in rng.sample(range(5, 595), 5):
+                near[x] = word()
+            texts.append(near)
+    texts = [" ".join(w) for w in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = near_dedup.idf_table(near_dedup.document_frequencies(docs), len(texts))
+    sets, least = [near_dedup.weighted_set(t, idf) for t in texts], list(range(len(texts)))
+    for x in range(len(texts)):
+        for y in range(x + 1, len(texts)):
+            if near_dedup.weighted_jaccard(sets[x], sets[y]) >= near_dedup.THRESHOLD:
+                low, high = sorted((least[x], least[y]))
+                least = [low if v == high else v for v in least]
+    return docs, dict(enumerate(least))
+
+
+def test_nearest_strangers_hide_no_near_copy(spark):
+    docs, truth = templates(spark)
+    assert 100 < len(set(truth.values())) < len(truth) - 5
+    assert {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs).collect()} == truth
+
+
 def test_links_against_all_pairs(spark):
     docs = spark.read.parquet(f"{SF2}/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs).collect()}
