@@ -299,7 +299,7 @@ def unlinked_pairs(placed: DataFrame, parts: DataFrame) -> DataFrame:
     i, j: the tile.  In a bucket the texts outside its largest component meet all texts.
     """
     # of at most 2 * NEAREST + 1 texts all pairs were taken
-    hot = placed.where((F.col("n") > 2 * NEAREST + 1) & (F.col("n") <= BUCKET)).select("bucket", "band", "node", "samples")
+    hot = placed.where(F.col("n") > min(2 * NEAREST + 1, BUCKET)).select("bucket", "band", "node", "samples")
     hot = written(hot.join(parts.select("node", F.col("component").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node")), "hot")
     mixed = hot.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
     mixed = mixed.agg(F.sum("k").alias("n"), F.max(F.struct("k", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")

@@ -278,6 +278,13 @@ def test_nearest_strangers_hide_no_near_copy(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs).collect()} == truth
 
 
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    docs, truth = templates(spark)
+    monkeypatch.setattr(near_dedup, "BUCKET", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs).collect()} == truth
+
+
 def test_links_against_all_pairs(spark):
     docs = spark.read.parquet(f"{SF2}/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs).collect()}
