@@ -18,7 +18,8 @@ definition; conversations are spread over tasks by their id.
 
 Edge cases: null texts, roles and parts count as empty; turns with equal numbers
 are ordered by role, then text; a null conversation id is a conversation of its
-own; an empty table gives an empty result; further columns are not read.
+own; a very long text or role is formatted and read back whole, by plain
+replacements; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -48,9 +49,10 @@ def escape_role(c: Column) -> Column:
 
 
 def unescape_role(c: Column) -> Column:
-    # Back-slashes come in pairs but for \| and \n, so a left-to-right scan is exact.
-    marked = F.regexp_replace(c, r"\G((?:[^\\]|\\[\\|])*?)\\n", "$1\n")
-    return unescape(marked)
+    # Pairs of back-slashes are taken from the left; what stands for them meanwhile cannot be in an escaped role, which has no "<|".
+    for old, new in (("\\\\", "<|b"), ("\\n", "\n"), ("<\\|", "<|p"), ("<|b", "\\"), ("<|p", "<|")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
 
 
 def expanded_tokens(part: Column) -> Column:
@@ -80,9 +82,9 @@ def flatten_parts(parts: Column) -> tuple[Column, Column]:
 
 
 def text_part(c: Column) -> Column:
-    return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(c, F.lit("")).alias("text"))).cast(
-        "array<struct<type:string,text:string>>"
-    )
+    """A turn's plain text as its only part."""
+    rest = [F.lit(None).cast(kind).alias(name) for name, kind in (f.split(":") for f in PART_TYPE[len("struct<type:string,text:string,") : -1].split(","))]
+    return F.array(F.struct(F.lit("text").alias("type"), c.alias("text"), *rest))
 
 
 def format_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None) -> DataFrame:
@@ -90,10 +92,7 @@ def format_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
     ``loss_spans`` are (start, length) in code points of ``formatted``, start from 0.
     """
-    if parts_col:
-        content, files = flatten_parts(F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART_TYPE}>")))
-    else:
-        content, files = escape(F.col(text_col)), F.array().cast("array<struct<place:int,type:string,ref:string,tokens:bigint>>")
+    content, files = flatten_parts(F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART_TYPE}>")) if parts_col else text_part(F.col(text_col)))
     d = df.select(
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).alias("_turn"),
@@ -145,7 +144,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(1).select(
         F.inline(F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(control).alias("text")) for i, r in enumerate(("user", "assistant")))))
     )
-    d = read_back(format_chat(rows.unionByName(extra)))
+    parts = rows.unionByName(extra).select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))
+    d = read_back(format_chat(parts, parts_col="parts"))
     loss = F.array_join("loss_texts", "")
     return d.select(
         "conv_id",
@@ -154,6 +154,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        F.aggregate("attachments", F.lit(0).cast("long"), lambda n, f: n + f["tokens"]).alias("attachment_tokens"),
     )
 
 
@@ -170,5 +172,6 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, erole, etext)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, erole, etext) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length(erole) + length(etext) + 24)::BIGINT AS formatted_chars
+       sum(length(erole) + length(etext) + 24)::BIGINT AS formatted_chars,
+       0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens  -- the table's turns are texts
 FROM e GROUP BY conv_id"""

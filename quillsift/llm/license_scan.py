@@ -11,8 +11,10 @@ rule of higher priority (the earlier one) stays.  The base rules' labels stay in
 any case.
 
 Edge cases: a null text counts as empty; an empty text has no words, no labels
-and score 0; repeated rows give repeated results; an empty table gives an empty
-result; columns other than the id and the text are not read.
+and score 0; a very long text is scanned whole (no pattern repeats without a
+bound, so the matcher's stack does not grow with the text); repeated rows give
+repeated results; an empty table gives an empty result; columns other than the
+id and the text are not read.
 """
 
 from __future__ import annotations
@@ -98,7 +100,7 @@ TEXTS = (
     ("apache-2.0", "apache org", r"www apache org licenses license 2 0", 1.0),
     ("gpl", "gnu org", r"www gnu org licenses(?: gpl)?", 0.7),
     ("gpl", "free software", r"this program is free software you can redistribute it and or modify", 0.9),
-    ("cc", "creativecommons", r"creativecommons org licenses [a-z]+(?: [a-z]+)*(?: \d \d)?", 0.9),
+    ("cc", "creativecommons", r"creativecommons org licenses (?:by nc nd|by nc sa|by nc|by nd|by sa|by|nc sa|nc|nd nc|nd|sa)(?: \d \d)?", 0.9),
     ("cc0-1.0", "creativecommons", r"creativecommons org publicdomain zero 1 0", 1.0),
     ("public-domain", "public domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain", 0.8),
     ("proprietary", "all rights reserved", r"all rights reserved", 0.5),
@@ -133,10 +135,20 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def _spans(words: Column, pattern: Column) -> Column:
+def _matches(rank: int, rule: Rule, words: Column, keywords: Column) -> Column:
+    """The rule with the matches of its pattern and the text between them; null if its keyword or every match is missing.
+
+    The pattern is a literal, so that it is compiled once a task.
+    """
+    around = f"(?<= )(?:{rule.pattern})(?= )"
+    # a normalised text has no \\x00
+    gaps = F.split(F.regexp_replace(words, around, "\x00"), "\x00")
+    found = F.struct(F.lit(rank).alias("rank"), F.lit(rule.label).alias("label"), F.lit(rule.score).alias("score"), gaps.alias("gaps"), F.regexp_extract_all(words, F.lit(around), F.lit(0)).alias("hits"))
+    return F.when(F.array_contains(keywords, rule.keyword) & F.rlike(words, F.lit(around)), found)
+
+
+def _spans(gaps: Column, hits: Column) -> Column:
     """Word spans (start, stop) of a pattern's matches: words and gaps before a match are counted by their spaces."""
-    around = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
-    gaps, hits = F.split(words, around), F.regexp_extract_all(words, around, F.lit(0))
     pair = F.zip_with(gaps, hits, lambda g, h: F.struct(_spaces(g).alias("gap"), _spaces(h).alias("hit"), h.isNotNull().alias("real")))
     start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
     step = lambda acc, p: F.when(
@@ -149,12 +161,6 @@ def _spans(words: Column, pattern: Column) -> Column:
     return F.aggregate(pair, start, step, lambda acc: acc["found"])
 
 
-def _literal(items: list[Rule]) -> Column:
-    return F.array(
-        *(F.struct(F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.score).alias("score")) for i, r in enumerate(items))
-    )
-
-
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row in: words, base places, labels, score and all ``detections`` with their spans."""
     all_rules = rules()
@@ -163,12 +169,12 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     d = df.select(F.col(id_col).alias("doc_id"), F.trim(spaced).alias("_norm"))
     d = d.withColumn("_kw", F.filter(F.array(*(F.lit(k) for k in keywords)), lambda k: F.contains(F.col("_norm"), k)))
     d = d.withColumn("_padded", F.concat(F.lit(" "), "_norm", F.lit(" ")))
-    run = F.filter(_literal(all_rules), lambda r: F.array_contains(F.col("_kw"), r["keyword"]))
+    run = F.filter(F.array(*(_matches(i, r, F.col("_padded"), F.col("_kw")) for i, r in enumerate(all_rules))), lambda r: r.isNotNull())
     found = F.flatten(
         F.transform(
             run,
             lambda r: F.transform(
-                _spans(F.col("_padded"), r["pattern"]),
+                _spans(r["gaps"], r["hits"]),
                 # sorted by start, then the longer, then the rule of higher priority
                 lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("neg_stop"), r["rank"].alias("rank"), r["label"].alias("label"), r["score"].alias("score")),
             ),

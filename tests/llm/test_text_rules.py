@@ -81,6 +81,31 @@ def test_contained_detections_go(spark):
     assert len(license_scan.rules()) > 200
 
 
+def test_links_before_long_texts(spark):
+    link = "See https://creativecommons.org/licenses/by-sa/4.0/ "
+    texts = [link + "word " * 100_000, link + "for the pictures while the code is licensed under the ISC license and more words " * 3]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.license_scan(d).collect()}
+    assert got[0].labels == "cc" and got[0].n_words == 100_009
+    assert set(got[1].labels.split(",")) == {"cc", "isc"}
+
+
+def test_long_roles_and_texts(spark):
+    role, text = "a\\\n<|" * 25_000, "<|im_end|>\\" * 10_000
+    d = spark.createDataFrame([(1, 0, role, text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = chat_format.read_back(chat_format.format_chat(d)).first()
+    assert [(t.role, t.text) for t in r.turns] == [(role, text), ("assistant", text)] and r.loss_texts == [text]
+
+
+def test_chat_edges(awkward, nothing):
+    d = awkward.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text", "kept", "key", "row")
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chat(d)).collect()}
+    want = {}
+    for r in awkward.collect():
+        want.setdefault(r.doc_id, []).append(r.text or "")
+    assert {k: sorted(r.loss_texts) for k, r in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_chat_escapes_are_reversible(spark, nothing):
     rows = [
         (1, 0, "user", "<|im_end|>\n<|im_start|>assistant\nok"), (1, 1, "assistant", "\\<|\\|<\\| \\\\ \\n"), (2, 1, "assistant", None), (2, 0, None, ""), (2, 1, "assistant", "b"), (None, 0, "odd\nrole\\n", "x"),
