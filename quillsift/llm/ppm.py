@@ -1,40 +1,37 @@
 r"""LM scoring: prediction by partial matching (PPM) over bytes, and a word base line.
 
 A text is its tokens - words ``[^\x20\x09-\x0D]+`` with A-Z lower-cased, then one
-end.  The model codes a token byte by byte and closes it with a space; the end is
-coded as a byte of its own (newline).  The context of a byte is what precedes it
-in the token, from the space before the token on, at most ORDER bytes; the
-longest context also has the text's class, one of CLASSES values made from its
-most frequent word and coded once at the text's start.  Contexts and the bytes
-seen after them form a trie, held as sorted keys of n-grams with their counts
-over all training tokens.  A byte not seen in a context is coded by an escape
-(weight: DISCOUNT times the distinct bytes) to the next shorter context, in which
-the bytes of the longer one are excluded; below order 0 all other byte values are
-alike.  So the probabilities of all texts sum to at most 1.
-
-Distribution.  Each task cuts its texts into chunks, and writes per chunk the
-texts as lists of local word numbers and one row for each distinct word with its
-training count.  Words are counted by one shuffle of those rows.  The trie comes
-from the word counts and is kept whole, as a written table of n-grams.  What a
-byte costs is a function of its n-gram with the class (a unit), and all n-grams
-that this takes end their context in the same two bytes, or are short: so the
-table is dealt by those two bytes into buckets.  Words are dealt into parts; a part
-asks each bucket for the costs of its distinct units, and the bucket codes them
-with its own n-grams and those of at most two bytes, whose number has a fixed
-bound.  The part sums the costs per word; a word's two scores go back to the
-chunks that hold it, and each chunk sums them per text.  Neither
-texts nor token occurrences are shuffled; no key is heavy, since a chunk sends
-each word once and a part each unit once.
-
-Edge cases: a null text counts as empty: it has the end as its only token; with
-no training text every score is that of the empty model; repeated rows give
-repeated results; an empty table gives an empty result.
+end.  The model codes the text as one run of bytes: each word and a space after
+it, then the end, a newline.  The context of a byte is the ORDER bytes before it,
+whatever words they belong to; before a text stand ORDER newlines, as after the
+end of another one.  Contexts and the bytes seen after them in the training texts
+form a trie of all orders from ORDER to 0.  A byte not seen in a context is coded
+by an escape (weight: DISCOUNT times the distinct bytes) to the next shorter
+context, in which the bytes of the longer one are excluded; below order 0 all
+other byte values are alike.  So the probabilities of all texts sum to at most 1.
+
+Distribution.  What a byte costs is a function of its window, the byte and its
+context.  Each task cuts its texts into chunks and writes per chunk the texts as
+lists of local word numbers, one row for each distinct word and one for each
+distinct window, with their counts in training texts.  Words and windows are
+counted by shuffles of those rows; no key is heavy, since a chunk sends each word
+and window once.  The windows' counts hold the whole trie, and it grows with the
+input: shorter contexts are sums over longer ones.  Windows are dealt into buckets
+by the last three bytes of their context, so that all contexts of order 3 and more
+that a window needs are in its bucket (at most 2^24 windows share those bytes);
+the orders below, at most 2^24 entries, go to all tasks.  The costs of a chunk's
+windows go back to it, and it sums them along its texts.  Neither texts nor
+occurrences are shuffled.
+
+Edge cases: a null text counts as empty: it has the end as its only token; a very
+long text is scored whole, in one chunk that grows by it; with no training text
+every byte has the same cost; repeated rows give repeated results; an empty table
+gives an empty result; only the id and the text are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,18 +44,20 @@ from pyspark.sql import Window as W
 from quillsift.llm.common import crc32_mod, release, table, whole_text, written
 
 ORDER = 5
+#: Orders below this one are shared by all tasks; the bytes by which windows are dealt.
+LOW_ORDERS = 3
 #: Weight of a seen byte value in a context's escape.
 DISCOUNT = 0.5
-#: Classes of texts.
-CLASSES = 32
-#: N-grams of a bucket of the trie on average, and words of a part at most, about.
-BUCKET_GRAMS, PART_WORDS = 200_000, 600_000
+#: Windows of a bucket on average.
+BUCKET_WINDOWS = 400_000
 #: Tokens of a chunk; a text is in one chunk, which may grow by it.
 CHUNK_TOKENS = 3_000_000
-#: Bits of a slot for the word's number in its chunk, and for the chunk's number in its task.
-NUMBER_BITS, CHUNK_BITS = 26, 12
+#: Bytes whose windows are worked on at once.
+PIECE_BYTES = 2_000_000
+#: Bits of a chunk's number for its place in its task.
+CHUNK_BITS = 24
 FOLDS = 10
-SPACE, END = 0x20, b"\n"
+END = b"\n"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -67,12 +66,9 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def text_class(counts: Counter) -> int:
-    """The class of a text, from its most frequent word (of equal ones the smallest)."""
-    if not counts:
-        return 0
-    most = max(counts.values())
-    return zlib.crc32(min(w for w, n in counts.items() if n == most)) % CLASSES
+def code(word: bytes) -> bytes:
+    """What is coded for a token."""
+    return word if word == END else word + b" "
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -84,63 +80,138 @@ def from_planes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
 
 
+# --- windows --------------------------------------------------------------
+
+
+def windows(codes: list[bytes]) -> np.ndarray:
+    """The window of each coded byte of the texts; its last byte is lowest."""
+    sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+    pad = END * ORDER
+    buf = np.frombuffer(pad + pad.join(codes), np.uint8)
+    n = len(buf) - ORDER
+    out = np.zeros(n, np.int64)
+    for i in range(ORDER + 1):
+        out <<= 8
+        out |= buf[i : i + n]
+    # windows that end in the newlines between texts are not coded
+    keep = np.ones(n, bool)
+    ends = np.cumsum(sizes + ORDER)[:-1] - ORDER
+    keep[(ends[:, None] + np.arange(ORDER)).ravel()] = False
+    return out[keep]
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def windows_in_parts(codes: list[bytes]) -> Iterator[np.ndarray]:
+    """All windows of the texts; one that is alone may be very long and comes in parts, each with the context before it."""
+    if len(codes) == 1:
+        text = codes[0]
+        for s in range(0, len(text), PIECE_BYTES):
+            yield windows([text[max(0, s - ORDER) : s + PIECE_BYTES]])[min(s, ORDER) :]
+    elif codes:
+        yield windows(codes)
+
+
+class WindowCounts:
+    """Distinct windows of some texts with their counts in the training ones among them."""
+
+    def __init__(self):
+        self.codes: tuple[list[bytes], list[bytes]] = ([], [])  # training, held out
+        self.size = 0
+        self.keys, self.counts = [], []
+
+    def add(self, coded: bytes, held: bool) -> None:
+        self.codes[held].append(coded)
+        self.size += len(coded)
+        if self.size >= PIECE_BYTES:
+            self.work()
+
+    def work(self) -> None:
+        for held, codes in enumerate(self.codes):
+            for w in windows_in_parts(codes):
+                keys, n = np.unique(w, return_counts=True)
+                self.keys.append(keys)
+                self.counts.append(np.zeros(len(n), np.int64) if held else n)
+            codes.clear()
+        self.size = 0
+        if len(self.keys) > 16:
+            self.merge()
+
+    def merge(self) -> None:
+        if self.keys:
+            keys, counts = summed(np.concatenate(self.keys), np.concatenate(self.counts))
+            self.keys, self.counts = [keys], [counts]
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        self.work()
+        self.merge()
+        return (self.keys[0], self.counts[0]) if self.keys else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 # --- the chunks -----------------------------------------------------------
 
+CHUNK_FIELDS = "kind int, chunk long, place int, word binary, window long, trained long, ids array<long>, held array<boolean>, sizes binary, numbers binary, known binary"
+
 
 def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per chunk one row of kind 0 with its texts, and rows of kind 1 with its distinct words.
+    """Per chunk one row of kind 0 with its texts, rows of kind 1 with its distinct words and of kind 2 with its windows.
 
-    slot: task, chunk and the number of the word and class in the chunk, in one
-    number; key: the class and the word; trained: their count in the chunk's
-    training texts; ids, held, classes, sizes, words: the packed texts.
+    place: the word's number in the chunk; trained: the count in the chunk's
+    training texts (0 for what only held-out texts have); ids, held, sizes,
+    numbers, known: the packed texts and their words.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_mod(id_col, FOLDS) == 0).alias("held_out"), whole_text(text_col).alias("text"))
-    fields = ["kind", "slot", "key", "trained", "ids", "held", "classes", "sizes", "words"]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
+    names = [f.split()[0] for f in CHUNK_FIELDS.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
+
+    def batch(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, n = TaskContext.get().partitionId(), 0
-        numbers: list[dict[bytes, int]] = [{} for _ in range(CLASSES)]
-        ids, held, classes, sizes, lists, size, last = [], [], [], [], [], 0, 0
+        number: dict[bytes, int] = {}
+        ids, held, sizes, lists, size, seen = [], [], [], [], 0, WindowCounts()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal numbers, ids, held, classes, sizes, lists, size, last, n
-            chunk = (task << CHUNK_BITS | n) << NUMBER_BITS
+            nonlocal number, ids, held, sizes, lists, size, seen, n
+            if n >> CHUNK_BITS:
+                raise OverflowError("a task has too many chunks")
+            chunk = task << CHUNK_BITS | n
             n += 1
             flat = np.concatenate(lists)
-            train = np.repeat(~np.array(held), sizes)
-            trained = np.bincount(flat[train], minlength=last)
-            # words of held-out texts that no training text of the chunk has come with count 0
+            trained = np.bincount(flat[np.repeat(~np.array(held), sizes)], minlength=len(number))
+            words = list(number)
             pack = zstandard.ZstdCompressor(3).compress
-            texts = [np.array(classes, np.uint8).tobytes(), pack(np.array(sizes, "<i8").tobytes()), pack(planes(flat))]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((0, chunk, None, None, ids, held, *texts), kinds)], fields)
-            for k, known in enumerate(numbers):
-                mark, words, at = bytes([k]), list(known), np.fromiter(known.values(), np.int64, len(known))
-                for s in range(0, len(words), 50_000):
-                    part = at[s : s + 50_000]
-                    m = len(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(m, np.int32)), pa.array(chunk | part), pa.array([mark + w for w in words[s : s + 50_000]], pa.binary()), pa.array(trained[part].astype(np.int64)), *(pa.nulls(m, x) for x in kinds[4:])],
-                        fields,
-                    )
-            numbers = [{} for _ in range(CLASSES)]
-            ids, held, classes, sizes, lists, size, last = [], [], [], [], [], 0, 0
+            # the end is the only word with a newline, which takes the place of a space
+            known = pack(b" ".join(words).replace(END, b""))
+            yield batch(1, kind=[0], chunk=[chunk], ids=[ids], held=[held], sizes=[pack(np.array(sizes, "<i8").tobytes())], numbers=[pack(planes(flat))], known=[known])
+            number, ids, held, sizes, lists, size = {}, [], [], [], [], 0
+            for s in range(0, len(words), 50_000):
+                part = words[s : s + 50_000]
+                m = len(part)
+                yield batch(m, kind=np.ones(m, np.int32), chunk=np.full(m, chunk), place=np.arange(s, s + m, dtype=np.int32), word=part, trained=trained[s : s + m].astype(np.int64))
+            keys, counts = seen.done()
+            seen = WindowCounts()
+            for s in range(0, len(keys), 50_000):
+                m = len(keys[s : s + 50_000])
+                yield batch(m, kind=np.full(m, 2, np.int32), chunk=np.full(m, chunk), window=keys[s : s + m], trained=counts[s : s + m])
 
         for b in batches:
             for i, out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 words = tokens(text.as_py())
-                counts = Counter(words)
-                k = text_class(counts)
-                known = numbers[k]
-                for w in (*counts, END):
-                    if w not in known:
-                        known[w] = last
-                        last += 1
                 words.append(END)
-                lists.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                classes.append(k)
+                lists.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+                seen.add(b" ".join(words), out)  # the end follows a space, too
                 ids.append(i)
                 held.append(out)
                 sizes.append(len(words))
@@ -151,238 +222,104 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield from flush()
         release()
 
-    return rows.mapInArrow(run, "kind int, slot long, key binary, trained long, ids array<long>, held array<boolean>, classes binary, sizes binary, words binary")
+    return rows.mapInArrow(run, CHUNK_FIELDS)
 
 
 # --- the trie -------------------------------------------------------------
-# An n-gram of n bytes is one key: n in the top byte, then a byte for the class, then
-# up to 6 bytes.  With a class, n has the mark CLASSED.
-CLASSED = 16
 
 
-def _runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all words in a row: (bytes, each byte's place in its word's code, its word's number).
-
-    A word's code is a space (a context only), its bytes, and a closing space; the
-    end's code has no closing space.
-    """
-    coded = [b" " + w + (b"" if w == END else b" ") for w in words]
-    sizes = np.array([len(c) for c in coded], np.int64)
-    flat = np.frombuffer(b"".join(coded), np.uint8)
-    starts = np.cumsum(sizes) - sizes
-    return flat, np.arange(len(flat)) - np.repeat(starts, sizes), np.repeat(np.arange(len(words)), sizes)
-
-
-def _packed(flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """The n bytes before each position ``at``, the last one lowest."""
-    out = np.zeros(len(at), np.uint64)
-    for i in range(n):
-        out |= flat[at - 1 - i].astype(np.uint64) << np.uint64(8 * i)
-    return out
-
+class Level:
+    """All contexts of one order: n-grams of order + 1 bytes in rising order, and sums over the bytes of a context."""
 
-def _top(n: int) -> np.uint64:
-    return np.uint64(n << 56)
+    def __init__(self, order: int, keys: np.ndarray, counts: np.ndarray):
+        self.order, self.keys, self.counts = order, keys, counts.astype(np.float64)
+        # n-grams of a context stand together
+        context = keys >> 8
+        self.starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.empty(0, np.int64)
+        self.contexts = context[self.starts]
+        self.total = np.add.reduceat(self.counts, self.starts) if len(keys) else self.counts
+        self.distinct = np.diff(np.append(self.starts, len(keys))).astype(np.float64)
 
+    def shorter(self) -> Level:
+        return Level(self.order - 1, *summed(self.keys & ((1 << 8 * self.order) - 1), self.counts))
 
-def _classes(classes: np.ndarray) -> np.ndarray:
-    return classes.astype(np.uint64) << np.uint64(48)
 
+def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in rising keys, -1 where missing."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.searchsorted(keys, wanted).clip(0, len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
-def ngram_counts(words: list[bytes], classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of the n-grams of all coded bytes: of every order, and with the class of the longest one."""
-    flat, place, word = _runs(words)
-    weight, kind = np.asarray(counts, np.float64)[word], np.asarray(classes)[word]
-    keys, sums = [], []
-
-    def add(key: np.ndarray, w: np.ndarray) -> None:
-        u, inverse = np.unique(key, return_inverse=True)
-        keys.append(u)
-        sums.append(np.bincount(inverse, w, len(u)).astype(np.int64))
-
-    for order in range(ORDER + 1):
-        at = np.flatnonzero(place >= max(order, 1))
-        gram = _packed(flat, at + 1, order + 1)
-        add(gram | _top(order + 1), weight[at])
-        longest = np.minimum(place[at], ORDER) == order
-        at, gram = at[longest], gram[longest]
-        add(gram | _classes(kind[at]) | _top(order + 1 + CLASSED), weight[at])
-    return np.concatenate(keys), np.concatenate(sums)
-
-
-def _context(keys: np.ndarray) -> np.ndarray:
-    """The context that an n-gram's last byte stands in."""
-    low = keys & np.uint64((1 << 48) - 1)
-    return (keys & np.uint64(0xFF << 48)) | (low >> np.uint64(8)) | (((keys >> np.uint64(56)) - np.uint64(1)) << np.uint64(56))
 
+class Trie:
+    """What coding a byte in a context costs, in log10; levels: of falling orders, down to 0 or to what ``low`` goes on with.
 
-def _shorter(keys: np.ndarray) -> np.ndarray:
-    """Without the class, else without the first byte; of a key of no bytes a key that is in no table."""
-    n = (keys >> np.uint64(56)).astype(np.int64)
-    classed = n >= CLASSED
-    m = np.maximum(n - 1, 0)
-    low = keys & np.uint64((1 << 48) - 1)
-    mask = (np.uint64(1) << (np.uint64(8) * np.minimum(m, 6).astype(np.uint64))) - np.uint64(1)
-    plain = np.where(n > 0, (low & mask) | (m.astype(np.uint64) << np.uint64(56)), np.uint64((1 << 64) - 1))
-    return np.where(classed, low | ((n - CLASSED).clip(0).astype(np.uint64) << np.uint64(56)), plain)
+    ``low`` may hold more contexts than those that the levels lead to.
+    """
 
-
-class Trie:
-    """Arrays over the sorted n-grams: what coding a byte in a context costs, in log10."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, c = keys[order].astype(np.uint64), counts[order].astype(np.float64)
-        self.contexts, at = np.unique(_context(self.keys), return_inverse=True)
-        size = len(self.contexts)
-        total = np.bincount(at, c, size)
-        distinct = np.bincount(at, minlength=size).astype(np.float64)
-        # counts of the same bytes one context shorter: an escape excludes them there.  Counts only grow
-        # as contexts get shorter, so a byte kept in a context is also kept in the shorter one.
-        p = self._find(self.keys, _shorter(self.keys))
-        excluded = np.bincount(at, np.where(p >= 0, c[p], 0.0) if len(c) else None, size)
-        q = self._find(self.contexts, _shorter(self.contexts))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.log_count = np.log10(c)
-            # if the context is the longest known one
-            self.log_total = np.log10(total + DISCOUNT * distinct)
-            self.escape = np.log10(DISCOUNT * distinct) - self.log_total
-            # what holds in the next shorter context after an escape from this one
-            rest_total, rest_distinct = (np.where(q >= 0, x[q] - y, 0.0) for x, y in ((total, excluded), (distinct, distinct))) if size else (total, distinct)
-            rest = rest_distinct > 0
-            self.after_total = np.where(rest, np.log10(rest_total + DISCOUNT * rest_distinct), 0.0)
-            # with no other byte left there the escape from it is certain
-            self.after_escape = np.where(rest, np.log10(DISCOUNT * rest_distinct) - self.after_total, 0.0)
-        # byte values that order 0 leaves to the uniform rest
-        root = self._find(self.contexts, np.zeros(1, np.uint64))[0]
-        self.uniform = -float(np.log10(max(256 - (distinct[root] if root >= 0 else 0), 1)))
-
-    def _find(self, keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.full(len(wanted), -1)
-        at = np.searchsorted(keys, wanted).clip(0, len(keys) - 1)
-        return np.where(keys[at] == wanted, at, -1)
+    def __init__(self, levels: list[Level], low: Trie | None = None):
+        self.levels = levels + (low.levels if low else [])
+        self.escaped = []
+        for level, below in zip(levels, self.levels[1:]):
+            # what holds in the next shorter context after an escape, which excludes this context's bytes; counts
+            # only grow as contexts get shorter, so all of these bytes are there
+            same = find(below.keys, level.keys & ((1 << 8 * (below.order + 1)) - 1))
+            c = find(below.contexts, level.contexts & ((1 << 8 * below.order) - 1))
+            gone = np.add.reduceat(below.counts[same], level.starts) if len(level.keys) else np.empty(0)
+            self.escaped.append((below.total[c] - gone, below.distinct[c] - level.distinct))
+        self.escaped += low.escaped if low else []
+        root = self.levels[-1]
+        #: byte values that order 0 leaves to the uniform rest
+        self.uniform = -float(np.log10(max(256 - len(root.keys), 1)))
 
     def costs(self, wanted: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each unit."""
-        low = wanted & np.uint64((1 << 48) - 1)
-        size = (wanted >> np.uint64(56)).astype(np.int64) - CLASSED - 1
+        """log10 probability of the last byte of each window."""
         out = np.zeros(len(wanted))
-        left = np.ones(len(wanted), bool)  # bytes not coded yet
-        last = np.full(len(wanted), -1)  # the context just escaped from, if any
-        for order in range(ORDER + 1, -1, -1):  # the context with the class first
-            if order > ORDER:
-                at, entry = np.arange(len(wanted)), wanted
-            else:
-                at = np.flatnonzero(left & (size >= order))
-                entry = (low[at] & np.uint64((1 << 8 * (order + 1)) - 1)) | _top(order + 1)
-            c = self._find(self.contexts, _context(entry))
-            at, c, entry = at[c >= 0], c[c >= 0], entry[c >= 0]
-            e = self._find(self.keys, entry)
-            hit, before = e >= 0, last[at]
-            if len(at):
-                total = np.where(before >= 0, self.after_total[before], self.log_total[c])
-                escape = np.where(before >= 0, self.after_escape[before], self.escape[c])
-                out[at] += np.where(hit, self.log_count[e] - total, escape)
-            left[at[hit]] = False
-            last[at[~hit]] = c[~hit]
+        left = np.arange(len(wanted))  # bytes not coded yet
+        total, distinct = np.full(len(wanted), -1.0), np.zeros(len(wanted))  # after an escape, by place in left
+        for k, level in enumerate(self.levels):
+            gram = wanted[left] & ((1 << 8 * (level.order + 1)) - 1)
+            c = find(level.contexts, gram >> 8)
+            known = c >= 0
+            fresh = known & (total < 0)
+            total[fresh], distinct[fresh] = level.total[c[fresh]], level.distinct[c[fresh]]
+            e = find(level.keys, gram)
+            hit, miss = e >= 0, known & (e < 0)
+            out[left[hit]] += np.log10(level.counts[e[hit]] / (total[hit] + DISCOUNT * distinct[hit]))
+            # with no other byte left in a context the escape from it is certain
+            some = miss & (distinct > 0)
+            out[left[some]] += np.log10(DISCOUNT * distinct[some] / (total[some] + DISCOUNT * distinct[some]))
+            if k < len(self.escaped):
+                for now, after in zip((total, distinct), self.escaped[k]):
+                    now[miss] = after[c[miss]]
+            left, total, distinct = left[~hit], total[~hit], distinct[~hit]
         out[left] += self.uniform
         return out
 
-    def log10(self, words: list[bytes], classes: np.ndarray) -> np.ndarray:
-        """log10 probability of each word's code in a text of that class."""
-        wanted, word = units(words, classes)
-        return np.bincount(word, self.costs(wanted), len(words))
-
-
-def units(words: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram with the class, its word's number) of each coded byte, with the longest context."""
-    flat, place, word = _runs(words)
-    keys = np.zeros(len(flat), np.uint64)
-    for order in range(1, ORDER + 1):
-        at = np.flatnonzero(np.minimum(place, ORDER) == order)
-        keys[at] = _packed(flat, at + 1, order + 1) | _classes(np.asarray(classes)[word[at]]) | _top(order + 1 + CLASSED)
-    return keys[place > 0], word[place > 0]
-
 
-def trie(vocabulary: DataFrame) -> DataFrame:
-    """(gram, n) of all n-grams of the counted words."""
+def levels_of(keys: np.ndarray, counts: np.ndarray, order: int, last: int) -> list[Level]:
+    """Levels from ``order`` down to ``last``, from the n-grams of the first."""
+    out = [Level(order, *summed(keys, counts))]
+    while out[-1].order > last:
+        out.append(out[-1].shorter())
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, 30_000):
-                part = b.slice(s, 30_000)
-                if part.num_rows:
-                    keys, counts = ngram_counts(part.column(0).to_pylist(), part.column(1).to_numpy(), part.column(2).to_numpy())
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["gram", "n"])
-        release()
 
-    return written(vocabulary.where("c > 0").select("word", "class", "c").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-
-
-def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    """The bucket of an n-gram, by the last two bytes of its context."""
-    ends = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
-    return ((ends * np.uint64(2654435761) >> np.uint64(12)) % np.uint64(n_buckets)).astype(np.int64)
-
-
-def word_scores(vocabulary: DataFrame, n_words: int) -> DataFrame:
-    """(key, n, ppm) of each class and word."""
-    grams = trie(vocabulary)
-    length = F.shiftrightunsigned("gram", 56).bitwiseAND(CLASSED - 1)
-    # bounded: 256 first bytes, 2^16 pairs, and CLASSES * 256 first bytes of words
-    few = grams.where(length <= 2).toArrow()
-    short = grams.sparkSession.sparkContext.broadcast((few.column("gram").to_numpy().view(np.uint64), few.column("n").to_numpy()))
-    n_buckets = max(1, -(-grams.count() // BUCKET_GRAMS))
-    known = grams.where(length > 2).withColumn("bucket", F.expr(f"shiftright((shiftrightunsigned(gram, 8) & 65535L) * 2654435761L, 12) % {n_buckets}L"))
-    # words of one class share most of their units
-    parts = -(-n_words // PART_WORDS) or 1
-    dealt = vocabulary.select("word", "class", "n", (F.pmod(F.xxhash64("word"), F.lit(parts)) * CLASSES + F.col("class")).alias("part"))
-
-    def wanted(words: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct units by bucket, the place of each coded byte's unit, its word's number, and the units' buckets."""
-        keys, word = units(words.column("word").to_pylist(), words.column("class").to_numpy())
-        keys, at = np.unique(keys, return_inverse=True)
-        bucket = bucket_of(keys, n_buckets)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return keys[order], place[at], word, bucket[order]
-
-    def ask(words: pa.Table) -> pa.Table:
-        keys, _, _, bucket = wanted(words)
-        some, starts = np.unique(bucket, return_index=True)
-        pack = zstandard.ZstdCompressor(3).compress
-        # rising keys: their differences, by bytes of equal weight
-        packed = [pack(np.diff(k, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()) for k in np.split(keys, starts[1:])]
-        out = pa.table({"bucket": pa.array(some), "part": pa.array(np.full(len(some), words.column("part")[0].as_py(), np.int64)), "units": pa.array(packed, pa.binary())})
-        release()
-        return out
+def costed(grams: DataFrame) -> DataFrame:
+    """(window, cost) of each distinct window; grams: (window, n)."""
+    low = grams.where("n > 0").groupBy(F.col("window").bitwiseAND((1 << 8 * LOW_ORDERS) - 1).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    shared = grams.sparkSession.sparkContext.broadcast(Trie(levels_of(low.column("gram").to_numpy(), low.column("n").to_numpy(), LOW_ORDERS - 1, 0)))
+    n_buckets = max(1, -(-grams.count() // BUCKET_WINDOWS))
+    ends = F.shiftright("window", 8).bitwiseAND((1 << 8 * LOW_ORDERS) - 1)
+    dealt = grams.select(F.pmod(F.xxhash64(ends), F.lit(n_buckets)).alias("bucket"), "window", "n")
 
-    def code(grams: pa.Table, asked: pa.Table) -> pa.Table:
-        keys, counts = grams.column("gram").to_numpy().view(np.uint64), grams.column("n").to_numpy()
-        model = Trie(np.concatenate([short.value[0], keys]), np.concatenate([short.value[1], counts]))
-        pack, unpack = zstandard.ZstdCompressor(3).compress, zstandard.ZstdDecompressor().decompress
-        out = []
-        for u in asked.column("units"):
-            k = np.cumsum(np.ascontiguousarray(np.frombuffer(unpack(u.as_py()), np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
-            out.append(pack(model.costs(k).view(np.uint8).reshape(-1, 8).T.tobytes()))
-        del model
-        release()
-        return pa.table({"part": asked.column("part"), "bucket": asked.column("bucket"), "costs": pa.array(out, pa.binary())})
-
-    def add(words: pa.Table, costs: pa.Table) -> pa.Table:
-        _, place, word, _ = wanted(words)
-        unpack = zstandard.ZstdDecompressor().decompress
-        cost = np.concatenate([np.ascontiguousarray(np.frombuffer(unpack(c.as_py()), np.uint8).reshape(8, -1).T).view(np.float64).reshape(-1) for c in costs.sort_by("bucket").column("costs")])
-        keys = [bytes([k]) + w for k, w in zip(words.column("class").to_pylist(), words.column("word").to_pylist())]
-        out = pa.table({"key": pa.array(keys, pa.binary()), "n": words.column("n"), "ppm": pa.array(np.bincount(word, cost[place], words.num_rows))})
-        release()
-        return out
+    def run(t: pa.Table) -> pa.Table:
+        keys, n = t.column("window").to_numpy(), t.column("n").to_numpy()
+        trie = Trie(levels_of(keys[n > 0], n[n > 0], ORDER, LOW_ORDERS), shared.value)
+        return pa.table({"window": pa.array(keys), "cost": pa.array(trie.costs(keys))})
 
-    asked = dealt.groupBy("part").applyInArrow(ask, "bucket long, part long, units binary")
-    costs = known.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(code, "part long, bucket long, costs binary")
-    return dealt.groupBy("part").cogroup(costs.groupBy("part")).applyInArrow(add, "key binary, n long, ppm double")
+    return dealt.groupBy("bucket").applyInArrow(run, "window long, cost double")
 
 
 # --- scoring --------------------------------------------------------------
@@ -391,38 +328,56 @@ def word_scores(vocabulary: DataFrame, n_words: int) -> DataFrame:
 def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of each text under the word base line and under PPM, both learned from the rows not held out."""
     cut = written(chunks(df, id_col, text_col), "chunks")
-    local = cut.where("kind = 1").select("slot", "key", "trained")
-    pairs = local.groupBy("key").agg(F.sum("trained").alias("c")).select(F.substring("key", 2, 1 << 30).alias("word"), F.expr("conv(hex(substring(key, 1, 1)), 16, 10)").cast("int").alias("class"), "c")
-    # a word has CLASSES rows at most; its row of the least class counts it
     word = W.partitionBy("word")
-    vocabulary = written(pairs.select("*", F.sum("c").over(word).alias("n"), (F.min("class").over(word) == F.col("class")).alias("once")), "vocabulary")
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("once") & (F.col("n") > 0)).alias("v"), F.count(F.lit(1)).alias("k")).first()
+    counted = cut.where("kind = 1").select("chunk", "place", "trained", F.sum("trained").over(word).alias("n"), (F.row_number().over(word.orderBy("chunk")) == 1).alias("once"))
+    counted = written(counted, "words")
+    sums = counted.agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("n"), F.count_if(F.col("once") & (F.col("n") > 0)).alias("v")).first()
     total, distinct = int(sums.n), int(sums.v)
-    ends = dict(vocabulary.where(F.col("word") == F.lit(END)).select("class", "c").toLocalIterator())
-    # the class is coded once a text, by its share of the training texts
-    class_cost = np.log10([(ends.get(k, 0) + 0.5) / (sum(ends.values()) + 0.5 * CLASSES) for k in range(CLASSES)])
-    scored = word_scores(vocabulary, int(sums.k))
-    back = local.select("slot", "key").join(scored, "key").select(F.col("slot").bitwiseAND((1 << NUMBER_BITS) - 1).cast("int").alias("at"), "n", "ppm", F.shiftright("slot", NUMBER_BITS).alias("chunk"))
-    texts = cut.where("kind = 0").select(F.shiftright("slot", NUMBER_BITS).alias("of"), "ids", "held", "classes", "sizes", "words")
+    local = cut.where("kind = 2").select("chunk", "window", "trained")
+    grams = written(local.groupBy("window").agg(F.sum("trained").alias("n")), "windows")
+    costs = local.select("chunk", "window").join(costed(grams).hint("merge"), "window")
+    back = counted.select(F.col("chunk").alias("of"), F.lit(False).alias("is_window"), F.col("place").cast("long").alias("key"), F.col("n").cast("double").alias("value"))
+    back = back.unionByName(costs.select(F.col("chunk").alias("of"), F.lit(True).alias("is_window"), F.col("window").alias("key"), F.col("cost").alias("value")))
+    texts = cut.where("kind = 0").select("chunk", "ids", "held", "sizes", "numbers", "known")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def gather(_key, texts: pa.Table, words: pa.Table) -> pa.Table:
-        at = words.column("at").to_numpy()
-        c, ppm = np.zeros(len(at), np.int64), np.zeros(len(at))
-        c[at], ppm[at] = words.column("n").to_numpy(), words.column("ppm").to_numpy()
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def gather(_key, texts: pa.Table, back: pa.Table) -> pa.Table:
+        is_window, key, value = (back.column(c).to_numpy() for c in ("is_window", "key", "value"))
+        c = np.zeros(len(key) - int(is_window.sum()), np.int64)
+        c[key[~is_window]] = value[~is_window]
+        order = np.argsort(key[is_window])
+        seen, cost = key[is_window][order], value[is_window][order]
         base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
         out: list[list] = [[] for _ in names]
         for r in texts.to_pylist():
             unpack = zstandard.ZstdDecompressor().decompress
-            sizes, flat = np.frombuffer(unpack(r["sizes"]), "<i8"), from_planes(unpack(r["words"]))
+            sizes, flat = np.frombuffer(unpack(r["sizes"]), "<i8"), from_planes(unpack(r["numbers"]))
+            codes = [code(w or END) for w in unpack(r["known"]).split(b" ")]
             starts = np.cumsum(sizes) - sizes
-            for o, v in zip(out, (r["ids"], r["held"], sizes.tolist(), np.add.reduceat((c > 0)[flat].astype(np.int64), starts).tolist(), [total] * len(sizes), np.add.reduceat(base[flat], starts).tolist(), (np.add.reduceat(ppm[flat], starts) + class_cost[np.frombuffer(r["classes"], np.uint8)]).tolist())):
+            score: list[float] = []
+            held, size = [], 0
+
+            def work() -> None:
+                nonlocal held, size
+                if held:
+                    costs = [cost[np.searchsorted(seen, w)] for w in windows_in_parts(held)]
+                    n = np.fromiter(map(len, held), np.int64, len(held))
+                    score.extend(np.add.reduceat(costs[0], np.cumsum(n) - n).tolist() if len(costs) == 1 else [sum(float(c.sum()) for c in costs)])
+                    held, size = [], 0
+
+            for s, n in zip(starts.tolist(), sizes.tolist()):
+                held.append(b"".join(map(codes.__getitem__, flat[s : s + n].tolist())))
+                size += len(held[-1])
+                if size >= PIECE_BYTES:
+                    work()
+            work()
+            for o, v in zip(out, (r["ids"], r["held"], sizes.tolist(), np.add.reduceat((c > 0)[flat].astype(np.int64), starts).tolist(), [total] * len(sizes), np.add.reduceat(base[flat], starts).tolist(), score)):
                 o.extend(v)
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         release()
         return pa.table([pa.array(o, k) for o, k in zip(out, kinds)], names)
 
-    return texts.groupBy("of").cogroup(back.groupBy("chunk")).applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,31 +63,26 @@ def test_toxicity_edges(spark, awkward, nothing):
 
 
 class Plain:
-    """PPM by dictionaries, one byte at a time."""
+    """PPM by dictionaries, one byte at a time, over whole texts."""
 
-    def __init__(self, rows):
+    def __init__(self, texts):
         self.ctx = {}
-        for w, k, c in rows:
-            code = self.code(w)
-            for i in range(1, len(code)):
-                for x in self.chain(code, i, k):
-                    self.ctx.setdefault(x, Counter())[code[i]] += c
+        for t in texts:
+            code = self.code(t)
+            for i in range(ppm.ORDER, len(code)):
+                for k in range(ppm.ORDER + 1):
+                    self.ctx.setdefault(code[i - k : i], Counter())[code[i]] += 1
 
     @staticmethod
-    def code(w):
-        return b" " + w + (b"" if w == ppm.END else b" ")
+    def code(text):
+        return b"\n" * ppm.ORDER + b"".join(w + b" " for w in ppm.tokens(text)) + b"\n"
 
-    @staticmethod
-    def chain(code, i, k):
-        m = min(ppm.ORDER, i)
-        return [(k, code[i - m : i])] + [code[i - j : i] for j in range(m, -1, -1)]
-
-    def log10(self, w, k):
-        code, out = self.code(w), 0.0
-        for i in range(1, len(code)):
+    def log10(self, text):
+        code, out = self.code(text), 0.0
+        for i in range(ppm.ORDER, len(code)):
             gone, coded = set(), False
-            for x in self.chain(code, i, k):
-                live = {b: c for b, c in self.ctx.get(x, {}).items() if b not in gone}
+            for k in range(ppm.ORDER, -1, -1):
+                live = {b: c for b, c in self.ctx.get(code[i - k : i], {}).items() if b not in gone}
                 if not live:
                     continue
                 total, distinct = sum(live.values()), ppm.DISCOUNT * len(live)
@@ -102,71 +97,64 @@ class Plain:
         return out
 
 
+def trained(texts):
+    keys, n = np.unique(ppm.windows([Plain.code(t)[ppm.ORDER :] for t in texts]), return_counts=True)
+    return ppm.Trie(ppm.levels_of(keys, n, ppm.ORDER, 0))
+
+
 def test_trie_against_dictionaries():
     rng = random.Random(2)
-    words = list({bytes(rng.choice(b"abcde") for _ in range(rng.randrange(1, 9))) for _ in range(80)}) + [ppm.END]
-    rows = [(w, rng.randrange(3), rng.randrange(1, 9)) for w in words]
-    plain = Plain(rows)
-    trie = ppm.Trie(*ppm.ngram_counts([r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows])))
-    asked = words + [b"zzz", b"", b"abcdeabcde", "é".encode()]
-    classes = np.array([i % 4 for i in range(len(asked))])
-    assert np.allclose(trie.log10(asked, classes), [plain.log10(w, k) for w, k in zip(asked, classes)], atol=1e-9)
-    none = ppm.Trie(np.empty(0, np.uint64), np.empty(0, np.int64))
-    assert np.allclose(none.log10([b"ab", ppm.END], np.array([0, 1])), [-3 * math.log10(256), -math.log10(256)])
+    texts = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(12))) for _ in range(40)]
+    plain, trie = Plain(texts), trained(texts)
+    for t in [*texts, "zzz", "", "abcdeabcde", "é ab Ab"]:
+        assert trie.costs(ppm.windows([Plain.code(t)[ppm.ORDER :]])).sum() == pytest.approx(plain.log10(t))
+    none = ppm.Trie(ppm.levels_of(np.empty(0, np.int64), np.empty(0, np.int64), ppm.ORDER, 0))
+    assert none.costs(ppm.windows([b"ab \n", b"\n"])).sum() == pytest.approx(-5 * math.log10(256))
 
 
 def test_codes_sum_to_at_most_one():
-    trie = ppm.Trie(*ppm.ngram_counts([b"a", b"ab", ppm.END], np.array([0, 0, 0]), np.array([5, 2, 1])))
-    one = [bytes([b]) for b in range(256) if b not in (0x20, 0x0A)] + [ppm.END, b""]
-    assert (10 ** trie.log10(one, np.zeros(len(one), int))).sum() <= 1 + 1e-9
+    trie = trained(["a ab", "ab a a", "abc", ""])
+    for context in (b"\n\n\n\n\n", b"a ab ", b"\n\nab ", b"zzzzz", b"zzzza"):
+        one = int.from_bytes(context, "big") << 8
+        assert (10 ** trie.costs(one + np.arange(256))).sum() == pytest.approx(1)
 
 
 def test_op6_against_a_loop(spark, monkeypatch):
-    monkeypatch.setattr(ppm, "CHUNK_TOKENS", 2000)  # several chunks
+    monkeypatch.setattr(ppm, "CHUNK_TOKENS", 2000)  # several chunks, pieces and buckets
+    monkeypatch.setattr(ppm, "PIECE_BYTES", 5000)
+    monkeypatch.setattr(ppm, "BUCKET_WINDOWS", 3000)
     got = {r.doc_id: r for r in ppm.op6_lm_scoring(spark, SF).collect()}
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in docs}
-    toks = {i: ppm.tokens(t or "") for i, t in docs.items()}
-    kind = {i: ppm.text_class(Counter(t)) for i, t in toks.items()}
-    c, pairs, ends = Counter(), Counter(), Counter()
+    toks = {i: [*ppm.tokens(t), ppm.END] for i, t in docs.items()}
+    c = Counter()
     for i, t in toks.items():
         if not held[i]:
-            c.update([*t, ppm.END])
-            pairs.update((w, kind[i]) for w in [*t, ppm.END])
-            ends[kind[i]] += 1
+            c.update(t)
     n, v = sum(c.values()), len(c)
-    plain = Plain([(w, k, x) for (w, k), x in pairs.items()])
+    plain = Plain([t for i, t in docs.items() if not held[i]])
     assert got.keys() == docs.keys()
     for i, t in toks.items():
-        r, t = got[i], [*t, ppm.END]
+        r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
-    for i in list(docs)[:25]:
-        first = math.log10((ends[kind[i]] + 0.5) / (sum(ends.values()) + 0.5 * ppm.CLASSES))
-        assert got[i].score == pytest.approx(first + sum(plain.log10(w, kind[i]) for w in [*toks[i], ppm.END]))
+    for i in list(docs)[:60]:
+        assert got[i].score == pytest.approx(plain.log10(docs[i]))
 
 
-def test_the_trie_is_kept_whole(spark, monkeypatch):
-    # more n-grams than the 2^20 that were once kept, nearly all of count 1, in several buckets and parts
-    monkeypatch.setattr(ppm, "PART_WORDS", 60_000, raising=False)
+def test_the_trie_grows_and_word_order_counts(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10)) for _ in range(150_000)]
     texts = [(i, " ".join(words[s : s + 500])) for i, s in enumerate(range(0, len(words), 500))]
-    got = {r.doc_id: r.score for r in ppm.lm_score(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
-    counts, ends = Counter(), Counter()
-    for i, t in texts:
-        if zlib.crc32(str(i).encode()) % 10:
-            k = ppm.text_class(Counter(ppm.tokens(t)))
-            counts.update((w, k) for w in [*ppm.tokens(t), ppm.END])
-            ends[k] += 1
-    keys, n = ppm.ngram_counts([w for w, _ in counts], np.array([k for _, k in counts]), np.array(list(counts.values())))
-    assert len(keys) > 1 << 20
-    whole = ppm.Trie(keys, n)
-    for i, t in texts[:40]:
-        k = ppm.text_class(Counter(ppm.tokens(t)))
-        first = math.log10((ends[k] + 0.5) / (sum(ends.values()) + 0.5 * ppm.CLASSES))
-        w = [*ppm.tokens(t), ppm.END]
-        assert got[i] == pytest.approx(first + whole.log10(w, np.full(len(w), k)).sum())
+    known = [i for i, _ in texts if zlib.crc32(str(i).encode()) % 10][:5]
+    mixed = [(1000 + i, " ".join(sorted(texts[i][1].split()))) for i in known]
+    rows = spark.createDataFrame(texts + mixed, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.score for r in ppm.lm_score(rows).collect()}
+    whole = trained([t for i, t in texts + mixed if zlib.crc32(str(i).encode()) % 10])
+    assert len(whole.levels[0].keys) > 1 << 20
+    for i, t in texts[:20] + mixed:
+        assert got[i] == pytest.approx(whole.costs(ppm.windows([Plain.code(t)[ppm.ORDER :]])).sum())
+    assert all(abs(got[i] - got[1000 + i]) > 1 for i in known)
 
 
 def test_the_model_beats_the_base_line_on_held_out_texts(spark):
