@@ -10,23 +10,23 @@ a bucket that agree in enough samples of all are verified by their exact weighte
 Jaccard similarity; verified pairs of THRESHOLD or more are linked, and the links'
 connected components are the classes.
 
-Scale.  Equal texts are one node (a 64-bit hash) from the start, so groups of
-copies are never multiplied.  A bucket of more than BUCKET texts is cut by the
-next bands' keys, and what is still too large into blocks that share the bucket's
-first text.  Within a bucket a text is paired with all candidates if they are few,
-else with its NEAREST ones.  A pair may come from each bucket it shares, since any of
-them may be cut.  These are only short cuts: after the components of the first links,
-an exact round compares in each bucket that was not compared whole all texts that are
-still in different components, in tiles of bounded size, and verifies every pair that
-agrees in enough samples.  Its cost grows with the square of a bucket only for texts
-outside the bucket's largest component.  The idf share is small on purpose: in
-a large group of near copies the common shingles are frequent, and with a full idf
-their few differences would outweigh them.
+Scale.  Equal texts are one node from the start (by two 64-bit hashes), so groups of
+copies are never multiplied.  A bucket of more than BUCKET texts is cut by the next
+bands' keys, and what is still too large into blocks.  Within a bucket a text is
+paired with all candidates if they are few, else with its NEAREST ones.  A pair may
+come from each bucket it shares, since any of them may be cut.  These are only short
+cuts: after the components of the first links, an exact round compares in each bucket
+that was not compared whole all texts that are still in different components, in
+tiles of bounded size, and verifies within the tile every pair that agrees in enough
+samples.  A tile gives back at most one link for each of its texts, never its pairs.
+The idf share is small on purpose: in a large group of near copies the common
+shingles are frequent, and with a full idf their few differences would outweigh them.
 
 Edge cases: a null text counts as empty; texts without words are alike only if
-equal; rows of equal texts, also with equal or null ids, are one class; the class
-id is the least id in the class (null if all are); an empty table gives an empty
-result; only the id and the text are read.
+equal; very long texts count with all their shingles; of ties the smaller node comes
+first; rows of equal texts, also with equal or null ids, are one class; the class id
+is the least id in the class (null if all are); an empty table gives an empty
+result; only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import release, small_batches, table, whole_text, written
@@ -46,17 +46,26 @@ from quillsift.operators.components import connected_components
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-#: Samples that a pair must share to be verified (of similar pairs 0.3 % share fewer).
-AGREE = 17
+#: Samples that a pair must share to be verified (of pairs at the threshold 1 in 5,000 share fewer).
+AGREE = 15
 IDF_SHARE = 0.1
 #: Counters of the document frequency table, and the pieces it is summed in.
 DF_BITS, DF_PIECES = 20, 256
 #: Texts of a bucket that are compared in one piece; blocks of larger ones.
 BUCKET, BLOCK = 512, 512
+#: Texts of a side of a tile of the exact round, and their shingles, about.
+TILE_TEXTS, TILE_SHINGLES = 2048, 2_000_000
+#: Tasks that the texts of a class are dealt to.
+SALTS = 16
 #: Partners of a text in a bucket with many candidates.
 NEAREST = 4
 
 
+def text_hashes(text_col: str = "text") -> tuple[Column, Column]:
+    """Two hashes by which equal texts are known."""
+    return F.xxhash64(whole_text(text_col)).alias("hash"), F.xxhash64(F.lit(1), whole_text(text_col)).alias("hash2")
+
+
 # --- weights --------------------------------------------------------------
 
 
@@ -73,20 +82,32 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
             parts = [zlib.compress(p.astype("<i4").tobytes(), 1) for p in np.split(seen, DF_PIECES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(DF_PIECES), pa.int32()), pa.array(parts, pa.binary())], ["piece", "counts"])
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(size // DF_PIECES, np.int64)
-        for c in t.column("counts"):
-            total += np.frombuffer(zlib.decompress(c.as_py()), "<i4")
-        return pa.table({"piece": t.column("piece").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of a piece come one after the other, so one sum is held
+        at, total = None, None
+        for b in batches:
+            for piece, c in zip(b.column(0).to_pylist(), b.column(1)):
+                if piece != at:
+                    if at is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "counts"])
+                    at, total = piece, np.zeros(size // DF_PIECES, np.int64)
+                total += np.frombuffer(zlib.decompress(c.as_py()), "<i4")
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "counts"])
 
     out = np.zeros((DF_PIECES, size // DF_PIECES), np.int64)
-    for r in docs.select("text").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").toLocalIterator():
+    counted = docs.select("text").mapInArrow(count, "piece int, counts binary").repartition("piece").sortWithinPartitions("piece")
+    for r in counted.mapInArrow(add, "piece int, counts binary").toLocalIterator():
         out[r.piece] = np.frombuffer(bytes(r.counts), np.int64)
     return out.reshape(-1)
 
 
 def idf_table(df: np.ndarray, n: int) -> np.ndarray:
-    """idf between 0 (in every text) and 1 (in none)."""
+    """idf between 0 (in every text) and 1 (in none).
+
+    The counters' median, what other shingles add to each of them, is taken off first, so that a large corpus does not fill them.
+    """
+    df = np.maximum(df - int(np.median(df)), 0)
     return (np.log((1 + n) / (1 + np.minimum(df, n))) / np.log(1 + max(n, 1))).astype(np.float32)
 
 
@@ -148,35 +169,37 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(nodes: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(node, doc_id, samples, keys) for each row; samples and keys are null for texts without words."""
-    shared = nodes.sparkSession.sparkContext.broadcast(idf)
+def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(hash, hash2, doc_id, samples, keys, shingles) for each row of docs (hash, hash2, doc_id, text); samples and keys are null for texts without words."""
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sampler = shared.value, Sampler()
         for b in batches:
-            rows = []
-            for text in b.column(2):
+            rows, sizes = [], []
+            for text in b.column(3):
                 h, w = weighted_set(text.as_py(), table)
                 rows.append(sampler.draw(h, w) if len(h) else None)
+                sizes.append(len(h))
             some = np.array([r for r in rows if r is not None], np.uint32).reshape(-1, SAMPLES)
             keys = iter(band_keys(some).tolist())
+            drawn = [None if r is None else r.astype("<u4").tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([None if r is None else r.astype("<u4").tobytes() for r in rows], pa.binary()), pa.array([None if r is None else next(keys) for r in rows], pa.list_(pa.int64()))],
-                ["node", "doc_id", "samples", "keys"],
+                [*b.columns[:3], pa.array(drawn, pa.binary()), pa.array([None if r is None else next(keys) for r in rows], pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                ["hash", "hash2", "doc_id", "samples", "keys", "shingles"],
             )
         release()
 
-    return nodes.mapInArrow(run, "node long, doc_id long, samples binary, keys array<long>")
+    return docs.select("hash", "hash2", "doc_id", "text").mapInArrow(run, "hash long, hash2 long, doc_id long, samples binary, keys array<long>, shingles long")
 
 
 # --- candidates -----------------------------------------------------------
 
 
 def in_buckets(texts: DataFrame) -> DataFrame:
-    """Each text in each of its buckets with two texts or more; texts: one row per node with samples and keys."""
-    placed = texts.select("node", "samples", "keys", F.posexplode("keys").alias("band", "bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
+    """Each text in each of its buckets with two texts or more; texts: one row per node with samples, keys and shingles."""
+    placed = texts.select("node", "samples", "keys", "shingles", F.posexplode("keys").alias("band", "bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return written(placed.join(sizes, "bucket"), "buckets")
 
 
@@ -187,14 +210,14 @@ def buckets(placed: DataFrame) -> DataFrame:
     step = F.explode(F.array(*(F.lit(i) for i in (1, 2, 3))))
     finer = placed.where(F.col("n") > BUCKET).withColumn("step", step)
     finer = finer.withColumn("fine", F.xxhash64("bucket", "step", F.expr(f"keys[(band + step) % {BANDS}]")))
-    fine = finer.groupBy("fine").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("head")).where("m > 1")
+    fine = finer.groupBy("fine").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("first")).where("m > 1")
     # both sides of the join come straight from a shuffle, so that Spark can split the partition of a hot cut
-    finer = finer.drop("first").join(written(fine, "cuts"), "fine")
+    finer = finer.join(written(fine, "cuts"), "fine")
     few = finer.where(F.col("m") <= BUCKET).select(F.col("fine").alias("bucket"), "node", "samples")
     many = finer.where(F.col("m") > BUCKET)
     blocks = F.ceil(F.col("m") / BLOCK)
     # texts of a cut that is still large are dealt to blocks, and its first text goes to each of them
-    block = F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(7)), blocks)))
+    block = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(7)), blocks)))
     many = many.withColumn("block", F.explode(block)).select(F.xxhash64("fine", "block").alias("bucket"), "node", "samples")
     # what does not meet so is left to the exact round
     return small.unionByName(few).unionByName(many)
@@ -264,13 +287,19 @@ def pairs(placed: DataFrame) -> DataFrame:
 # --- verification and classes --------------------------------------------
 
 
-def verified(links: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """The pairs whose weighted Jaccard similarity is at least the threshold; nodes: (node, doc_id, text), links also with doc ids."""
+def text_of(nodes: DataFrame, docs: DataFrame, one: DataFrame) -> DataFrame:
+    """(node, text) of distinct nodes; of the rows that hold a text one with its least id is taken."""
+    ends = nodes.select("node").join(one.select("node", "hash", "hash2", F.col("doc_id").alias("_id")), "node")
+    # the texts are shuffled alike at every size
+    found = docs.join(ends.hint("merge"), ["hash", "hash2"]).where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    return found.dropDuplicates(["hash", "hash2"]).select("node", "text")
+
+
+def verified(links: DataFrame, docs: DataFrame, one: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity is at least the threshold."""
     shared = links.sparkSession.sparkContext.broadcast(idf)
-    ends = links.select(F.col("a").alias("node"), F.col("id_a").alias("doc_id")).unionByName(links.select(F.col("b").alias("node"), F.col("id_b").alias("doc_id"))).distinct()
-    # one row of each text that is in a pair; the texts are shuffled alike at every size
-    texts = nodes.join(ends.hint("merge"), [nodes["node"] == ends["node"], nodes["doc_id"].eqNullSafe(ends["doc_id"])], "left_semi").select("node", "text").dropDuplicates(["node"])
-    texts = written(texts, "texts")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = written(text_of(ends, docs, one), "texts")
     d = links.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     d = d.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("a", "b", "text_a", "text_b")
 
@@ -291,64 +320,83 @@ def verified(links: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: flo
 # --- the exact round ------------------------------------------------------
 
 TILE = ["bucket", "i", "j"]
+TILE_FIELDS = "bucket long, i long, j long, left boolean, node long, samples binary, band int, part long, asks boolean"
+
+
+def tile_pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (left, right) of a tile whose pair has to be verified, some left rows at a time.
+
+    Pairs of different components that agree in enough samples.  Two texts that both ask
+    meet twice and count once, and a pair belongs to the first band it shares: if that
+    bucket is not in this round, all its pairs were verified.
+    """
+    left, node, part, asks = (t.column(c).to_numpy(zero_copy_only=False) for c in ("left", "node", "part", "asks"))
+    samples = np.frombuffer(b"".join(t.column("samples").to_pylist()), "<u4").reshape(-1, SAMPLES)
+    keys, band = band_keys(samples), t.column("band")[0].as_py()
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    columns = np.ascontiguousarray(samples[y].T)
+    for s in range(0, len(x), 128):
+        own = x[s : s + 128]
+        same = np.zeros((len(own), len(y)), np.uint8)
+        for k in range(SAMPLES):
+            same += samples[own, k][:, None] == columns[k][None, :]
+        p, q = np.nonzero((same >= AGREE) & (part[own][:, None] != part[y][None, :]))
+        p, q = own[p], y[q]
+        use = (~asks[q] | (node[p] < node[q])) & (np.argmax(keys[p] == keys[q], axis=1) == band)
+        yield p[use], q[use]
 
 
-def unlinked_pairs(placed: DataFrame, parts: DataFrame) -> DataFrame:
-    """(bucket, i, j, a, b, part_a, part_b, agree): pairs of different components in buckets that were not compared whole.
+def tiles(placed: DataFrame, parts: DataFrame) -> DataFrame:
+    """TILE_FIELDS: the texts of each tile that are in a pair to verify.
 
-    i, j: the tile.  In a bucket the texts outside its largest component meet all texts.
+    In a bucket that was not compared whole the texts outside its largest component ask all texts; the two
+    sides are dealt into blocks, and a tile is a block of either.
     """
     # of at most 2 * NEAREST + 1 texts all pairs were taken
-    hot = placed.where(F.col("n") > min(2 * NEAREST + 1, BUCKET)).select("bucket", "band", "node", "samples")
+    hot = placed.where(F.col("n") > min(2 * NEAREST + 1, BUCKET)).select("bucket", "band", "node", "samples", "shingles")
     hot = written(hot.join(parts.select("node", F.col("component").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node")), "hot")
-    mixed = hot.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
-    mixed = mixed.agg(F.sum("k").alias("n"), F.max(F.struct("k", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = mixed.select("bucket", F.col("most.part").alias("main"), F.ceil((F.col("n") - F.col("most.k")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("columns"))
+    mixed = hot.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("k"), F.sum("shingles").alias("s")).groupBy("bucket")
+    mixed = mixed.agg(F.sum("k").alias("n"), F.sum("s").alias("s"), F.max(F.struct("k", "part", "s")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n, s: F.greatest(F.ceil(n / TILE_TEXTS), F.ceil(s / TILE_SHINGLES))
+    mixed = mixed.select("bucket", F.col("most.part").alias("main"), blocks(F.col("n") - F.col("most.k"), F.col("s") - F.col("most.s")).alias("rows"), blocks(F.col("n"), F.col("s")).alias("columns"))
     d = hot.join(written(mixed, "mixed"), "bucket").withColumn("asks", F.col("part") != F.col("main"))
     block = lambda n: F.pmod(F.xxhash64("node"), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    held = ["bucket", "band", "node", "samples", "part", "asks"]
-    asking = d.where("asks").select(*held, block(F.col("rows")).alias("i"), every(F.col("columns")).alias("j"), F.lit(True).alias("left"))
-    asked = d.select(*held, every(F.col("rows")).alias("i"), block(F.col("columns")).alias("j"), F.lit(False).alias("left"))
+    held = ["node", "samples", "band", "part", "asks"]
+    asking = d.where("asks").select("bucket", block(F.col("rows")).alias("i"), every(F.col("columns")).alias("j"), F.lit(True).alias("left"), *held)
+    asked = d.select("bucket", every(F.col("rows")).alias("i"), block(F.col("columns")).alias("j"), F.lit(False).alias("left"), *held)
 
     def run(t: pa.Table) -> pa.Table:
-        left = t.column("left").to_numpy()
-        node, part, asks = (t.column(c).to_numpy() for c in ("node", "part", "asks"))
-        samples = np.frombuffer(b"".join(t.column("samples").to_pylist()), "<u4").reshape(-1, SAMPLES)
-        keys, band = band_keys(samples), t.column("band")[0].as_py()
-        x, y = np.flatnonzero(left), np.flatnonzero(~left)
-        found = []
-        for s in range(0, len(x), 256):
-            own = x[s : s + 256]
-            same = np.zeros((len(own), len(y)), np.uint8)
-            for k in range(SAMPLES):
-                same += samples[own, k][:, None] == samples[y, k][None, :]
-            p, q = np.nonzero((same >= AGREE) & (part[own][:, None] != part[y][None, :]))
-            agree, p, q = same[p, q], own[p], y[q]
-            # two texts that both ask meet twice; and a pair belongs to the first band it shares: if that
-            # bucket is not in this round, all its pairs were verified
-            use = (~asks[q] | (node[p] < node[q])) & (np.argmax(keys[p] == keys[q], axis=1) == band)
-            found.append((p[use], q[use], agree[use]))
-        p, q, agree = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-        tile = [pa.array(np.full(len(p), t.column(c)[0].as_py(), np.int64)) for c in TILE]
-        return pa.table([*tile, *(pa.array(v) for v in (node[p], node[q], part[p], part[q], agree.astype(np.int32)))], names=[*TILE, "a", "b", "part_a", "part_b", "agree"])
-
-    return asking.unionByName(asked).groupBy(*TILE).applyInArrow(run, "bucket long, i long, j long, a long, b long, part_a long, part_b long, agree int")
-
-
-def exact_links(unlinked: DataFrame, docs: DataFrame, one: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """(a, b): components that a verified pair links; each text goes once to each tile that has a pair of it."""
-    shared = unlinked.sparkSession.sparkContext.broadcast(idf)
-    # names of their own: both sides of the cogroup come from the same table
-    at = [f"of_{c}" for c in TILE]
-    ends = unlinked.select(*(F.col(c).alias(x) for c, x in zip(TILE, at)), F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = ends.select("node").distinct().join(one.select("node", "doc_id"), "node")
-    texts = docs.join(ids.hint("merge"), [docs["node"] == ids["node"], docs["doc_id"].eqNullSafe(ids["doc_id"])], "left_semi").select("node", "text").dropDuplicates(["node"])
-    texts = ends.join(texts.hint("merge"), "node").select(*at, "node", "text")
-
-    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        table = shared.value
-        sets = {n: weighted_set(t.as_py(), table) for n, t in zip(texts.column("node").to_pylist(), texts.column("text"))}
+        some = np.zeros(t.num_rows, bool)
+        for p, q in tile_pairs(t):
+            some[p] = some[q] = True
+        return t.filter(pa.array(some))
+
+    return asking.unionByName(asked).groupBy(*TILE).applyInArrow(run, TILE_FIELDS)
+
+
+def exact_links(held: DataFrame, docs: DataFrame, one: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b): components that a verified pair of a tile links; held: what ``tiles`` gives."""
+    shared = held.sparkSession.sparkContext.broadcast(idf)
+    texts = written(text_of(held.select("node").distinct(), docs, one), "tile-texts")
+    d = held.join(texts.hint("merge"), "node").select(*(f.split()[0] for f in TILE_FIELDS.split(", ")), "text")
+
+    def run(t: pa.Table) -> pa.Table:
+        node, part, text = (t.column(c) for c in ("node", "part", "text"))
+        node, part = node.to_numpy(), part.to_numpy()
+        right = np.flatnonzero(~t.column("left").to_numpy(zero_copy_only=False))
+        sets = {n: None for n in node.tolist()}
+        for n, x in zip(node.tolist(), text):
+            if sets[n] is None:
+                sets[n] = weighted_set(x.as_py(), shared.value)
+        # the right side's sets one after the other, by numbers of the tile's shingles
+        place = np.full(t.num_rows, -1)
+        place[right] = np.arange(len(right))
+        sizes = [len(sets[n][0]) for n in node[right].tolist()]
+        known, flat = np.unique(np.concatenate([sets[n][0] for n in node[right].tolist()]), return_inverse=True)
+        weights = np.concatenate([sets[n][1] for n in node[right].tolist()]).astype(np.float64)
+        starts = np.cumsum(sizes) - sizes
+        sums = np.add.reduceat(weights, starts)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -357,48 +405,66 @@ def exact_links(unlinked: DataFrame, docs: DataFrame, one: DataFrame, idf: np.nd
             return x
 
         links = []
-        for a, b, x, y in zip(*(c.to_pylist() for c in pairs.sort_by([("agree", "descending"), ("a", "ascending"), ("b", "ascending")]).select(["a", "b", "part_a", "part_b"]).columns)):
-            u, v = root(x), root(y)
-            if u != v and weighted_jaccard(sets[a], sets[b]) >= threshold:
-                parent[max(u, v)] = min(u, v)
-                links.append((x, y))
+        for p, q in tile_pairs(t):
+            cut = np.flatnonzero(np.diff(p)) + 1
+            for a, ys in zip(p[np.concatenate([[0], cut])].tolist() if len(p) else (), np.split(q, cut)):
+                mine = root(int(part[a]))
+                ys = ys[[root(x) != mine for x in part[ys].tolist()]]
+                if not len(ys):
+                    continue
+                h, w = sets[int(node[a])]
+                if len(ys) <= 8:
+                    like = np.array([weighted_jaccard((h, w), sets[int(node[y])]) for y in ys])
+                else:
+                    dense = np.zeros(len(known))
+                    at = np.searchsorted(known, h).clip(0, len(known) - 1)
+                    dense[at[known[at] == h]] = w[known[at] == h]
+                    low = np.add.reduceat(np.minimum(dense[flat], weights), starts)[place[ys]]
+                    like = low / (float(w.sum(dtype=np.float64)) + sums[place[ys]] - low)
+                for y in ys[like >= threshold]:
+                    u, v = root(int(part[a])), root(int(part[y]))
+                    if u != v:
+                        parent[max(u, v)] = min(u, v)
+                        links.append((int(part[a]), int(part[y])))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return unlinked.groupBy(*TILE).cogroup(texts.groupBy(*at)).applyInArrow(run, "a long, b long")
+    return d.groupBy(*TILE).applyInArrow(run, "a long, b long")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, node, component, class_id, class_rows) for each row: rows of a class are copies or near copies of each other.
+    """(doc_id, hash, hash2, component, class_id, class_rows) for each row: rows of a class are copies or near copies of each other.
 
-    node: hash of the text; component: the least node of the class; class_id: the least id.
+    hash, hash2: of the text; component: a number of the class within this run; class_id: its least id.
     """
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    docs = docs.select(F.xxhash64("text").alias("node"), "doc_id", "text")
+    docs = docs.select(*text_hashes("text"), "doc_id", "text")
     n = docs.count()
     idf = idf_table(document_frequencies(docs), n)
     drawn = written(sketches(docs, idf), "sketches")
     release()
-    # one row per text: the least id stands for it
-    one = drawn.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"))
-    one = written(one, "nodes")
-    texts = drawn.join(one.select("node", F.col("doc_id").alias("_id")), "node").where(F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("keys").isNotNull())
-    texts = texts.select("node", "samples", "keys").dropDuplicates(["node"])
+    # one row per text: the least id stands for it; the number of a node is fixed by writing it
+    one = drawn.groupBy("hash", "hash2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"))
+    one = written(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    texts = drawn.join(one.select("hash", "hash2", "node", F.col("doc_id").alias("_id")), ["hash", "hash2"]).where(F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("keys").isNotNull())
+    texts = texts.dropDuplicates(["hash", "hash2"]).select("node", "samples", "keys", "shingles")
     placed = in_buckets(texts)
-    links = pairs(buckets(placed))
-    for end in ("a", "b"):
-        links = links.join(one.select(F.col("node").alias(end), F.col("doc_id").alias(f"id_{end}")), end)
-    links = written(links, "pairs")
-    edges = verified(links, docs, idf, threshold)
-    parts = connected_components(edges)
-    grouped = one.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    unlinked = written(unlinked_pairs(placed, parts), "unlinked")
-    if not unlinked.isEmpty():
-        joined = connected_components(exact_links(unlinked, docs, one, idf, threshold)).select(F.col("node").alias("component"), F.col("component").alias("_least"))
-        grouped = grouped.join(joined, "component", "left").withColumn("component", F.coalesce("_least", "component")).drop("_least")
-    sizes = grouped.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("n_rows").alias("class_rows"))
-    classes = grouped.select("node", "component").join(sizes, "component").select("node", "component", "class_id", "class_rows")
-    return drawn.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "component", "class_id", "class_rows")
+    links = written(pairs(buckets(placed)), "pairs")
+    parts = connected_components(verified(links, docs, one, idf, threshold))
+    held = written(tiles(placed, parts), "tiles")
+    if not held.isEmpty():
+        joined = connected_components(exact_links(held, docs, one, idf, threshold)).select(F.col("node").alias("part"), F.col("component").alias("_least"))
+        # a component without first links is its only node
+        every = parts.unionByName(joined.select(F.col("part").alias("node"), F.col("part").alias("component"))).distinct()
+        parts = every.join(joined, F.col("component") == F.col("part"), "left").select("node", F.coalesce("_least", "component").alias("component"))
+        parts = written(parts, "parts")
+    # only linked texts meet those of their class, and a large class meets in several tasks
+    linked = parts.join(one, "node")
+    sizes = written(linked.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("n_rows").alias("class_rows")), "classes")
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    classes = parts.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["component", "salt"]).drop("salt")
+    classes = one.join(classes, "node", "left").select("hash", "hash2", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", "n_rows").alias("class_rows"))
+    return drawn.select("doc_id", "hash", "hash2").join(classes, ["hash", "hash2"]).select("doc_id", "hash", "hash2", "component", "class_id", "class_rows")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
