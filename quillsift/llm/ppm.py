@@ -50,6 +50,8 @@ LOW_ORDERS = 3
 DISCOUNT = 0.5
 #: Windows of a bucket on average.
 BUCKET_WINDOWS = 400_000
+#: Costs travel as whole numbers of this part of a digit, so that sums do not depend on their order.
+COST_UNIT = 2.0**-27
 #: Tokens of a chunk; a text is in one chunk, which may grow by it.
 CHUNK_TOKENS = 3_000_000
 #: Bytes whose windows are worked on at once.
@@ -307,7 +309,7 @@ def levels_of(keys: np.ndarray, counts: np.ndarray, order: int, last: int) -> li
 
 
 def costed(grams: DataFrame) -> DataFrame:
-    """(window, cost) of each distinct window; grams: (window, n)."""
+    """(window, cost) of each distinct window, in COST_UNIT; grams: (window, n)."""
     low = grams.where("n > 0").groupBy(F.col("window").bitwiseAND((1 << 8 * LOW_ORDERS) - 1).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
     shared = grams.sparkSession.sparkContext.broadcast(Trie(levels_of(low.column("gram").to_numpy(), low.column("n").to_numpy(), LOW_ORDERS - 1, 0)))
     n_buckets = max(1, -(-grams.count() // BUCKET_WINDOWS))
@@ -317,9 +319,9 @@ def costed(grams: DataFrame) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         keys, n = t.column("window").to_numpy(), t.column("n").to_numpy()
         trie = Trie(levels_of(keys[n > 0], n[n > 0], ORDER, LOW_ORDERS), shared.value)
-        return pa.table({"window": pa.array(keys), "cost": pa.array(trie.costs(keys))})
+        return pa.table({"window": pa.array(keys), "cost": pa.array(np.rint(trie.costs(keys) / COST_UNIT).astype(np.int64))})
 
-    return dealt.groupBy("bucket").applyInArrow(run, "window long, cost double")
+    return dealt.groupBy("bucket").applyInArrow(run, "window long, cost long")
 
 
 # --- scoring --------------------------------------------------------------
@@ -336,18 +338,19 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     local = cut.where("kind = 2").select("chunk", "window", "trained")
     grams = written(local.groupBy("window").agg(F.sum("trained").alias("n")), "windows")
     costs = local.select("chunk", "window").join(costed(grams).hint("merge"), "window")
-    back = counted.select(F.col("chunk").alias("of"), F.lit(False).alias("is_window"), F.col("place").cast("long").alias("key"), F.col("n").cast("double").alias("value"))
-    back = back.unionByName(costs.select(F.col("chunk").alias("of"), F.lit(True).alias("is_window"), F.col("window").alias("key"), F.col("cost").alias("value")))
+    # words have keys under 0
+    back = counted.select(F.col("chunk").alias("of"), (-1 - F.col("place")).cast("long").alias("key"), F.col("n").alias("value"))
+    back = back.unionByName(costs.select(F.col("chunk").alias("of"), F.col("window").alias("key"), F.col("cost").alias("value")))
     texts = cut.where("kind = 0").select("chunk", "ids", "held", "sizes", "numbers", "known")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def gather(_key, texts: pa.Table, back: pa.Table) -> pa.Table:
-        is_window, key, value = (back.column(c).to_numpy() for c in ("is_window", "key", "value"))
-        c = np.zeros(len(key) - int(is_window.sum()), np.int64)
-        c[key[~is_window]] = value[~is_window]
-        order = np.argsort(key[is_window])
-        seen, cost = key[is_window][order], value[is_window][order]
+        key, value = back.column("key").to_numpy(), back.column("value").to_numpy()
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        k = int(np.searchsorted(key, 0))
+        c, seen, cost = value[:k][::-1], key[k:], value[k:]
         base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
         out: list[list] = [[] for _ in names]
         for r in texts.to_pylist():
@@ -363,7 +366,7 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 if held:
                     costs = [cost[np.searchsorted(seen, w)] for w in windows_in_parts(held)]
                     n = np.fromiter(map(len, held), np.int64, len(held))
-                    score.extend(np.add.reduceat(costs[0], np.cumsum(n) - n).tolist() if len(costs) == 1 else [sum(float(c.sum()) for c in costs)])
+                    score.extend((np.add.reduceat(costs[0], np.cumsum(n) - n) * COST_UNIT).tolist() if len(costs) == 1 else [sum(int(c.sum()) for c in costs) * COST_UNIT])
                     held, size = [], 0
 
             for s, n in zip(starts.tolist(), sizes.tolist()):
