@@ -35,11 +35,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each class of copies and near copies: the one with the least id (of repeated rows one)."""
     no_id = F.lit(-(1 << 63))
     classes = near_dedup.near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    chosen = classes.groupBy("component").agg(F.min(F.struct("node", "doc_id")).alias("x"))
-    chosen = chosen.select(F.col("x.node").alias("_node"), F.coalesce("x.doc_id", no_id).alias("_id"))
-    d = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_node"), F.coalesce(F.col("doc_id").cast("long"), no_id).alias("_id"))
+    chosen = classes.groupBy("component").agg(F.min(F.struct("hash", "hash2", "doc_id")).alias("x"))
+    chosen = chosen.select(F.col("x.hash").alias("_hash"), F.col("x.hash2").alias("_hash2"), F.coalesce("x.doc_id", no_id).alias("_id"))
+    own = [h.alias(f"_{n}") for h, n in zip(near_dedup.text_hashes(), ("hash", "hash2"))]
+    d = docs.select(F.struct(*docs.columns).alias("row"), *own, F.coalesce(F.col("doc_id").cast("long"), no_id).alias("_id"))
     # the keys of the join are those of the duplicates, so rows meet without another shuffle
-    return d.join(chosen.hint("merge"), ["_node", "_id"]).dropDuplicates(["_node", "_id"]).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    keys = ["_hash", "_hash2", "_id"]
+    return d.join(chosen.hint("merge"), keys).dropDuplicates(keys).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
