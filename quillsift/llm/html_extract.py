@@ -3,19 +3,28 @@ r"""HTML extraction by tag-path ratios.
 A page is cut into tags and text; every run of text is a node with the path of
 block elements from the root to it.  Per path the text length and punctuation
 are summed and set against the number of nodes; the two ratios are smoothed over
-the nodes in page order and fused.  Nodes inside boilerplate elements (by tag
-name, role, or a word of their class or id) take no part.  The content container
-is found from the root down: as long as one child holds nearly all of the fused
-score of its parent and is itself a container, it is entered; its nodes above the
-threshold and those that stand between them are the main text.
+the nodes in page order and fused.  Paths whose fused score reaches LEVEL of the
+mean one (by text length) are content.  Marks of the page are weighed against the
+ratios: in an ``article`` or ``main`` a score counts more, in an element whose
+class or id names boilerplate less, and such elements are not smoothed with others.
+The content container is found from the root down: a child that holds nearly all
+content of its parent is entered.  Its nodes from the first one on a content path
+to the last one are the main text, with the headings before them; in an ``article``
+or ``main`` the whole of it, but for nodes with a boilerplate name whose path is none.
+
+Text that a ratio cannot tell, since it reads like an article, goes by its element:
+menus, headers, footers, asides, forms, scripts by tag and role, reader comments by
+class or id, and what is hidden.
 
 Decoding: character references are decoded; white space inside a block becomes
 one space; blocks are joined in page order by one space.
 
 Edge cases: null or empty html gives the empty text; broken markup (unclosed or
-crossing tags) is read as browsers do for the elements that matter here; a page
-without text gives the empty text; repeated rows give repeated results; an empty
-table gives an empty result; other columns are not read.
+crossing tags, stray quotes) is read as browsers do for the elements that matter
+here; a page without text gives the empty text; very long pages are read whole; of
+equal scores the first element in page order counts; repeated rows give repeated
+results; an empty table gives an empty result; only the kept columns and the html
+are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -49,54 +58,68 @@ SKIP_NAMES = frozenset(
 CONTAINER_NAMES = frozenset("header footer banner search hidden skip reply respond discussion copyright topbar masthead share social related".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_BLOCKS = HEADINGS | frozenset("p li dt dd td th blockquote pre figure figcaption".split())
-#: A child with this share of its parent's score is entered.
+#: Names of elements with reader comments, whose paths look like those of the article.
+COMMENT_NAMES = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+#: A child with this share of its parent's content is entered.
 SHARE = 0.6
-#: Nodes of the smoothing window on each side; share of the mean fused score that a node must reach.
-WINDOW, LEVEL = 2, 0.05
+#: Nodes of the smoothing window on each side; share of the mean fused score that a path must reach.
+WINDOW, LEVEL = 1, 0.25
+#: Factors of the scores in elements that mark content, and of those whose names mark boilerplate.
+MARKED, NAMED = 2.0, 0.25
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？।؟،")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"
+    # a quote opens a string only right after an equals sign
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|=)*+)(?:>|$)",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Start tags that end an open element of the same kind.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead", "tfoot")}
 SPACE = re.compile(r"\s+")
 
 
-def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+def boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """(the element takes no part, its name marks boilerplate)."""
     if tag in SKIP_TAGS or (tag == "header" and not in_article):
-        return True
-    if not attributes:
-        return False
+        return True, False
+    named = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if name == "role" and value.lower() in SKIP_ROLES:
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, False
         if name in ("class", "id") and tag not in ("html", "body", "main") and (tag != "article" or in_article):
             marks = {p.lower() for p in NAME_PARTS.findall(value)} & SKIP_NAMES
-            if marks - CONTAINER_NAMES if tag in TEXT_BLOCKS else marks:
-                return True
-    return False
+            if tag in TEXT_BLOCKS:
+                marks -= CONTAINER_NAMES
+            if marks & COMMENT_NAMES:
+                return True, False
+            named |= bool(marks)
+    return False, named
 
 
 class Node:
-    __slots__ = ("path", "chain", "text")
+    __slots__ = ("path", "chain", "text", "named", "factor")
 
-    def __init__(self, path: str, chain: tuple[int, ...], text: str):
-        self.path, self.chain, self.text = path, chain, text
+    def __init__(self, path: str, chain: tuple[int, ...], text: str, named: bool, marked: bool):
+        self.path, self.chain, self.text, self.named = path, chain, text, named
+        self.factor = NAMED if named else MARKED if marked else 1.0
 
 
 def nodes(page: str) -> tuple[list[Node], dict[int, str]]:
-    """Text nodes outside boilerplate in page order (one per block), and the tag of each element by its number."""
-    stack: list[tuple[str, int, bool]] = []  # tag, number, boilerplate
+    """Text nodes that take part in page order (one per block), and the tag of each element by its number."""
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, number, takes no part, named
     tags: dict[int, str] = {}
     out: list[Node] = []
     parts: list[str] = []
-    count = skipped = articles = 0
+    count = skipped = articles = named = 0
+    inline: list[str] = []  # open inline elements from the first one on that takes no part
 
     def flush() -> None:
         nonlocal parts
@@ -104,37 +127,48 @@ def nodes(page: str) -> tuple[list[Node], dict[int, str]]:
             text = SPACE.sub(" ", htmllib.unescape("".join(parts))).strip()
             parts = []
             if text:
-                out.append(Node("/".join(t for t, _, _ in stack), tuple(n for _, n, _ in stack), text))
+                # elements of different kinds by name have different paths
+                path = "/".join(f"{t}!" if n else t for t, _, _, n in stack)
+                out.append(Node(path, tuple(k for _, k, _, _ in stack), text, named > 0, articles > 0))
 
     def pop() -> None:
-        nonlocal skipped, articles
-        tag, _, skip = stack.pop()
+        nonlocal skipped, articles, named
+        tag, _, skip, name = stack.pop()
         skipped -= skip
+        named -= name
         articles -= tag in ("article", "main")
 
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
-            if not skipped:
+            if not skipped and not inline:
                 parts.append(page[at:])
             break
-        if m.start() > at and not skipped:
+        if m.start() > at and not skipped and not inline:
             parts.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in INLINE:
-            # inline elements do not make blocks; a hidden one or a raw one is rare enough to be read as text
+            # inline elements make no blocks; in a hidden or named one no text counts
+            if closing:
+                if tag in inline:
+                    while inline.pop() != tag:
+                        pass
+            elif inline or (m[3] and any(boilerplate(tag, m[3], articles > 0))):
+                if tag not in VOID:
+                    inline.append(tag)
             continue
         if tag == "br" or tag == "hr":
-            if not skipped:
+            if not skipped and not inline:
                 parts.append(" ")
             continue
         if tag in VOID:
             continue
         flush()
+        inline.clear()  # a block ends what was left open
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -159,11 +193,12 @@ def nodes(page: str) -> tuple[list[Node], dict[int, str]]:
                 break
         if m[3] and m[3].rstrip().endswith("/") and tag not in CONTAINER:
             continue
-        skip = boilerplate(tag, m[3], articles > 0)
+        skip, name = boilerplate(tag, m[3], articles > 0)
         count += 1
         tags[count] = tag
-        stack.append((tag, count, skip))
+        stack.append((tag, count, skip, name))
         skipped += skip
+        named += name
         articles += tag in ("article", "main")
     flush()
     return out, tags
@@ -176,8 +211,7 @@ def scores(found: list[Node]) -> list[float]:
         length[n.path] += len(n.text)
         marks[n.path] += sum(map(n.text.count, PUNCTUATION))
         number[n.path] += 1
-    text = [length[n.path] / number[n.path] for n in found]
-    punct = [1 + marks[n.path] / number[n.path] for n in found]
+    fused = [0.0] * len(found)
 
     def smooth(x: list[float]) -> list[float]:
         sums = [0.0]
@@ -185,7 +219,25 @@ def scores(found: list[Node]) -> list[float]:
             sums.append(sums[-1] + v)
         return [(sums[min(len(x), i + WINDOW + 1)] - sums[max(0, i - WINDOW)]) / (min(len(x), i + WINDOW + 1) - max(0, i - WINDOW)) for i in range(len(x))]
 
-    return [a * b for a, b in zip(smooth(text), smooth(punct))]
+    for kind in (False, True):
+        at = [i for i, n in enumerate(found) if n.named == kind]
+        text = smooth([length[found[i].path] / number[found[i].path] for i in at])
+        punct = smooth([1 + marks[found[i].path] / number[found[i].path] for i in at])
+        for i, a, b in zip(at, text, punct):
+            fused[i] = a * b
+    return fused
+
+
+def content(found: list[Node]) -> list[bool]:
+    """Whether each node is on a content path."""
+    weighed = [f * n.factor for f, n in zip(scores(found), found)]
+    total, number = defaultdict(float), defaultdict(int)
+    for n, w in zip(found, weighed):
+        total[n.path] += w
+        number[n.path] += 1
+    size = sum(len(n.text) for n in found)
+    floor = LEVEL * sum(w * len(n.text) for n, w in zip(found, weighed)) / size
+    return [total[n.path] >= floor * number[n.path] * (1 - 1e-9) for n in found]
 
 
 def extract(page: str | None) -> str:
@@ -195,39 +247,36 @@ def extract(page: str | None) -> str:
     found, tags = nodes(page)
     if not found:
         return ""
-    fused = scores(found)
-    weight = [f * len(n.text) for f, n in zip(fused, found)]
-    total: dict[int, float] = defaultdict(float)
+    strong = content(found)
+    if not any(strong):
+        strong = [True] * len(found)
+    held: dict[int, float] = defaultdict(float)
     children: dict[int, dict[int, None]] = defaultdict(dict)
-    for n, w in zip(found, weight):
+    for n, s in zip(found, strong):
         above = 0
         for c in n.chain:
-            total[c] += w
             children[above][c] = None
             above = c
-        total[0] += w
-    # an article or main element that holds text is content by its tag; an article in it that holds most of it is entered
-    marked = {c for c in total if tags.get(c) in ("article", "main")}
-    holds = {a for n in found for k, c in enumerate(n.chain) if c in marked for a in n.chain[:k]}
+        if s:
+            for c in (0, *n.chain):
+                held[c] += n.factor * len(n.text)
     root = 0
-    while tags.get(root) != "article":
-        inner = [c for c in children[root] if tags[c] in CONTAINER]
-        best = max(inner, key=lambda c: (c in marked or c in holds, total[c]), default=None)
-        if best is None:
-            break
-        named = (best in marked or best in holds) and tags.get(root) != "main"
-        if not named and total[best] < SHARE * total[root]:
-            break
-        if tags.get(root) == "main" and not (best in marked or best in holds):
+    while True:
+        best = max((c for c in children[root] if tags[c] in CONTAINER), key=lambda c: held[c], default=None)
+        if best is None or held[best] < SHARE * held[root]:
             break
         root = best
+        if tags[root] == "article":
+            break
     own = [i for i, n in enumerate(found) if root == 0 or root in n.chain]
-    floor = LEVEL * sum(fused[i] for i in own) / len(own)
-    inside_article = tags.get(root) in ("article", "main")
-    strong = [i for i in own if inside_article or fused[i] >= floor]
-    # what stands between content nodes belongs to the text
-    first, last = strong[0], strong[-1]
-    return " ".join(found[i].text for i in own if first <= i <= last)
+    good = [i for i in own if strong[i]]
+    first, last = good[0], good[-1]
+    if tags.get(root) in ("article", "main"):
+        first, last = own[0], own[-1]
+    else:  # headings before the first paragraph
+        while first > own[0] and found[first - 1].path.rsplit("/", 1)[-1] in HEADINGS:
+            first -= 1
+    return " ".join(found[i].text for i in own if first <= i <= last and (strong[i] or not found[i].named))
 
 
 def html_extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -162,6 +162,35 @@ def test_extraction(page, text):
     assert html_extract.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><p title=it's>One fine text.</p><p>Two it's here.</p></article>", "One fine text. Two it's here."),
+        ("<p>Text, one <span hidden>no</span> two <span class='advert'>no <b>x</b></span>end.</p>", "Text, one two end."),
+        ("<article><p>Part, one of the text.</p></article><article><p>Part, two of the text.</p></article>", "Part, one of the text. Part, two of the text."),
+        ("<article><p>Teaser.</p></article><div><p>The main text, long enough to count.</p><p>It goes on, and on, and on.</p></div>", "The main text, long enough to count. It goes on, and on, and on."),
+        ("<div class='ad'><p>All there is, in a named element.</p></div>", "All there is, in a named element."),
+    ],
+)
+def test_extraction_of_odd_pages(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_path_ratios_decide(monkeypatch):
+    links = "".join(f"<li>Link {i}</li>" for i in range(120))
+    long = "The first part of the text, which is long, has marks. It goes on for a while, and then ends. " * 3
+    pages = {
+        f"<div><ul>{links}</ul></div><div><h2>Head</h2><p>{long}</p><p>{long}</p></div><div><ul>{links}</ul></div>": f"Head {long.strip()} {long.strip()}",
+        f"<div><table><tr><td>{'</td><td>'.join('abcdefgh')}</td></tr></table><p>{long}</p><blockquote>{long}</blockquote></div>": f"{long.strip()} {long.strip()}",
+        f"<article><div class='promo'>Buy.</div><p>{long}</p><div class='related'>{long}</div></article>": None,
+    }
+    got = {p: html_extract.extract(p) for p in pages}
+    assert all(got[p] == want for p, want in pages.items() if want)
+    assert "Buy" not in got[list(pages)[2]]
+    monkeypatch.setattr(html_extract, "scores", lambda found: [1.0] * len(found))
+    assert all(html_extract.extract(p) != got[p] for p in list(pages)[:2])
+
+
 def test_extraction_of_every_page(spark):
     import html as h
 
