@@ -104,20 +104,48 @@ def test_packing_ids_are_those_of_the_json_vocabulary(spark):
     assert len(bins) <= -(-total // 2048) * 1.01 + 1
 
 
-def test_local_search_empties_bins():
-    # best-fit decreasing needs 4 bins here, exchanges bring it to 3
+def test_local_search_empties_bins(spark):
     lengths, size = [6, 5, 5, 4, 4, 3, 3], 10
-    start = packing.best_fit(lengths, size)
+    start = packing.as_they_come(lengths, size)
     end = packing.local_search(start, lengths, size)
     assert sorted(i for b in end for i in b) == list(range(len(lengths)))
-    assert all(sum(lengths[i] for i in b) <= size for b in end) and len(end) == 3
+    assert len(start) > len(end) == 3 and all(sum(lengths[i] for i in b) <= size for b in end)
     rng = random.Random(0)
     for _ in range(50):
         lengths = [rng.randrange(1, 100) for _ in range(rng.randrange(1, 60))]
-        end = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
+        end = packing.local_search(packing.as_they_come(lengths, 100), lengths, 100)
         assert sorted(i for b in end for i in b) == list(range(len(lengths)))
         assert all(sum(lengths[i] for i in b) <= 100 for b in end)
     assert packing.local_search([], [], 10) == []
+    # on real lengths the exchanges do the work: a fifth of the bins goes, up to the least number but one
+    encode = packing.worker_encoder(*packing.vocabulary()).encode_to_numpy
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    some = [n for t in texts for _, n in packing.cuts(len(encode(t)) + 1, 2048) if n < 2048]
+    start = packing.as_they_come(some, 2048)
+    end = packing.local_search(start, some, 2048)
+    assert len(end) <= -(-sum(some) // 2048) + 1 and len(end) < 0.85 * len(start)
+
+
+def test_no_exchange_is_left():
+    rng = random.Random(5)
+    for _ in range(30):
+        lengths = [rng.randrange(20, 60) for _ in range(20)]
+        end = packing.local_search(packing.as_they_come(lengths, 100), lengths, 100)
+        if len(end) > -(-sum(lengths) // 100):
+            state = packing.Exchanges(end, lengths, 100)
+            for s, source in enumerate(end):
+                for t, target in enumerate(end):
+                    room, fill = 100 - state.fill[t], state.fill[t]
+                    if s != t and room and state.fill[s] <= fill:
+                        out = [0, *(lengths[i] for i in target), *(lengths[i] + lengths[j] for x, i in enumerate(target) for j in target[x + 1 :])]
+                        assert not any(0 < lengths[a] - o <= room for a in source for o in out)
+
+
+def test_repeated_rows_are_dealt_to_all_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 100)
+    d = spark.createDataFrame([(1, "the same short text")] * 1000, "doc_id long, text string")
+    got = packing.best_fit_packing(d, *packing.vocabulary()).select("sequence_id").collect()
+    assert len(got) == 1000 and len({r.sequence_id >> 32 for r in got}) == 10
 
 
 def test_cuts():
