@@ -5,12 +5,15 @@ scaled by the log ratio of its share in toxic and in other training texts; a
 logistic regression with L2 weights them.  Scores use the text only.
 
 Training fits on at most ``TRAIN_ROWS`` labelled texts of each class, taken by a
-hash of the id; what of them reaches the driver has a fixed size.  N-grams that mark a
-class are picked by evidence over those texts, so the model has a fixed size
-whatever the corpus and goes to the executors by broadcast.  Scoring is one scan.
+hash of the id; what of them reaches the driver has a bound for texts of bounded
+length.  All n-grams in MIN_TEXTS of those texts or more are features; there are
+2 ** BITS hashes of n-grams, so the model has a fixed size (4 MB) whatever the corpus
+and goes to the executors by broadcast.  Scoring is one scan.
 
 Edge cases: a null text counts as empty and gets the score of a text without
-n-grams; rows whose labels are null are not learned from; without labels of both
+n-grams; very long texts count with all their n-grams, in training and in scores;
+n-grams of one hash are one feature; ties of the sample go by the id; columns of the
+table with clashing names stay as they are, inside the row; rows whose labels are null are not learned from; without labels of both
 classes every score is the share of toxic labels (0.5 if there are none);
 repeated rows give repeated results; an empty table gives an empty result.
 """
@@ -29,11 +32,11 @@ from pyspark.sql import types as T
 from quillsift.llm.common import crc32_mod, release, table, whole_text, written
 
 #: Labelled texts of each class that are fitted at most (the documented bound of the sample).
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 1000
 SIZES = (3, 4, 5, 6)
 BITS = 20
-#: Features with the largest evidence that the model keeps.
-FEATURES = 4_000
+#: Gradient steps, and the entries of the training texts that are worked on at once.
+STEPS, PIECE = 40, 1_000_000
 #: Least training texts that hold a feature; smoothing of counts; L2 strength.
 MIN_TEXTS, SMOOTH, L2 = 3, 0.5, 1.0
 FOLDS = 5
@@ -72,34 +75,40 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
 
 
 def pick(p: np.ndarray, n: np.ndarray, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed n-grams with the most evidence, their log-count ratios) from the texts of each class that hold them."""
-    ratio = np.log((p + SMOOTH) / (n_pos + 2 * SMOOTH)) - np.log((n + SMOOTH) / (n_neg + 2 * SMOOTH))
-    # evidence: how far the toxic count lies from what the class shares would give
-    total = (p + n).astype(np.float64)
-    share = n_pos / (n_pos + n_neg)
-    evidence = np.where(total >= MIN_TEXTS, np.abs(p - total * share) / np.sqrt(total * share * (1 - share) + 1e-9), 0)
-    keep = np.argsort(-evidence, kind="stable")[:FEATURES]
-    keep = keep[evidence[keep] > 0]
-    return keep, ratio[keep]
+    """(hashed n-grams that are features, their log-count ratios) from the texts of each class that hold them."""
+    keep = np.flatnonzero(p + n >= MIN_TEXTS)
+    return keep, np.log((p[keep] + SMOOTH) / (n_pos + 2 * SMOOTH)) - np.log((n[keep] + SMOOTH) / (n_neg + 2 * SMOOTH))
 
 
 def regress(y: np.ndarray, features: list[np.ndarray], ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weight of each kept n-gram, intercept): logistic regression by accelerated gradient steps, classes of equal weight."""
-    at = np.concatenate(features).astype(np.int64)
-    row = np.repeat(np.arange(len(y)), [len(c) for c in features])
-    value = ratio[at]
+    """(weight of each feature, intercept): logistic regression by accelerated gradient steps, classes of equal weight."""
+    # texts in pieces, so that only the numbers of their features are held for all of them
+    pieces, held, size = [], [], 0
+    for k, f in enumerate(features):
+        held.append(k)
+        size += len(f)
+        if size >= PIECE or k + 1 == len(features):
+            at = np.concatenate([features[i] for i in held])
+            lengths = np.array([len(features[i]) for i in held])
+            pieces.append((held[0], held[-1] + 1, at, np.repeat(np.arange(len(held)), lengths).astype(np.int32)))
+            held, size = [], 0
+    features.clear()
     n_pos, n_neg = y.sum(), len(y) - y.sum()
     weight = np.where(y == 1, 0.5 / n_pos, 0.5 / n_neg) * len(y)
-    size = np.bincount(row, value**2, len(y))
-    step = 1.0 / (0.25 * weight.max() * np.sort(size)[-max(1, len(y) // 50) :].mean() + L2)
+    norm = np.concatenate([np.bincount(row, ratio[at] ** 2, b - a) for a, b, at, row in pieces])
+    step = 1.0 / (0.25 * weight.max() * np.sort(norm)[-max(1, len(y) // 50) :].mean() + L2)
     beta, bias, before, b0 = np.zeros(len(ratio)), 0.0, np.zeros(len(ratio)), 0.0
-    for k in range(300):
+    for k in range(STEPS):
         m = k / (k + 3)
         v, c = beta + m * (beta - before), bias + m * (bias - b0)
-        z = np.bincount(row, value * v[at], len(y)) + c
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        u, slope, total = ratio * v, np.zeros(len(ratio)), 0.0
+        for a, b, at, row in pieces:
+            z = np.bincount(row, u[at], b - a) + c
+            g = weight[a:b] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b])
+            slope += np.bincount(at, g[row], len(ratio))
+            total += g.sum()
         before, b0 = beta, bias
-        beta, bias = v - step * (np.bincount(at, value * g[row], len(ratio)) + L2 * v), c - step * g.sum()
+        beta, bias = v - step * (ratio * slope + L2 * v), c - step * total
     return beta * ratio, float(bias)
 
 
@@ -123,7 +132,7 @@ def counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
 
 def kept_features(rows: DataFrame, keep: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(labels, the places in ``keep`` of each text's n-grams)."""
+    """(labels, the places in ``keep`` of each text's n-grams, rising)."""
     shared = rows.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +140,11 @@ def kept_features(rows: DataFrame, keep: np.ndarray) -> tuple[np.ndarray, list[n
         place[shared.value] = np.arange(len(shared.value), dtype=np.int32)
         for b in batches:
             out = [place[np.frombuffer(g, "<i4")] for g in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(o[o >= 0]).tobytes() for o in out], pa.binary())], ["toxic", "at"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(np.diff(np.sort(o[o >= 0]), prepend=np.int32(0)).astype("<i4").tobytes(), 1) for o in out], pa.binary())], ["toxic", "at"])
 
     # in an order that does not depend on how tasks finish
     got = sorted((r.toxic, bytes(r["at"])) for r in rows.mapInArrow(run, "toxic int, at binary").toLocalIterator())
-    return np.array([x for x, _ in got], np.float64), [np.frombuffer(x, np.int32) for _, x in got]
+    return np.array([x for x, _ in got], np.float64), [np.cumsum(np.frombuffer(zlib.decompress(x), "<i4"), dtype=np.int32) for _, x in got]
 
 
 def score_text(text: str, w: np.ndarray, known: np.ndarray, bias: float) -> float:

@@ -47,6 +47,39 @@ def test_planted_words_are_learned(spark):
     assert np.array_equal(w, w2) and bias == b2
 
 
+def brute_grams(text):
+    """The hashes of a text's distinct character n-grams, one by one."""
+    t, mask, out = f" {text.lower()} ", (1 << 64) - 1, set()
+    for n in toxicity.SIZES:
+        for i in range(len(t) - n + 1):
+            h = ord(t[i]) * 0x9E3779B97F4A7C15 & mask
+            for c in t[i + 1 : i + n]:
+                h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 + ord(c)) & mask
+            out.add((h * 0x94D049BB133111EB & mask) >> 64 - toxicity.BITS)
+    return out
+
+
+def test_scores_and_ratios_against_loops(spark):
+    rng = random.Random(3)
+    bad, plain = "vile rotten nasty".split(), "calm river stone paper green walk".split()
+    texts = [(i, " ".join(rng.choice(plain) for _ in range(12)) + (" " + rng.choice(bad) if i % 2 else ""), i % 2) for i in range(120)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    w, bias = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    learned = [(y, brute_grams(t)) for i, t, y in texts if zlib.crc32(str(i).encode()) % 5]
+    seen = {y: Counter(g for k, grams in learned if k == y for g in grams) for y in (0, 1)}
+    many = {g for g in seen[0] | seen[1] if seen[0][g] + seen[1][g] >= toxicity.MIN_TEXTS}
+    number = Counter(y for y, _ in learned)
+    p, n = (np.array([seen[y][g] for g in range(1 << toxicity.BITS)]) for y in (1, 0))
+    keep, ratio = toxicity.pick(p, n, number[1], number[0])
+    assert set(keep.tolist()) == many and set(np.flatnonzero(w).tolist()) <= many
+    g = keep[0]
+    assert ratio[0] == pytest.approx(math.log((seen[1][g] + 0.5) / (number[1] + 1)) - math.log((seen[0][g] + 0.5) / (number[0] + 1)))
+    got = {r.row.doc_id: r.score for r in toxicity.score_rows(rows, (w, bias)).collect()}
+    for i, t, y in texts:
+        z = float(sum(float(w[x]) for x in brute_grams(t))) + bias
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5) and (got[i] >= 0.5) == y
+
+
 def test_toxicity_edges(spark, awkward, nothing):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     w, bias = toxicity.train(awkward, empty)
