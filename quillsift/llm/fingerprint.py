@@ -1,17 +1,23 @@
 """Document fingerprints: a threshold-scaled sketch of word shingles.
 
 Every 5-word shingle (of a text with fewer words: all its words) is hashed to 64
-bits; the sketch keeps every hash below a fixed fraction of the hash range, and
-for short texts at least the FLOOR smallest ones.  Sketches merge by union, and
-the share of a sketch's hashes that another one holds estimates containment,
-also between very unequal texts.  A fingerprint is the sorted hashes in hex.
+bits; the sketch keeps every hash below a fixed fraction of the hash range.  The
+fraction is 1/8 from 256 distinct shingles on; below that it is twice as large for
+each time that the number halves, and up to 32 all hashes are kept.  A sketch says
+which fraction it has, and gives one for any smaller fraction by dropping hashes.  So
+sketches of any sizes compare, and they merge: the union of the hashes below the
+least of their fractions, brought to the fraction of the whole, is the sketch of the
+union, exactly (``merge``, ``at_level``).  The share of a sketch's hashes that another
+one holds, at the smaller fraction of both, estimates containment, also between very
+unequal texts.  A fingerprint is the fraction's exponent and the sorted hashes in hex.
 
 ``with_next`` pairs each row with the next one by id without a global sort in
 one task: ranges of ids are dealt to tasks, and the first row of each range is
 also sent to the range before it.
 
 Edge cases: a null text counts as empty; a text without words has the empty
-fingerprint, equal only to another empty one (likeness 1, else 0); null ids come
+fingerprint, equal only to another empty one (likeness 1, else 0); very long texts
+count with all their shingles, repeated ones once; null ids come
 first; rows with equal ids follow each other by text; a single row is its own
 next one; an empty table gives an empty result; other columns are not read.
 """
@@ -31,11 +37,8 @@ from pyspark.sql import functions as F
 from quillsift.llm.common import table, whole_text
 
 SHINGLE_WORDS = 5
-#: One hash in SCALE is kept.
-SCALE = 8
-THRESHOLD = (1 << 64) // SCALE
-#: Short texts keep this many of their smallest hashes.
-FLOOR = 16
+#: Of long texts one hash in 2 ** LEVELS is kept; distinct shingles up to which all are kept.
+LEVELS, WHOLE = 3, 32
 #: Rows of a range of ids, and the most ranges (their bounds are the only thing the driver holds).
 RANGE_ROWS, MOST_RANGES = 2000, 1 << 16
 MEMO_WORDS = 200_000
@@ -74,36 +77,56 @@ def shingles(text: str, k: int = SHINGLE_WORDS) -> np.ndarray:
     return mix(h)
 
 
-def sketch(text: str) -> np.ndarray:
+Sketch = tuple[int, np.ndarray]
+
+
+def level(n: int) -> int:
+    """The exponent of the fraction for n distinct shingles."""
+    return min(LEVELS, max(0, (max(n, 1) - 1) // WHOLE).bit_length())
+
+
+def below(h: np.ndarray, k: int) -> np.ndarray:
+    """The sorted hashes in the lowest 1 / 2 ** k of their range."""
+    return h[: np.searchsorted(h, np.uint64(1 << 64 - k))] if k else h
+
+
+def sketch(text: str) -> Sketch:
     h = np.unique(shingles(text))
-    n = int(np.searchsorted(h, np.uint64(THRESHOLD)))
-    return h[: max(n, FLOOR)]
+    k = level(len(h))
+    return k, below(h, k)
+
+
+def at_level(s: Sketch, k: int) -> Sketch:
+    """The sketch at a fraction that is not larger than its own."""
+    if k < s[0]:
+        raise ValueError("a sketch has no hashes above its fraction")
+    return k, below(s[1], k)
 
 
-def reach(s: np.ndarray) -> int:
-    """All hashes below this are in the sketch if the text has them."""
-    return 1 << 64 if len(s) < FLOOR else max(THRESHOLD, int(s[-1]) + 1) if len(s) == FLOOR else THRESHOLD
+def merge(a: Sketch, b: Sketch) -> Sketch:
+    """The sketch of the union of two texts' shingles, at the smaller fraction of both."""
+    k = max(a[0], b[0])
+    return k, np.union1d(below(a[1], k), below(b[1], k))
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
+def containment(a: Sketch, b: Sketch) -> float:
     """Estimated share of a's shingles that b has; two empty sketches are alike."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    t = min(reach(a), reach(b))
-    if t <= (1 << 64) - 1:
-        a, b = a[: np.searchsorted(a, np.uint64(t))], b[: np.searchsorted(b, np.uint64(t))]
-    if not len(a):
-        return 0.0
-    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
-    return float(np.count_nonzero(b[at] == a) / len(a)) if len(b) else 0.0
+    k = max(a[0], b[0])
+    # a text with words keeps a hash at its own fraction nearly always; the other one's may leave none
+    x, y = below(a[1], k), below(b[1], k)
+    if not len(x) or not len(y):
+        return float(a[0] == b[0] and len(a[1]) == len(b[1]) == 0)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return float(np.count_nonzero(y[at] == x) / len(x))
 
 
-def to_hex(s: np.ndarray) -> str:
-    return s.astype(">u8").tobytes().hex()
+def to_hex(s: Sketch) -> str:
+    return f"{s[0]}:{s[1].astype('>u8').tobytes().hex()}"
 
 
-def from_hex(s: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(s), ">u8").astype(np.uint64)
+def from_hex(s: str) -> Sketch:
+    k, h = s.split(":")
+    return int(k), np.frombuffer(bytes.fromhex(h), ">u8").astype(np.uint64)
 
 
 def with_next(df: DataFrame, run, schema: str) -> DataFrame:

@@ -172,10 +172,23 @@ def test_sketch_estimates_containment():
     a, b = fingerprint.sketch(whole), fingerprint.sketch(part)
     assert fingerprint.containment(b, a) == 1.0
     assert abs(fingerprint.containment(a, b) - 0.1) < 0.04
-    # sketches merge by union
-    left, right = fingerprint.sketch(" ".join(words[:2000])), fingerprint.sketch(" ".join(words[1996:]))
-    assert np.array_equal(np.union1d(left, right), a)
-    assert np.array_equal(fingerprint.from_hex(fingerprint.to_hex(a)), a)
+    again = fingerprint.from_hex(fingerprint.to_hex(a))
+    assert again[0] == a[0] == 3 and np.array_equal(again[1], a[1])
+    assert len(a[1]) == sum(h < 2**61 for h in brute_sketch(whole))
+
+
+@pytest.mark.parametrize("n", [4, 36, 37, 60, 68, 69, 130, 260, 270, 2000])
+def test_merged_parts_give_the_sketch_of_the_whole(n):
+    rng = random.Random(n)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    whole = fingerprint.sketch(" ".join(words))
+    for cut in (5, n // 3, n // 2, n - 7):
+        if 5 <= cut <= n - 5:
+            parts = fingerprint.merge(fingerprint.sketch(" ".join(words[:cut])), fingerprint.sketch(" ".join(words[cut - 4 :])))
+            at = fingerprint.at_level(parts, whole[0])
+            assert at[0] == whole[0] and np.array_equal(at[1], whole[1])
+    kept = {h for h in brute_sketch(" ".join(words)) if h < 2 ** (64 - whole[0])}
+    assert set(whole[1].tolist()) == kept and whole[0] == (0 if n <= 36 else 1 if n <= 68 else 2 if n <= 132 else 3)
 
 
 def test_short_texts_are_compared_exactly():
