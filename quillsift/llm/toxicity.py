@@ -147,10 +147,13 @@ def kept_features(rows: DataFrame, keep: np.ndarray) -> tuple[np.ndarray, list[n
     return np.array([x for x, _ in got], np.float64), [np.cumsum(np.frombuffer(zlib.decompress(x), "<i4"), dtype=np.int32) for _, x in got]
 
 
-def score_text(text: str, w: np.ndarray, known: np.ndarray, bias: float) -> float:
+def score_text(text: str, w: np.ndarray, last: np.ndarray, bias: float) -> float:
+    """The score of a text; last: any numbers, one for each hash, which are written over."""
     g = ngrams(text)
-    g = np.unique(g[known[g]])
-    return float(1 / (1 + np.exp(-np.clip(w[g].sum(dtype=np.float64) + bias, -50, 50))))
+    # each distinct n-gram counts once: where it comes last
+    place = np.arange(len(g), dtype=np.int32)
+    last[g] = place
+    return float(1 / (1 + np.exp(-np.clip(w[g[last[g] == place]].sum(dtype=np.float64) + bias, -50, 50))))
 
 
 def score_rows(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
@@ -161,10 +164,10 @@ def score_rows(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
-        known = w != 0
+        last = np.empty(len(w), np.int32)
         for b in batches:
             texts = b.column(0).field(at)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score_text(t.as_py() or "", w, known, bias) for t in texts], pa.float64())], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score_text(t.as_py() or "", w, last, bias) for t in texts], pa.float64())], ["row", "score"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
