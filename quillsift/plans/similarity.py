@@ -159,12 +159,20 @@ def greedy_split(spark, sf_dir):
     return d.join(groups.greedy_split(d, "component", "lang", "id"), "component").select("id", "component", "split")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS component, CAST([] AS VARCHAR[]) AS splits WHERE false")
+@query()
 def split_leaks(spark, sf_dir):
-    """Components that stand in two splits: none."""
+    """Components that stand in two splits: none (a test holds it; the split itself is not SQL-expressible)."""
     return groups.leaks(greedy_split(spark, sf_dir), "component", "split")
 
 
+@query("""SELECT grp, list_sort(list_distinct(list(split))) AS splits FROM (SELECT md5(coalesce(text, '')) AS grp, ['train', 'val', 'test'][doc_id % 3 + 1] AS split FROM documents)
+GROUP BY grp HAVING count(DISTINCT split) > 1""")
+def row_split_leaks(spark, sf_dir):
+    """Exact copies that a split by row number would part: what the leak check finds when there is something to find."""
+    d = t(spark, sf_dir, "documents").select(F.md5(F.coalesce("text", F.lit(""))).alias("grp"), F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), (F.col("doc_id") % 3 + 1).cast("int")).alias("split"))
+    return groups.leaks(d, "grp", "split")
+
+
 @query(f"""WITH {_FP_SQL}, b AS (SELECT id % 7 AS dataset, id, fp FROM fp), p AS (
   SELECT x.id AS id, y.id AS counterpart, bit_count(xor(x.fp, y.fp))::INT AS distance FROM b x JOIN b y ON x.dataset <> y.dataset WHERE bit_count(xor(x.fp, y.fp)) <= 6)
 SELECT id, counterpart, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, counterpart) AS r FROM p) WHERE r = 1""")

@@ -55,8 +55,8 @@ def visit_changes(spark, sf_dir):
     return d.select("user_id", "event_type", "older_event_id", "newer_event_id", "confidence", "status", r6(F.col("area_change_pct")).alias("area_change_pct"), "notable_area", "reliability")
 
 
-@query(f"""WITH {_CHANGES_SQL}
-SELECT count(*) AS n_broken FROM c WHERE NOT ok AND false""")
+@query(f"""WITH {_CHANGES_SQL}, v AS (SELECT ok, CASE WHEN ok THEN pct END AS area_change_pct, coalesce(ok AND abs(pct) >= 10, false) AS notable_area, CASE WHEN ok THEN 'any' END AS reliability FROM c)
+SELECT count(*) AS n_broken FROM v WHERE NOT ok AND (area_change_pct IS NOT NULL OR reliability IS NOT NULL OR notable_area)""")
 def refusals_carry_nothing(spark, sf_dir):
     """Refused pairs that carry a measured figure: none."""
     d = compare.changes(_pairs(spark, sf_dir)).where("status != 'ok'")
@@ -82,13 +82,26 @@ def rule_counterfactuals(spark, sf_dir):
     return d.select("user_id", "lesion_id", "rule_id", "level", r6(F.col("measured")).alias("measured"), "threshold", r6(F.col("margin")).alias("margin"), "state")
 
 
-@query("SELECT NULL::VARCHAR AS threshold_key, NULL::VARCHAR AS rule_id WHERE false")
+#: Thresholds by their keys, and the rules that use them, as SQL rows.
+_REGISTER_SQL = ", ".join(f"('{k}')" for k in sorted(PARAMS))
+_RULES_SQL = ", ".join(f"('{r.rule_id}', {f"'{r.threshold}'" if r.threshold else 'NULL'})" for r in rules.RULES)
+
+
+@query(f"""SELECT threshold_key, rule_id FROM (VALUES {_RULES_SQL}) r(rule_id, threshold_key) WHERE threshold_key IS NOT NULL
+  AND threshold_key NOT IN (SELECT key FROM (VALUES {_REGISTER_SQL}) p(key))""")
 def unregistered_thresholds(spark, sf_dir):
     """Thresholds of rules that the register does not know: none."""
     return rules.unregistered(rules.rule_table(spark), params_table(spark)).select("threshold_key", "rule_id")
 
 
-@query(f"""WITH {_CHANGES_SQL}, k AS (SELECT event_type, confidence, abs(pct) AS err FROM c WHERE pct IS NOT NULL AND abs(pct) < 1000),
+@query(f"""SELECT threshold_key, rule_id FROM (VALUES {_RULES_SQL}) r(rule_id, threshold_key) WHERE threshold_key IS NOT NULL
+  AND threshold_key NOT IN (SELECT key FROM (VALUES {_REGISTER_SQL}) p(key) WHERE key NOT LIKE 'risk.growth%')""")
+def unregistered_without_growth(spark, sf_dir):
+    """Thresholds of rules that a register without its growth keys would not know."""
+    return rules.unregistered(rules.rule_table(spark), params_table(spark).where("key NOT LIKE 'risk.growth%'")).select("threshold_key", "rule_id")
+
+
+@query(f"""WITH {_CHANGES_SQL}, k AS (SELECT event_type, confidence, abs(pct) AS err FROM c WHERE pct IS NOT NULL),
 m AS (SELECT max(err) AS worst, quantile_cont(confidence, 0.25) AS p25 FROM k)
 SELECT event_type, count(*) AS n, round(covar_pop(confidence, err) / nullif(stddev_pop(confidence) * stddev_pop(err), 0), 6) AS r,
        round(covar_pop(confidence, CASE WHEN confidence >= 0.3 THEN err ELSE worst END) / nullif(stddev_pop(confidence) * stddev_pop(CASE WHEN confidence >= 0.3 THEN err ELSE worst END), 0), 6) AS r_worst_fill,
@@ -97,7 +110,7 @@ SELECT event_type, count(*) AS n, round(covar_pop(confidence, err) / nullif(stdd
 FROM k, m GROUP BY event_type""")
 def evaluation_summary(spark, sf_dir):
     """Correlation of confidence and error, with rejected pairs at the worst error, and rates with their own denominators."""
-    d = compare.changes(_pairs(spark, sf_dir)).withColumn("err", F.abs(S.percent_change("older_value", "newer_value"))).where("err IS NOT NULL AND err < 1000")
+    d = compare.changes(_pairs(spark, sf_dir)).withColumn("err", F.abs(S.percent_change("older_value", "newer_value"))).where("err IS NOT NULL")
     m = d.agg(F.max("err").alias("worst"), F.percentile("confidence", F.lit(0.25)).alias("p25"))
     d = d.join(F.broadcast(m)).withColumn("filled", F.when(F.col("status") == "ok", F.col("err")).otherwise(F.col("worst")))  # one row
     low = F.col("confidence") <= F.col("p25")
