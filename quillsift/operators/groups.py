@@ -6,8 +6,7 @@ cluster, whatever the partitioning.
 
 from __future__ import annotations
 
-import random
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -116,61 +115,74 @@ def majority_class(df: DataFrame, group: str, label: str, order: str) -> DataFra
 
 
 SPLITS = (("train", 0.70), ("val", 0.15), ("test", 0.15))
-#: Groups of at most so many rows are dealt together by size, and so many sizes may meet in the driver.
-MOST_SIZES = 100_000
+
+
+def greedy_shares(k: int, step: int, filled: list[int], total: int, fractions=SPLITS) -> list[int]:
+    """How many of k groups with ``step`` rows of a class each split gets if each goes where the class lacks most.
+
+    filled: the class's rows in each split so far; total: all its rows.  The
+    same counts as by k single choices (ties to the earlier split), but the
+    choices up to the level that the shortages reach are taken at once, so the
+    cost does not grow with k.
+    """
+    short = sorted((f - n / total for (_, f), n in zip(fractions, filled)), reverse=True)
+    level = short[0]
+    for m in range(1, len(short) + 1):
+        at = (sum(short[:m]) - k * step / total) / m
+        if m == len(short) or short[m] <= at:
+            level = at
+            break
+    # one below the whole part is never too many, whatever the last bits of the level
+    share = [max(0, int((f - n / total - level) * total / step) - 1) for (_, f), n in zip(fractions, filled)]
+    for _ in range(k - sum(share)):
+        i = max(range(len(share)), key=lambda x: fractions[x][1] - (filled[x] + share[x] * step) / total)
+        share[i] += 1
+    return share
 
 
 def greedy_split(df: DataFrame, group: str, label: str, order: str, fractions=SPLITS, seed: int = 42) -> DataFrame:
     """(group, split): whole groups, largest first, to the split that lacks most of the group's majority class.
 
-    Only (size, majority class, class counts) patterns and how many groups have
-    them reach the driver, where the greedy rule runs once a pattern batch; the
-    groups of a pattern are then dealt by their drawn rank.  Ties go to the
-    earlier split.
+    Of equally large groups those with the same class counts (a pattern) follow
+    each other, patterns by the least draw of their groups.  A group's majority
+    class is its most frequent one, of equal ones the first in ``order``; ties
+    between splits go to the earlier.  Rows with a null group form one group.
+
+    The choice depends on all choices before it, so one task walks over the
+    patterns (not the groups); it streams and keeps a number for each split and
+    class.  The groups of a pattern are then dealt by their drawn rank.
     """
-    spark = df.sparkSession
+    totals = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one number a class
     counts = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
     profile = counts.groupBy(group).agg(
         F.sum("n").alias("size"),
         F.min(F.struct((-F.col("n")).alias("n"), "first", label)).alias("m"),
-        F.sort_array(F.collect_list(F.struct(label, "n"))).alias("classes"),
+        F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "n"))).alias("classes"),
     ).select(group, "size", F.col(f"m.{label}").alias("majority"), "classes")
-    patterns = profile.groupBy("size", "majority", "classes").agg(F.count(F.lit(1)).alias("k")).limit(MOST_SIZES + 1).collect()
-    if len(patterns) > MOST_SIZES:
-        raise ValueError(f"more than {MOST_SIZES} kinds of groups; split by a coarser label")
-    totals: dict = {}
-    for p in patterns:
-        for x in p.classes:
-            totals[x[0]] = totals.get(x[0], 0) + x[1] * p.k
-    placed = {s: dict.fromkeys(totals, 0) for s, _ in fractions}
-    rng = random.Random(seed)
-    patterns.sort(key=lambda p: (-p["size"], str(p.majority), str(p.classes)))
-    shuffled = list(patterns)
-    rng.shuffle(shuffled)
-    shuffled.sort(key=lambda p: -p["size"])
-    quota = []
-    for p in shuffled:
-        left = p.k
-        share = dict.fromkeys((s for s, _ in fractions), 0)
-        while left:
-            want = max(fractions, key=lambda s: s[1] - placed[s[0]][p.majority] / totals[p.majority])[0]
-            # a batch as large as leaves the choice the same, at least one group
-            batch = max(1, left // 64)
-            share[want] += batch
-            left -= batch
-            for x in p.classes:
-                placed[want][x[0]] += x[1] * batch
-        at = 0
-        for s, _ in fractions:
-            if share[s]:
-                quota.append((p["size"], p.majority, p.classes, at, at + share[s], s))
-                at += share[s]
+    pattern = ["size", "majority", "classes"]
+    patterns = profile.withColumn("_d", F.coalesce(draw(group, seed), F.lit(""))).groupBy(*pattern).agg(F.count(F.lit(1)).alias("k"), F.min("_d").alias("first"))
+
+    def walk(batches):
+        placed = [dict.fromkeys(totals, 0) for _ in fractions]
+        for batch in batches:
+            out = []
+            for at, p in enumerate(batch.to_pylist()):
+                inside = {x["label"]: x["n"] for x in p["classes"]}
+                major, low = p["majority"], 0
+                share = greedy_shares(p["k"], inside[major], [s[major] for s in placed], totals[major], fractions)
+                for s, (name, _), n in zip(placed, fractions, share):
+                    for x, rows in inside.items():
+                        s[x] += rows * n
+                    if n:
+                        out.append((at, low, low + n, name))
+                        low += n
+            where, low, high, split = zip(*out) if out else ((), (), (), ())
+            taken = batch.select(pattern).take(pa.array(where, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(split, pa.string())], ["_size", "_majority", "_classes", "low", "high", "split"])
+
     kinds = dict(profile.dtypes)
-    deal = spark.createDataFrame(quota, f"size long, majority {kinds['majority']}, classes {kinds['classes']}, low long, high long, split string") if quota else None
-    if deal is None:
-        return profile.select(group, F.lit(None).cast("string").alias("split")).limit(0)
-    ranked = dealt_rank(profile, ["size", "majority", "classes"], group, seed, "_r")
-    deal = deal.select(F.col("size").alias("_size"), F.col("majority").alias("_majority"), F.col("classes").alias("_classes"), "low", "high", "split")
+    deal = patterns.repartition(1).sortWithinPartitions(F.desc("size"), "first").mapInArrow(walk, f"_size long, _majority {kinds['majority']}, _classes {kinds['classes']}, low long, high long, split string")
+    ranked = dealt_rank(profile, pattern, group, seed, "_r")
     same = (F.col("size") == F.col("_size")) & F.col("majority").eqNullSafe(F.col("_majority")) & (F.col("classes") == F.col("_classes"))
     return ranked.join(deal, same).where("_r >= low AND _r < high").select(group, "split")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -74,6 +75,63 @@ def test_greedy_split_leaks_nothing(spark):
     assert groups.leaks(s.unionByName(s.limit(1).withColumn("split", F.lit("other"))), "grp", "split").count() == 1
 
 
+def _split_by_loop(sizes, total, filled, k, step):
+    share = [0] * len(sizes)
+    for _ in range(k):
+        i = max(range(len(sizes)), key=lambda x: sizes[x][1] - (filled[x] + share[x] * step) / total)
+        share[i] += 1
+    return share
+
+
+def test_greedy_shares_are_those_of_single_choices():
+    rng = random.Random(5)
+    for _ in range(3000):
+        step, k = rng.randint(1, 9), rng.randint(1, 300)
+        filled = [rng.randint(0, 400) for _ in range(3)]
+        total = sum(filled) + step * k + rng.randint(0, 300)
+        cut = rng.choice(((0.7, 0.15, 0.15), (0.5, 0.25, 0.25), (1.0, 0.0, 0.0), (0.34, 0.33, 0.33)))
+        fractions = list(zip("abc", cut))
+        assert groups.greedy_shares(k, step, filled, total, fractions) == _split_by_loop(fractions, total, filled, k, step)
+    assert sum(groups.greedy_shares(10**12, 1, [0, 0, 0], 10**12)) == 10**12
+
+
+def test_greedy_split_against_a_loop_over_groups(spark):
+    rng = random.Random(9)
+    data, at = [], 0
+    for grp in range(900):
+        major = rng.choice(("x", "y", "z", None))
+        for _ in range(1 if rng.random() < 0.7 else rng.randint(2, 12)):
+            data.append((at, grp, major if rng.random() < 0.8 else "y"))
+            at += 1
+    got = {r.grp: r.split for r in groups.greedy_split(spark.createDataFrame(data, "id int, grp int, label string"), "grp", "label", "id").collect()}
+    members = {}
+    for _, grp, label in data:
+        members.setdefault(grp, []).append(label)
+    assert got.keys() == members.keys()
+    totals = {x: sum(r[2] == x for r in data) for x in ("x", "y", "z", None)}
+    kind = {}
+    for grp, labels in members.items():
+        counts = {x: labels.count(x) for x in dict.fromkeys(labels)}
+        kind[grp] = (len(labels), max(counts, key=counts.get), tuple(sorted(counts.items(), key=repr)))
+    drawn = {grp: hashlib.md5(f"42:{grp}".encode()).hexdigest() for grp in members}
+    first = {}
+    for grp, k in kind.items():
+        first[k] = min(first.get(k, "~"), drawn[grp])
+    placed = {s: dict.fromkeys(totals, 0) for s, _ in groups.SPLITS}
+    want, chosen = {}, {}
+    for grp in sorted(members, key=lambda g: (-len(members[g]), first[kind[g]], drawn[g])):
+        major = kind[grp][1]
+        best = max(groups.SPLITS, key=lambda s: s[1] - placed[s[0]][major] / totals[major])[0]
+        chosen.setdefault(kind[grp], []).append(best)
+        for x, n in kind[grp][2]:
+            placed[best][x] += n
+    for k, picks in chosen.items():
+        equal = sorted((g for g in members if kind[g] == k), key=drawn.get)
+        want.update(zip(equal, sorted(picks, key=[s for s, _ in groups.SPLITS].index)))
+    assert got == want
+    assert groups.greedy_split(spark.createDataFrame([], "id int, grp int, label string"), "grp", "label", "id").collect() == []
+
+
 def test_greedy_match_against_a_loop(spark):
     rng = random.Random(5)
     data = [(p, i, j, rng.choice([0.05, 0.1, 0.3, 0.3, 0.7])) for p in range(20) for i in range(6) for j in range(6) if rng.random() < 0.5]
