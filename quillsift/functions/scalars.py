@@ -166,6 +166,18 @@ def word_grams(words, n: int = 3) -> Column:
     return F.array_distinct(F.when(F.size(w) >= n, grams).otherwise(F.array(F.array_join(w, " "))))
 
 
+# --- dates ------------------------------------------------------------------
+
+
+def today() -> Column:
+    return F.date_format(F.current_date(), "yyyy-MM-dd")
+
+
+def file_stamp(epoch_ms, prefix: str = "visit_", suffix: str = ".jpg") -> Column:
+    """File name of a moment in milliseconds, in the session's time zone."""
+    return F.concat(F.lit(prefix), F.date_format(F.timestamp_millis(c(epoch_ms)), "yyyyMMdd_HHmmss_SSS"), F.lit(suffix))
+
+
 # --- rings and matrices ---------------------------------------------------
 
 
@@ -223,6 +235,65 @@ def det2(h) -> Column:
     return h[0][0] * h[1][1] - h[0][1] * h[1][0]
 
 
+def frame_overlap(h, width, height, width2, height2) -> Column:
+    """Share of the first frame that a second frame, moved into it by ``h``, covers.
+
+    By area of the clipped quadrilateral, not by pixels.  Null if a corner of the
+    second frame lies on or behind the horizon of the matrix.
+    """
+    h, w, t, w2, t2 = c(h), *(c(x).cast("double") for x in (width, height, width2, height2))
+    zero = F.lit(0.0)
+    corners = ((zero, zero), (w2, zero), (w2, t2), (zero, t2))
+    ahead = F.least(*(h[2][0] * x + h[2][1] * y + h[2][2] for x, y in corners)) > 0
+    side = lambda a, b, d: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), d.alias("d"))
+    sides = F.array(side(1.0, 0.0, zero), side(-1.0, 0.0, w), side(0.0, 1.0, zero), side(0.0, -1.0, t))
+
+    def clipped(points, s):
+        inside = lambda p: s["a"] * p["x"] + s["b"] * p["y"] + s["d"]
+
+        def step(p, i):
+            q = F.get(points, F.pmod(i + 1, F.size(points)))
+            a, b = inside(p), inside(q)
+            at = lambda k: p[k] + F.try_divide(a, a - b) * (q[k] - p[k])
+            return F.array_compact(F.array(F.when(a >= 0, p), F.when((a >= 0) != (b >= 0), F.struct(at("x").alias("x"), at("y").alias("y")))))
+
+        return F.flatten(F.transform(points, step))
+
+    region = F.aggregate(sides, F.array(*(project(h, x, y) for x, y in corners)), clipped)
+    return F.when(ahead, F.coalesce(shoelace(region), zero) / (w * t))
+
+
+def uniform(key, place: int, seed: int = 42) -> Column:
+    """A number in [0, 1) drawn by md5 of seed, key and place: the same on every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), c(key).cast("string"), F.lit(str(place))).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+def drawn_homography(key, width, height, max_rotation_deg: float, scales: tuple[float, float], max_shift: float, jitter: float, seed: int = 42) -> Column:
+    """A matrix drawn for ``key``: rotation and scale about the centre, a shift, then each corner moved a little.
+
+    Shift and jitter are shares of the frame.  The matrix takes the frame's
+    corners exactly to the drawn ones.
+    """
+    w, t = c(width).cast("double"), c(height).cast("double")
+    span = lambda i, low, high: F.lit(low) + uniform(key, i, seed) * (high - low)
+    angle, scale = F.radians(span(0, -max_rotation_deg, max_rotation_deg)), span(1, *scales)
+    shift = span(2, -max_shift, max_shift) * w, span(3, -max_shift, max_shift) * t
+    moved = []
+    for i, (right, low) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1))):
+        x, y = (w - 1) * right - w / 2, (t - 1) * low - t / 2
+        moved.append((
+            w / 2 + scale * (F.cos(angle) * x - F.sin(angle) * y) + shift[0] + span(4 + 2 * i, -jitter, jitter) * w,
+            t / 2 + scale * (F.sin(angle) * x + F.cos(angle) * y) + shift[1] + span(5 + 2 * i, -jitter, jitter) * t,
+        ))
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = moved
+    # the unit square to a quadrilateral in closed form, then the frame to the unit square
+    sx, sy = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
+    det = (x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2)
+    g, k = (sx * (y3 - y2) - (x3 - x2) * sy) / det, ((x1 - x2) * sy - sx * (y1 - y2)) / det
+    row = lambda a, b, last: F.array(a / (w - 1), b / (t - 1), last)
+    return F.array(row(x1 - x0 + g * x1, x3 - x0 + k * x3, x0), row(y1 - y0 + g * y1, y3 - y0 + k * y3, y0), row(g, k, F.lit(1.0)))
+
+
 def implausible(h, p: dict) -> Column:
     """Why a matrix cannot be a change of camera: the first reason that holds, or null."""
     n = normalised(h)

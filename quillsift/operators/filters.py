@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.functions.scalars import c, first_segment, segments, slashed
+from quillsift.functions.scalars import c, first_segment, name_of, segments, slashed
 from quillsift.params import PARAMS
 
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".jfif", ".tif", ".tiff")
@@ -74,6 +74,16 @@ def category_of(path, categories: list[str]) -> Column:
     return F.try_element_at(F.filter(F.array(*map(F.lit, categories)), lambda x: F.array_contains(segments(path), x)), F.lit(1)) if categories else F.lit(None)
 
 
+def naming_scheme(path, schemes: list[tuple[str, str]], otherwise: str) -> Column:
+    """The first of (scheme, pattern) whose pattern the file's name holds."""
+    return case(*((name_of(path).rlike(pattern), scheme) for scheme, pattern in schemes), otherwise=otherwise)
+
+
+def same_scene(correlation, inliers) -> Column:
+    """What confirms a candidate pair: a high correlation and enough inliers; a missing measure confirms nothing."""
+    return F.coalesce((c(correlation) > 0.90) & (c(inliers) >= 30), F.lit(False))
+
+
 def band(x, cuts: list[tuple[float, str]], lowest: str) -> Column:
     """The label of the first cut (from the highest down) that x reaches; null if x is null."""
     out = None

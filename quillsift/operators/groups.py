@@ -107,6 +107,15 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("_d", draw(key, seed)).orderBy("_d", key).limit(n).drop("_d")
 
 
+def recycled_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """(pick, key): n picks by seeded draw; if there are fewer rows, they are taken again in turn."""
+    few = sample(df.select(key), key, n, seed).withColumn("_d", draw(key, seed))
+    ranked = few.withColumn("_r", F.row_number().over(W.orderBy("_d", key)) - 1)  # n rows at most
+    size = few.agg(F.count(F.lit(1)).alias("_n"))
+    picks = ranked.crossJoin(F.broadcast(size)).select(F.explode(F.sequence(F.col("_r"), F.lit(n - 1), F.col("_n").cast("int"))).alias("pick"), key)
+    return picks
+
+
 def majority_class(df: DataFrame, group: str, label: str, order: str) -> DataFrame:
     """(group, majority, n_rows): most frequent class of a group; of equal ones the first met in ``order``."""
     n = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))

@@ -115,3 +115,25 @@ def text_fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = d.select("id", F.when(F.size("_w") > 0, F.transform(word_grams("_w"), lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 15), 16, 10).cast("long"))).alias("_h"))
     # marked as not deterministic, so that a later filter on fp is not moved below and made to repeat all of this
     return d.select("id", F.pandas_udf(majority_bits, "long").asNondeterministic()("_h").alias("fp"))
+
+
+def grid_hashes(grid) -> Column:
+    """Eight 63-bit hashes of a 32 x 32 grey grid (1024 numbers by row): the grid and its turns, then their mirror images.
+
+    The lowest 8 x 8 cosine coefficients without the first; a bit is set where
+    one exceeds their median.  Null or other sizes give null.
+    """
+    n = np.arange(32)
+    basis = np.sqrt(np.where(n[:8, None] == 0, 1, 2) / 32) * np.cos(np.pi * (2 * n[None] + 1) * n[:8, None] / 64)
+    weights = 1 << np.arange(62, -1, -1, dtype=np.int64)
+
+    def forms(values):
+        if values is None or len(values) != 1024:
+            return None
+        plain = np.asarray(values, float).reshape(32, 32)
+        low = [(basis @ np.rot90(g, k) @ basis.T).ravel()[1:] for g in (plain, np.fliplr(plain)) for k in range(4)]
+        return [int(weights[x > np.median(x)].sum()) for x in low]
+
+    run = lambda grids: grids.map(forms)
+    run.__annotations__ = {"grids": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<long>")(grid)

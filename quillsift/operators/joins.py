@@ -95,6 +95,22 @@ def nearest_within(pairs: DataFrame, left: str, right: str, distance: str, limit
     return near.groupBy(left).agg(F.min(F.struct(distance, right)).alias("_m")).select(left, F.col(f"_m.{right}").alias(right), F.col(f"_m.{distance}").alias(distance))
 
 
+def verified(candidates: DataFrame, measures: DataFrame, keys: list[str], check: Column) -> DataFrame:
+    """Candidate pairs with ``confirmed``: the check on their measures; pairs that were not measured are not confirmed."""
+    return candidates.join(measures, keys, "left").withColumn("confirmed", F.coalesce(check, F.lit(False)))
+
+
+def restricted_matches(files: DataFrame, near: DataFrame, names: list[str], path: str = "path") -> DataFrame:
+    """(path, dataset, distance, why): files whose path names a restricted data set, case aside, and files near one of its members.
+
+    near: path, dataset, distance of the nearest member within the limit; a file
+    has a row for each data set and each reason.
+    """
+    hit = F.filter(F.array(*map(F.lit, names)), lambda x: F.contains(F.lower("path"), x)) if names else F.array().cast("array<string>")
+    named = files.select(F.col(path).alias("path")).select("path", F.explode(hit).alias("dataset")).select("*", F.lit(0).alias("distance"), F.lit("named").alias("why"))
+    return named.unionByName(near.select(F.col(path).alias("path"), "dataset", F.col("distance").cast("int").alias("distance"), F.lit("alike").alias("why")))
+
+
 def ratio_test(pairs: DataFrame, left: str, right: str, distance: str, ratio: float) -> DataFrame:
     """Left rows whose nearest pair is closer than ``ratio`` times the second nearest (strictly); fewer than two drop out."""
     w = W.partitionBy(left).orderBy(distance, right)

@@ -96,6 +96,13 @@ def counterfactuals(lesions: DataFrame, report: str, params: dict = PARAMS, rule
     return d.select(report, "r.lesion_id", "r.rule_id", "r.level", "r.measured", "r.threshold", (F.col("r.measured") - F.col("r.threshold")).alias("margin"), F.col("r.threshold_key").alias("threshold_key"))
 
 
+def deciding(lesions: DataFrame, report: str, params: dict = PARAMS, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(report, lesion_id, rule_id, level): firings at the highest level of their report; several can tie."""
+    d = lesions.select(report, F.explode(fired_rules(params, rules)).alias("r"))
+    top = d.groupBy(report).agg(F.max("r.rank").alias("_top"))
+    return d.join(top, report).where("r.rank = _top").select(report, "r.lesion_id", "r.rule_id", "r.level")
+
+
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return spark.createDataFrame([(r.rule_id, r.level, r.measure, r.threshold) for r in rules], "rule_id string, level string, measure string, threshold_key string")
 

@@ -8,7 +8,7 @@ from quillsift.functions import scalars as S
 from quillsift.operators import groups, hamming, joins
 from quillsift.operators.components import connected_components, written
 from quillsift.params import PARAMS
-from quillsift.plans.base import query, t
+from quillsift.plans.base import query, r6, t
 
 #: SimHash of a text: its words in lower case, distinct 3-word shingles, the first 60 bits of each md5, majority per bit.
 _FP_SQL = """
@@ -195,6 +195,44 @@ def row_split_leaks(spark, sf_dir):
     return groups.leaks(d, "grp", "split")
 
 
+@query(f"""WITH {_FP_SQL}, q AS (SELECT * FROM fp WHERE id % 100 = 0), x AS (
+  SELECT q.id, d.source AS dataset, min(bit_count(xor(q.fp, f.fp)))::INT AS distance FROM q, fp f JOIN documents d ON d.doc_id = f.id WHERE d.source IN ('src3', 'src0') AND bit_count(xor(q.fp, f.fp)) <= 6 GROUP BY 1, 2)
+SELECT id::VARCHAR AS id, dataset, 0 AS distance, 'named' AS why FROM q JOIN documents d ON d.doc_id = q.id, (VALUES ('src3'), ('src0')) r(dataset) WHERE contains(lower(d.source || '/' || q.id), dataset)
+UNION ALL SELECT id::VARCHAR, dataset, distance, 'alike' FROM x""")
+def restricted_texts(spark, sf_dir):
+    """Texts of the stated query set (ids divisible by 100) whose path names a restricted source or that are near one of its texts."""
+    d = _docs(spark, sf_dir).where("fp IS NOT NULL").join(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    q = d.where("id % 100 = 0").withColumn("path", F.concat("source", F.lit("/"), F.col("id").cast("string")))
+    held = d.where(F.col("source").isin("src3", "src0")).select(F.col("fp").alias("other"), F.col("source").alias("dataset")).distinct()
+    j = hamming.banded(q, "fp", 6, flipped=True).join(hamming.banded(held, "other", 6), ["band", "bits"]).withColumn("distance", S.hamming("fp", "other").cast("int")).where("distance <= 6")
+    near = j.groupBy("path", "dataset").agg(F.min("distance").alias("distance"))
+    return joins.restricted_matches(q, near, ["src3", "src0"]).select(F.element_at(F.split("path", "/"), -1).alias("id"), "dataset", "distance", "why")
+
+
+_BEST_SQL = f"""WITH {_FP_SQL}, b AS (SELECT id % 7 AS dataset, id, fp FROM fp), p AS (
+  SELECT x.id AS id, y.id AS counterpart, bit_count(xor(x.fp, y.fp))::INT AS distance FROM b x JOIN b y ON x.dataset <> y.dataset WHERE bit_count(xor(x.fp, y.fp)) <= 6),
+best AS (SELECT id, counterpart, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, counterpart) AS r FROM p) WHERE r = 1)"""
+
+
+@query(f"""{_BEST_SQL}, u AS (SELECT doc_id, list_distinct(w) AS w FROM w),
+m AS (SELECT id, counterpart, distance, len(list_intersect(x.w, y.w))::DOUBLE AS shared, len(x.w) + len(y.w) AS n FROM best JOIN u x ON x.doc_id = id JOIN u y ON y.doc_id = counterpart)
+SELECT id, counterpart, distance, round(shared / (n - shared), 6) AS likeness, shared / (n - shared) >= 0.9 AS confirmed FROM m""")
+def verified_counterparts(spark, sf_dir):
+    """A near fingerprint is only a candidate: each one is measured on the words of both texts and then confirmed or not."""
+    best = best_counterpart(spark, sf_dir)
+    words = t(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")).alias("w"))
+    both = best.join(words.select(F.col("doc_id").alias("id"), F.col("w").alias("x")), "id").join(words.select(F.col("doc_id").alias("counterpart"), F.col("w").alias("y")), "counterpart")
+    shared = F.size(F.array_intersect("x", "y"))
+    measures = both.select("id", "counterpart", (shared / (F.size("x") + F.size("y") - shared)).alias("likeness"))
+    return joins.verified(best, measures, ["id", "counterpart"], F.col("likeness") >= 0.9).withColumn("likeness", r6(F.col("likeness")))
+
+
+@query("SELECT i::INT AS pick, r_name FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || r_name), r_name) - 1 AS r, count(*) OVER () AS n FROM region), range(0, 12) x(i) WHERE i % n = r")
+def recycled_sample(spark, sf_dir):
+    """Twelve picks of five regions: rows are taken again in turn (a sampling operator)."""
+    return groups.recycled_sample(t(spark, sf_dir, "region"), "r_name", 12)
+
+
 @query(f"""WITH {_FP_SQL}, b AS (SELECT id % 7 AS dataset, id, fp FROM fp), p AS (
   SELECT x.id AS id, y.id AS counterpart, bit_count(xor(x.fp, y.fp))::INT AS distance FROM b x JOIN b y ON x.dataset <> y.dataset WHERE bit_count(xor(x.fp, y.fp)) <= 6)
 SELECT id, counterpart, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, counterpart) AS r FROM p) WHERE r = 1""")

@@ -82,6 +82,30 @@ def rule_counterfactuals(spark, sf_dir):
     return d.select("user_id", "lesion_id", "rule_id", "level", r6(F.col("measured")).alias("measured"), "threshold", r6(F.col("margin")).alias("margin"), "state")
 
 
+@query(f"""WITH {_LESIONS_SQL}
+SELECT user_id, lesion_id, r.rule_id AS rule_id, r.level AS level FROM r QUALIFY (r.level = 'Elevated') = bool_or(r.level = 'Elevated') OVER (PARTITION BY user_id)""")
+def deciding_rules(spark, sf_dir):
+    return rules.deciding(_lesions(spark, sf_dir), "user_id")
+
+
+@query("""
+WITH k AS (SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events), m AS (SELECT *, 1 + (k - 50) / 81.0::DOUBLE AS s, (k - 50)::DOUBLE AS x FROM k)
+SELECT event_id, round(greatest(least(100, x + s * 90) - greatest(0, x), 0) * greatest(least(80, s * 70 - x) - greatest(0, -x), 0) / 8000, 6) AS overlap,
+       'visit_' || strftime(make_timestamp(k::BIGINT * 86400123 * 1000), '%Y%m%d_%H%M%S_%g') || '.jpg' AS name, CASE WHEN k % 2 = 0 THEN k END AS masked, CASE WHEN k % 10 = 0 THEN -1 ELSE k % 10 END AS digit,
+       CASE WHEN k % 3 = 0 THEN 'id' WHEN k % 3 = 1 THEN 'old' ELSE 'new' END AS scheme, 'event ' || event_id || ' k ' || k AS line FROM m""")
+def frame_functions(spark, sf_dir):
+    """Overlap of moved frames, file stamps, masking, fallback of zeros, naming schemes and report lines."""
+    d = t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    s, x = 1 + (F.col("k") - 50) / 81.0, (F.col("k") - 50).cast("double")
+    zero = F.lit(0.0)
+    h = F.array(F.array(s, zero, x), F.array(zero, s, -x), F.array(zero, zero, F.lit(1.0)))
+    file = F.element_at(F.array(*map(F.lit, ("a/ID7 x.png", "a/12 - x.png", "ID7/x.png"))), F.col("k") % 3 + 1)
+    return d.select(
+        "event_id", r6(S.frame_overlap(h, F.lit(100), F.lit(80), F.lit(90), F.lit(70))).alias("overlap"), S.file_stamp(F.col("k").cast("long") * 86400123).alias("name"), filters.masked("k", F.col("k") % 2 != 0).alias("masked"),
+        S.zero_to(F.col("k") % 10, F.lit(-1)).alias("digit"), filters.naming_scheme(file, [("id", r"(?i)ID\d+"), ("old", r"^\d+\s*-")], "new").alias("scheme"), F.format_string("event %d k %d", "event_id", "k").alias("line"),
+    )
+
+
 #: Thresholds by their keys, and the rules that use them, as SQL rows.
 _REGISTER_SQL = ", ".join(f"('{k}')" for k in sorted(PARAMS))
 _RULES_SQL = ", ".join(f"('{r.rule_id}', {f"'{r.threshold}'" if r.threshold else 'NULL'})" for r in rules.RULES)

@@ -6,6 +6,12 @@ Spark; a folder scan reads no file contents unless they are asked for.
 
 from __future__ import annotations
 
+import io
+import struct
+import zipfile
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,6 +134,107 @@ def quoted_terms(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit('"([^"\n]*)"'), 1))).alias("term"))
 
 
+def _size(b: bytes) -> tuple[int, int]:
+    """Width and height by the header of a PNG, BMP, GIF, WebP or JPEG file."""
+    if b[:8] == b"\x89PNG\r\n\x1a\n":
+        return struct.unpack(">II", b[16:24])
+    if b[:2] == b"BM":
+        width, height = struct.unpack("<ii", b[18:26])
+        return width, abs(height)
+    if b[:4] == b"GIF8":
+        return struct.unpack("<HH", b[6:10])
+    if b[:4] == b"RIFF" and b[8:12] == b"WEBP":
+        if b[12:16] == b"VP8X":
+            return 1 + int.from_bytes(b[24:27], "little"), 1 + int.from_bytes(b[27:30], "little")
+        if b[12:16] == b"VP8L":
+            bits = int.from_bytes(b[21:25], "little")
+            return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        width, height = struct.unpack("<HH", b[26:30])
+        return width & 0x3FFF, height & 0x3FFF
+    if b[:2] == b"\xff\xd8":
+        at = 2
+        while at < len(b):
+            while b[at + 1] == 0xFF:  # fill bytes
+                at += 1
+            kind = b[at + 1]
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                height, width = struct.unpack(">HH", b[at + 5 : at + 9])
+                return width, height
+            at += 2 if 0xD0 <= kind <= 0xD7 or kind == 1 else 2 + struct.unpack(">H", b[at + 2 : at + 4])[0]
+    raise ValueError("no known header")
+
+
+def image_sizes(images: DataFrame) -> DataFrame:
+    """(path, width, height, error) of files with their content, by their headers alone; what cannot be read has an error.
+
+    Spark's file scan itself leaves out files without a byte.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, content in zip(batch.path, batch.content):
+                try:
+                    out.append((path, *_size(bytes(content)), None))
+                except Exception as e:  # any damage is a row of the report
+                    out.append((path, None, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=["path", "width", "height", "error"]).astype({"width": "Int64", "height": "Int64"})
+
+    return images.select("path", "content").mapInPandas(run, "path string, width long, height long, error string")
+
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _sheet_rows(book: bytes):
+    """(sheet, row, cells) of a workbook: stored values as text, blank cells null, sheets in the book's order."""
+    z = zipfile.ZipFile(io.BytesIO(book))
+    words = lambda e: "".join(t.text or "" for t in e.iter(f"{_SHEET}t"))
+    shared = [words(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+    target = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    for n, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")):
+        inner = target[sheet.get(_LINK)]
+        last = 0
+        for row in ElementTree.fromstring(z.read(inner[1:] if inner.startswith("/") else f"xl/{inner}")).iter(f"{_SHEET}row"):
+            last = int(row.get("r") or last + 1)
+            cells: list = []
+            for cell in row.iter(f"{_SHEET}c"):
+                place = 0
+                for letter in "".join(filter(str.isalpha, cell.get("r") or "")):
+                    place = place * 26 + ord(letter) - 64
+                cells += [None] * (place - 1 - len(cells))
+                kind, v = cell.get("t"), cell.findtext(f"{_SHEET}v")
+                if kind == "inlineStr":
+                    v = words(cell)
+                elif kind == "s" and v is not None:
+                    v = shared[int(v)]
+                elif kind == "b" and v is not None:
+                    v = "True" if v == "1" else "False"
+                cells.append(v)
+            yield n, sheet.get("name"), last, cells
+
+
+def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sheet_no, sheet, row, cells) of XLSX workbooks: cells as text, null where blank; a task reads whole workbooks."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.path, batch.content):
+                rows = [(path, *r) for r in _sheet_rows(bytes(content))]
+                yield pd.DataFrame(rows, columns=["path", "sheet_no", "sheet", "row", "cells"])
+
+    d = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path)
+    return d.select("path", "content").mapInPandas(run, "path string, sheet_no int, sheet string, row long, cells array<string>")
+
+
+def descriptors(rows: DataFrame) -> DataFrame:
+    """(path, key, labels): from the second row on, the second cell is the key and the filled cells after it its labels; of equal keys the last row counts."""
+    d = rows.where("row >= 2 AND size(cells) >= 2").withColumn("key", F.lower(F.trim(F.get("cells", F.lit(1))))).where("key != ''")
+    labels = F.filter(F.transform(F.slice("cells", 3, F.size("cells")), lambda x: F.trim(x)), lambda x: x != "")
+    return d.groupBy("path", "key").agg(F.max_by(labels, F.struct("sheet_no", "row")).alias("labels"))
+
+
 def timeline(photos: DataFrame) -> DataFrame:
     """Photos, the newest first; equal times by id."""
     return photos.orderBy(F.desc("captured_ms"), F.desc("id"))

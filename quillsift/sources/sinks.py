@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -52,3 +53,44 @@ def upsert_and_check(spark: SparkSession, rows: DataFrame, path: str, keys: list
     stored = spark.read.schema(rows.schema).parquet(path)
     missing_only(rows.dropDuplicates(keys), stored, keys).write.mode("append").parquet(path)
     return spark.read.schema(rows.schema).parquet(path).groupBy(*keys).count().where("count > 1")
+
+
+def delete_and_check(spark: SparkSession, gone: DataFrame, path: str, to: str, keys: list[str]) -> DataFrame:
+    """Write the rows of ``path`` without those of ``gone`` to a new folder, then return what is still stored of them (empty if consistent).
+
+    The old folder stays as it is, so a lost task cannot leave half a table.
+    """
+    stored = spark.read.parquet(path)
+    missing_only(stored, gone, keys).write.mode("errorifexists").parquet(to)
+    return spark.read.schema(stored.schema).parquet(to).join(gone.select(*keys).distinct(), keys, "left_semi")
+
+
+def orphan_files(files: DataFrame, rows: DataFrame, path: str = "path") -> DataFrame:
+    """Files that no row names."""
+    return files.join(rows.select(path).distinct(), path, "left_anti")
+
+
+def delete_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """(path, gone): delete each file and look again; a file that is already absent counts as gone.
+
+    Runs where the result is computed; repeating it changes nothing.  Works on
+    the file systems that pyarrow opens by address.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for p in batch["path"]:
+                system, inner = fs.FileSystem.from_uri(p)
+                there = lambda: system.get_file_info(inner).type != fs.FileType.NotFound  # noqa: B023, E731
+                try:
+                    if there():
+                        system.delete_file(inner)
+                    out.append((p, not there()))
+                except OSError:
+                    out.append((p, False))
+            yield pd.DataFrame(out, columns=["path", "gone"])
+
+    return files.select(F.col(path).alias("path")).distinct().mapInPandas(run, "path string, gone boolean")

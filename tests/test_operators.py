@@ -267,3 +267,68 @@ def test_dealt_rank_is_a_rank(spark):
     got = groups.dealt_rank(d, ["g"], "id")
     for g in (0, 1):
         assert sorted(r["rank"] for r in got.where(F.col("g") == g).collect()) == list(range(250))
+
+
+def test_frame_overlap_against_points(spark):
+    rng = np.random.default_rng(3)
+    mats = []
+    for i in range(40):
+        a, s = rng.uniform(-1, 1), rng.uniform(0.5, 1.8)
+        mats.append((i, [[s * np.cos(a), -s * np.sin(a), rng.uniform(-40, 40)], [s * np.sin(a), s * np.cos(a), rng.uniform(-40, 40)], [rng.uniform(-1e-3, 1e-3), rng.uniform(-1e-3, 1e-3), 1.0]]))
+    mats += [(40, [[1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0]]), (41, [[1.0, 0, 500], [0, 1.0, 0], [0, 0, 1.0]]), (42, [[1.0, 0, 0], [0, 1.0, 0], [-0.1, 0, 1.0]]), (43, None)]
+    d = spark.createDataFrame([(i, None if m is None else [[float(x) for x in r] for r in m]) for i, m in mats], "i int, h array<array<double>>")
+    got = {r.i: r.v for r in d.select("i", S.frame_overlap("h", F.lit(100), F.lit(80), F.lit(90), F.lit(70)).alias("v")).collect()}
+    y, x = np.mgrid[0.5:160:1, 0.5:200:1] / 2
+    at = np.stack([x.ravel(), y.ravel(), np.ones(x.size)])
+    for i, m in mats[:40]:
+        back = np.linalg.inv(np.array(m)) @ at
+        u, v = back[0] / back[2], back[1] / back[2]
+        assert got[i] == pytest.approx(((u >= 0) & (u <= 90) & (v >= 0) & (v <= 70)).mean(), abs=0.01)
+    assert got[40] == pytest.approx(90 * 70 / 8000) and got[41] == 0.0 and got[42] is None and got[43] is None
+
+
+def test_drawn_homography_moves_corners_as_drawn(spark):
+    d = spark.range(200).select("id", S.drawn_homography("id", F.lit(101), F.lit(81), 15.0, (0.9, 1.1), 0.1, 0.02).alias("h"))
+    hs = {r.id: np.array(r.h) for r in d.collect()}
+    assert len({h.tobytes() for h in hs.values()}) == 200
+    for h in hs.values():
+        for x, y in ((0, 0), (100, 0), (100, 80), (0, 80)):
+            px, py, k = h @ (x, y, 1)
+            # the farthest a corner may go: scale, turn, shift and jitter together
+            assert np.hypot(px / k - x, py / k - y) < 0.1 * 66 + 0.27 * 71 + 0.12 * 131
+    still = spark.range(1).select(S.drawn_homography("id", F.lit(101), F.lit(81), 0.0, (1.0, 1.0), 0.0, 0.0).alias("h")).first().h
+    assert np.allclose(still, np.eye(3))
+
+
+def test_grid_hashes_turn_with_the_grid(spark):
+    rng = np.random.default_rng(4)
+    g = rng.uniform(0, 255, (32, 32))
+    d = spark.createDataFrame([(0, g.ravel().tolist()), (1, np.rot90(g).ravel().tolist()), (2, np.fliplr(g).ravel().tolist()), (3, [1.0]), (4, None)], "i int, g array<double>")
+    h = {r.i: r.h for r in d.select("i", hamming.grid_hashes("g").alias("h")).collect()}
+    assert len(h[0]) == 8 and set(h[0]) == set(h[1]) == set(h[2]) and h[1][0] == h[0][1] and h[2][0] == h[0][4] and h[3] is None and h[4] is None
+    n = np.arange(32)
+    low = [[sum(g[y, x] * np.cos(np.pi * (2 * x + 1) * u / 64) * np.cos(np.pi * (2 * y + 1) * v / 64) for y in n for x in n) * (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) for u in range(8)] for v in range(8)]
+    flat = np.ravel(low)[1:]
+    assert h[0][0] == int("".join("1" if b else "0" for b in flat > np.median(flat)), 2)
+
+
+def test_small_functions(spark):
+    r = one(spark, S.file_stamp(F.lit(1700000000123)).alias("a"), S.zero_to(F.lit(0), F.lit(7)).alias("b"), S.zero_to(F.lit(None).cast("int"), F.lit(7)).alias("c"), S.zero_to(F.lit(3), F.lit(7)).alias("d"),
+            filters.masked(F.lit(5), F.lit(True)).alias("e"), filters.masked(F.lit(5), F.lit(False)).alias("f"), (S.today() == F.current_date().cast("string")).alias("g"),
+            filters.naming_scheme(F.lit("x/12 - a.png"), [("id", r"(?i)ID\d+"), ("old", r"^\d+\s*-")], "new").alias("h"), filters.same_scene(F.lit(0.9), F.lit(50)).alias("i"), filters.same_scene(F.lit(0.91), F.lit(30)).alias("j"),
+            filters.same_scene(F.lit(None).cast("double"), F.lit(30)).alias("k"))
+    assert tuple(r) == ("visit_20231114_221320_123.jpg", 7, 7, 3, None, 5, True, "old", False, True, False)
+    d = spark.createDataFrame([(1, 2)], "Image_Name int, b int")
+    assert filters.pick_column(d, "id", "imagename") == "Image_Name" and filters.pick_column(d, "id") is None
+
+
+def test_recycled_sample_and_restricted_matches(spark):
+    d = spark.createDataFrame([(x,) for x in "abcde"], "k string")
+    got = [r.k for r in groups.recycled_sample(d, "k", 12).orderBy("pick").collect()]
+    assert len(got) == 12 and set(got) == set("abcde") and got[:5] == got[5:10] and got[10:] == got[:2]
+    assert sorted(r.pick for r in groups.recycled_sample(d, "k", 3).collect()) == [0, 1, 2]
+    assert groups.recycled_sample(d.limit(0), "k", 3).count() == 0
+    files = spark.createDataFrame([("out/SetOne/a.png",), ("out/b.png",)], "path string")
+    near = spark.createDataFrame([("out/b.png", "setone", 3)], "path string, dataset string, distance int")
+    assert rows(joins.restricted_matches(files, near, ["setone", "settwo"])) == [("out/SetOne/a.png", "setone", 0, "named"), ("out/b.png", "setone", 3, "alike")]
+    assert rows(joins.exists_in(files, near, ["path"])) == [("out/b.png",)]

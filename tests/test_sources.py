@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import struct
+import zipfile
+import zlib
 
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
@@ -103,3 +107,66 @@ def test_register_of_markdown(spark):
     d = spark.createDataFrame(list(enumerate(lines)), "n int, value string")
     assert [(r.key, r.state) for r in scans.markdown_register(d, ["calibrated", "provisional"]).collect()] == [("a.b", "provisional")]
     assert rows(scans.quoted_terms(spark.createDataFrame([('X = ["one", "two", "one"]',)], "t string"), "t")) == [("one",), ("two",)]
+
+
+def test_image_sizes_by_header(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">IIBBBBB", 640, 480, 8, 2, 0, 0, 0) + struct.pack(">I", zlib.crc32(b""))
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", 6) + b"Exif" + b"\xff\xff\xc2" + struct.pack(">HBHHB", 8, 8, 33, 44, 0)
+    webp = b"RIFF\0\0\0\0WEBPVP8X" + struct.pack("<IB3x", 10, 0) + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")
+    files = {"a.png": png, "b.jpg": jpeg, "c.webp": webp, "d.bmp": b"BM" + bytes(16) + struct.pack("<ii", 7, -9), "e.jpg": b"\xff\xd8\xff", "f.png": b"?"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.error is None) for r in scans.image_sizes(scans.images(spark, str(tmp_path), content=True)).collect()}
+    assert got == {"a.png": (640, 480, True), "b.jpg": (44, 33, True), "c.webp": (100, 50, True), "d.bmp": (7, 9, True), "e.jpg": (None, None, False), "f.png": (None, None, False)}
+
+
+def test_workbook_and_descriptors(spark, tmp_path):
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="One" sheetId="1" r:id="x1"/><sheet name="Two" sheetId="2" r:id="x2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="y"><Relationship Id="x1" Target="worksheets/s1.xml"/><Relationship Id="x2" Target="/xl/worksheets/s2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t> IMG1 </t></si><si><r><t>sore</t></r><r><t> spot</t></r></si></sst>')
+        z.writestr("xl/worksheets/s1.xml", f"""<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>head</t></is></c><c r="B1"><v>9</v></c></row>
+            <row r="2"><c r="B2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c><c r="E2"><v>3</v></c></row><row r="3"><c r="A3"><v>1</v></c></row></sheetData></worksheet>""")
+        z.writestr("xl/worksheets/s2.xml", f"""<worksheet xmlns="{main}"><sheetData><row r="4"><c r="B4" t="inlineStr"><is><t>img1</t></is></c><c r="C4" t="b"><v>1</v></c></row>
+            <row r="5"><c r="B5" t="inlineStr"><is><t>img2</t></is></c><c r="D5" t="inlineStr"><is><t>  </t></is></c></row></sheetData></worksheet>""")
+    d = scans.workbook_rows(spark, str(tmp_path))
+    assert [(r.sheet, r.row, r.cells) for r in d.orderBy("sheet_no", "row").collect()][1] == ("One", 2, [None, " IMG1 ", "sore spot", None, "3"])
+    assert rows(scans.descriptors(d.where("sheet_no = 0")).select("key", "labels")) == [("img1", ["sore spot", "3"])]
+    assert rows(scans.descriptors(d).select("key", "labels")) == [("img1", ["True"]), ("img2", [])]
+
+
+def test_json_and_guarded_scans(spark, tmp_path):
+    (tmp_path / "assets.json").write_text('[{"name": "a", "bytes": 3}, {"name": "b"}]')
+    assert rows(scans.read_json(spark, str(tmp_path / "assets.json"), "name string, bytes long")) == [("a", 3), ("b", None)]
+    d = spark.createDataFrame([("x/unannotated/a.png",), ("x/annotated/b.png",), ("x/c.json",), ("x/c.png",)], "path string")
+    assert rows(scans.guarded_images(d)) == [("x/c.png",), ("x/unannotated/a.png",)]
+
+
+def test_lines_refused_bundles_and_deletion(spark, tmp_path):
+    d = spark.createDataFrame([(1, "train", 0.5), (2, "val", 1.0)], "id int, split string, share double")
+    assert rows(sinks.report_lines(d, "%d %s %.2f", ["id", "split", "share"])) == [("1 train 0.50",), ("2 val 1.00",)]
+    assert sinks.publishable(d, F.col("split") == "test").count() == 2
+    with pytest.raises(Exception, match="restricted source"):
+        sinks.publishable(d, F.col("split") == "val").collect()
+    d.write.parquet(str(tmp_path / "t"))
+    assert sinks.delete_and_check(spark, d.where("id = 1"), str(tmp_path / "t"), str(tmp_path / "t2"), ["id"]).count() == 0
+    assert rows(spark.read.parquet(str(tmp_path / "t2"))) == [(2, "val", 1.0)]
+    photos = tmp_path / "photos"
+    photos.mkdir()
+    for name in ("a.jpg", "b.jpg"):
+        (photos / name).write_bytes(b"x")
+    found = scans.images(spark, str(photos)).select("path")
+    orphans = sinks.orphan_files(found, found.where(F.col("path").endswith("a.jpg")))
+    assert [r.gone for r in sinks.delete_files(orphans).collect()] == [True]
+    assert [p.name for p in photos.iterdir()] == ["a.jpg"]
+    assert rows(sinks.delete_files(spark.createDataFrame([(f"file:{photos}/none.jpg",)], "path string")).select("gone")) == [(True,)]
+
+
+def test_live_query(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in range(5)], "id int").write.parquet(str(tmp_path / "in"))
+    seen = []
+    q = visits.on_change(spark.readStream.schema("id int").parquet(str(tmp_path / "in")), lambda d, n: seen.append((n, d.count())), str(tmp_path / "c"))
+    q.processAllAvailable()
+    q.stop()
+    assert seen == [(0, 5)]
