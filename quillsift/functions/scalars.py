@@ -259,8 +259,11 @@ def frame_overlap(h, width, height, width2, height2) -> Column:
 
         return F.flatten(F.transform(points, step))
 
-    region = F.aggregate(sides, F.array(*(project(h, x, y) for x, y in corners)), clipped)
-    return F.when(ahead, F.coalesce(shoelace(region), zero) / (w * t))
+    # lambdas over one element, so that matrix and region are computed once
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    region = lambda m: F.aggregate(sides, F.array(*(project(m, x, y) for x, y in corners)), clipped)
+    area = once(h, lambda m: once(region(m), lambda r: F.coalesce(shoelace(r), zero)))
+    return F.when(ahead, area / (w * t))
 
 
 def uniform(key, place: int, seed: int = 42) -> Column:
