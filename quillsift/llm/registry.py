@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillsift.llm import bpe, chat_format, fingerprint, html_extract, license_scan, near_dedup, packing, ppm, quality_rules, toxicity
+from quillsift.llm import bpe, chat_format, collocations, fingerprint, html_extract, license_scan, near_dedup, packing, ppm, quality_rules, toxicity
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_chat_formatting": chat_format.op9_chat_formatting,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -27,4 +28,5 @@ def oracle_sql():
         "op2_quality_rules": quality_rules.oracle(),
         "op4_license_scan": license_scan.oracle(),
         "op9_chat_formatting": chat_format.oracle(),
+        "op13_collocations": collocations.oracle(),
     }
