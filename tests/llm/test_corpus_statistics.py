@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
 
-from quillsift.llm import collocations
+from quillsift.llm import collocations, prefix_trie
 from tests.helpers import rows
 
 VOCABULARY = "Der die RAT Haus\x1f né ñu 😀 zu i18n x-y".split(" ")
@@ -81,3 +83,84 @@ def test_collocation_scores_do_not_overflow(spark):
     counts = spark.createDataFrame([("aa", "", 10**14), ("aa", "x", 9 * 10**13), ("aa", "y", 8 * 10**13), ("aa", "x y", 7 * 10**13)], collocations.COUNTS)
     got = collocations.scored(counts, 3, 2000, 50).collect()
     assert [r.score for r in got] == [1000000 * 49 * 10**26 // (72 * 10**26)]
+
+
+def in_order(table):
+    """Turns of each conversation; equal numbers by the digest of role and text."""
+    convs = defaultdict(list)
+    for conv, turn, role, text in table:
+        role, text = role or "", text or ""
+        if conv is not None:
+            convs[conv].append((turn is not None, turn or 0, hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest(), role, text))
+    return {c: [x[3:] for x in sorted(v)] for c, v in convs.items()}
+
+
+def loop_rebuilt(convs):
+    out = {}
+    for c, own in convs.items():
+        h, head = zlib.crc32(str(c).encode()) % 9, c - (c % 5 if c >= 0 else -(-c % 5))
+        out[c] = convs.get(head, [])[:h] + own[h:]
+    return out
+
+
+def loop_trie(convs):
+    members, last = defaultdict(list), defaultdict(list)
+    for c, turns in sorted(convs.items()):
+        last[tuple(turns)].append(c)
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    kids = Counter(x[:-1] for x in members if x)
+    leaves, saved = Counter(), Counter()
+    for x, m in members.items():
+        for d in range(len(x) + 1):
+            leaves[x[:d]] += x not in kids
+            saved[x[:d]] += (len(m) - 1) * len(x[-1][1].encode()) if x else 0
+    sha = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    return sorted(((m[0], len(x), members[x[:-1]][0] if x else None, len(m), kids[x], leaves[x], saved[x], sha(last[x])) for x, m in members.items()), key=repr)
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def dialogues(n: int, seed: int, longest: int = 12):
+    rng = random.Random(seed)
+    out = []
+    for c in range(-n // 4, n):
+        for t in range(rng.randrange(longest) if c % 7 else 0):
+            # few different turns, so that conversations share starts
+            out.append((c, rng.choice((t, t, t, t, 0, None)), ("user", "assistant", None)[t % 3], rng.choice(("yes", "né 😀", "", None)) if rng.random() < 0.5 else "same"))
+    return out
+
+
+def trie_rows(df):
+    return rows(df.drop("k1", "k2"))
+
+
+@pytest.mark.parametrize("run", [2, 1024])
+def test_trie_equals_a_loop(spark, monkeypatch, run):
+    monkeypatch.setattr(prefix_trie, "RUN", run)
+    table = dialogues(60, 3)
+    ordered = prefix_trie.turns_in_order(spark.createDataFrame(table, TURNS).repartition(7))
+    assert trie_rows(prefix_trie.prefix_trie(prefix_trie.rebuilt_sequences(ordered))) == loop_trie(loop_rebuilt(in_order(table)))
+    assert trie_rows(prefix_trie.prefix_trie(prefix_trie.plain_sequences(ordered))) == loop_trie(in_order(table))
+
+
+def test_trie_with_a_hot_conversation_and_hot_ends(spark):
+    long = [(10**6, t, "user", str(t % 50)) for t in range(1500)]
+    copies = [(c, 0, "user", "0") for c in range(9000)]
+    table = long + copies
+    ordered = prefix_trie.turns_in_order(spark.createDataFrame(table, TURNS))
+    got = {r.depth: r for r in prefix_trie.prefix_trie(prefix_trie.plain_sequences(ordered)).collect()}
+    assert len(got) == 1501
+    assert (got[0].n_convs, got[1].n_convs, got[2].n_convs, got[1].conv_id, got[2].conv_id, got[2].parent_conv_id) == (9001, 9001, 1, 0, 10**6, 0)
+    assert got[1].ends_sha256 == hashlib.sha256(",".join(map(str, range(9000))).encode()).hexdigest()
+    assert got[0].n_leaves == 1 and got[0].saved_tokens == got[1].saved_tokens == 9000
+    assert got[1500].ends_sha256 == hashlib.sha256(b"1000000").hexdigest() and got[1499].n_children == 1
+
+
+def test_trie_of_awkward_turns(spark):
+    table = [(None, 1, "user", "lost"), (1, None, None, None), (1, 3, "user", "x" * 200_000), (1, 3, "user", "x" * 200_000), (2, 3, "user", "b"), (2, 3, "user", "a"), (3, None, None, None)]
+    df = spark.createDataFrame([(*x, 0, "c", 7) for x in table], TURNS + ", depth int, digest string, k1 int")
+    got = prefix_trie.prefix_trie(prefix_trie.plain_sequences(prefix_trie.turns_in_order(df)))
+    assert trie_rows(got) == loop_trie(in_order(table))
+    assert rows(prefix_trie.prefix_trie(prefix_trie.rebuilt_sequences(prefix_trie.turns_in_order(df.limit(0))))) == []
