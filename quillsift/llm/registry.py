@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillsift.llm import bpe, chat_format, collocations, fingerprint, html_extract, license_scan, near_dedup, packing, ppm, prefix_trie, quality_rules, toxicity
+from quillsift.llm import bpe, chat_format, collocations, fingerprint, html_extract, language_id, license_scan, near_dedup, packing, ppm, prefix_trie, quality_rules, toxicity
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_chat_formatting": chat_format.op9_chat_formatting,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "op11_language_id": language_id.op11_language_id,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,

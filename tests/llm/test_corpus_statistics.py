@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 import random
 import re
 import zlib
@@ -10,10 +12,13 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillsift.llm import collocations, prefix_trie
+from quillsift.llm import collocations, language_id, prefix_trie
+from tests.llm.conftest import prose
 from tests.helpers import rows
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 VOCABULARY = "Der die RAT Haus\x1f né ñu 😀 zu i18n x-y".split(" ")
 
 
@@ -164,3 +169,66 @@ def test_trie_of_awkward_turns(spark):
     got = prefix_trie.prefix_trie(prefix_trie.plain_sequences(prefix_trie.turns_in_order(df)))
     assert trie_rows(got) == loop_trie(in_order(table))
     assert rows(prefix_trie.prefix_trie(prefix_trie.rebuilt_sequences(prefix_trie.turns_in_order(df.limit(0))))) == []
+
+
+def loop_phrases(text: bytes, sample: bytes) -> int:
+    n = i = 0
+    while i < len(text):
+        k = 1
+        while i + k <= len(text) and text[i : i + k] in sample:
+            k += 1
+        i += max(1, k - 1)
+        n += 1
+    return n
+
+
+def loop_predictions(samples, texts):
+    plain = [(lang, b"\n".join(x for x in map(language_id.letters, parts) if x)) for lang, parts in samples]
+    plain = [(lang, x) for lang, x in plain if x]
+    out = []
+    for t in texts:
+        t = language_id.letters(t)
+        if not t or not plain:
+            out.append(("und", 0.0))
+            continue
+        bits = sorted((loop_phrases(t, x) * math.log2(len(x) + 1), lang) for lang, x in plain)
+        out.append((bits[0][1], 1 - bits[0][0] / bits[1][0] if len(bits) > 1 else 1.0))
+    return out
+
+
+@pytest.mark.parametrize("piece", [5, 64, 2048])
+def test_phrases_equal_a_loop(monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    rng = random.Random(piece)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for _ in range(20):
+        samples = [(lang, [some("abcé ", rng.randrange(1, 60)) for _ in range(3)]) for lang in "xyz"]
+        model = language_id.Model(samples)
+        texts = [some("abcdÉ. ", rng.randrange(1, 300)) for _ in range(6)] + ["a" * 200, "ab" * 100, "dd", None, "", "12 ²"]
+        want = loop_predictions(samples, texts)
+        got = list(zip(*model.predict(texts)))
+        assert [x for x, _ in got] == [x for x, _ in want]
+        assert [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
+def test_language_of_held_out_texts(spark):
+    r = language_id.op11_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(r) > 30 and sum(x.lang == x.lang_pred for x in r) >= 0.97 * len(r)
+
+
+def test_sample_is_bounded_and_reads_only_labelled_texts(spark):
+    docs = [(i, "né " * 300 + str(i), ("aa", "bb", None)[i % 3]) for i in range(60)] + [(99, "", "cc"), (98, None, "dd"), (97, "...", "ee")]
+    got = dict(language_id.sample(spark.createDataFrame(docs, "doc_id long, text string, lang string"), rows=7))
+    assert sorted(got) == ["aa", "bb", "ee"] and [len(got[x]) for x in ("aa", "bb")] == [7, 7]
+    assert max(len(x) for x in got["aa"]) == language_id.FRAGMENT
+    assert language_id.Model([("ee", ["..."])]).predict(["abc", "..."]) == (["und", "und"], [0.0, 0.0])
+
+
+def test_language_of_awkward_rows(spark, awkward, nothing):
+    samples = [("en", [prose(500, 1)]), ("xx", ["née ñandú aaaa"])]
+    table = awkward.collect()
+    got = language_id.predict_rows(awkward, samples).select("row.*", F.col("score").alias("s"), "lang_pred").toPandas()
+    want = loop_predictions(samples, [r.text for r in table])
+    assert sorted(zip(got.lang_pred, got.s.round(9))) == sorted((x, round(s, 9)) for x, s in want)
+    assert set(got.columns) >= set(awkward.columns) and (got.lang_pred == "und").sum() == sum(not any(map(str.isalpha, r.text or "")) for r in table)
+    assert rows(language_id.predict_rows(nothing, samples)) == [] and language_id.sample(nothing) == []
