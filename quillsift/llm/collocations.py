@@ -2,7 +2,7 @@ r"""Phrase collocations: n-grams as rows, counted per language, scored by their
 
 Every contiguous run of 1 to ``max_n`` words becomes a row (lang, phrase, count);
 the rows are summed by a hash aggregate.  A task first combines the runs of some
-2 million words, so that a frequent phrase is one row a chunk and not one an
+4 million words, so that a frequent phrase is one row a chunk and not one an
 occurrence: no key is hot in the shuffle.  Only phrases seen ``least`` times are
 kept; a part of a phrase is seen as often as the phrase at least, so the kept
 rows also hold every count that scores need.  They are written once and joined
@@ -35,8 +35,8 @@ from pyspark.sql import Window as W
 
 from quillsift.llm.common import release, table, written
 
-#: Words combined at once; three numbers below CHUNK + max_n fit in 64 bits.
-CHUNK = 2_000_000
+#: Words combined at once, and different ones among them at most (three numbers below 2 ** 21 fit in 64 bits); bytes of text cut into words at once; rows sent at once.
+CHUNK, WORDS, BLOCK, ROWS = 4_000_000, 1_500_000, 1 << 20, 50_000
 #: Lower case of A-Z; ends of pieces become line feeds, tabs become spaces.
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 COUNTS = "lang string, phrase string, f long"
@@ -50,64 +50,91 @@ class _Numbers(dict):
         return n
 
 
-def tokens(text: str) -> list[bytes]:
-    """The words of a text; a line feed stands after each piece, some entries are empty."""
-    return (text.encode("utf-8", "surrogatepass").translate(PLAIN).replace(b"\n", b" \n ") + b" \n").split(b" ")
-
-
-def combined(words: list[bytes], max_n: int, starts: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(phrases, counts) for 1 to max_n words, of phrases that start at the first ``starts`` entries of ``words``."""
-    number = _Numbers({b"\n": 0})
-    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    names = list(number)
-    # numbers in the order of the words, so that rows leave sorted (neighbours compress well)
-    order = sorted(range(1, len(names)), key=names.__getitem__)
-    place = np.zeros(len(names), np.int64)
-    place[order] = np.arange(1, len(names))
-    at, vocabulary = place[at], pa.array([b"", *(names[i] for i in order)], pa.binary()).cast(pa.string())
-    size = len(names)
-    key, whole = at, at != 0
-    for n in range(1, max_n + 1):
-        if n > 1:
-            key, whole = key[:-1] * size + at[n - 1 :], whole[:-1] & (at[n - 1 :] != 0)
-        found, counts = np.unique(key[:starts][whole[:starts]], return_counts=True)
-        parts = []
-        for _ in range(n):
-            found, last = np.divmod(found, size)
-            parts.append(vocabulary.take(pa.array(last)))
-        yield (pc.binary_join_element_wise(*reversed(parts), " ") if n > 1 else parts[0]), counts
+class Counter:
+    """Words of one language as numbers: 0 ends a piece, 1 is no word."""
+
+    def __init__(self):
+        self.numbers, self.held = _Numbers({b"\n": 0, b"": 1}), []
+
+    def add(self, words: list[bytes]) -> int:
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+        self.held.append(at[at != 1])
+        return len(self.held[-1])
+
+    def rows(self, max_n: int, last: bool) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """(phrases, counts) of 1 to max_n words, and of the empty phrase: all words.
+
+        If more words may follow (not ``last``), what starts with the last max_n - 1 words is left for later.
+        """
+        at, names = np.concatenate(self.held), list(self.numbers)
+        starts = len(at) if last else max(0, len(at) - max_n + 1)
+        self.__init__()
+        if starts < len(at):
+            self.add([names[i] for i in at[starts:]])
+        # numbers in the order of the words, so that rows leave sorted (neighbours compress well)
+        order = sorted(range(2, len(names)), key=names.__getitem__)
+        place = np.zeros(len(names), np.int64)
+        place[order] = np.arange(1, len(order) + 1)
+        at, size = place[at], len(order) + 1
+        words = pa.array([b"", *(names[i] for i in order)], pa.binary()).cast(pa.string())
+        del names, order, place
+        yield pa.array([""]), np.array([np.count_nonzero(at[:starts])])
+        key, whole, heads, width = at, at != 0, None, 1
+        for n in range(1, max_n + 1):
+            if n > 1:
+                if size ** (width + 1) >= 2**63:  # number the phrases so far anew
+                    found, key = np.unique(key, return_inverse=True)
+                    heads, width = _joined(found, size, width, words, heads), 1
+                key, whole, width = key[:-1] * size + at[n - 1 :], whole[:-1] & (at[n - 1 :] != 0), width + 1
+            found, counts = np.unique(key[:starts][whole[:starts]], return_counts=True)
+            for a in range(0, len(found), ROWS):
+                yield _joined(found[a : a + ROWS], size, width, words, heads), counts[a : a + ROWS]
+
+
+def _joined(keys: np.ndarray, size: int, width: int, words: pa.Array, heads: pa.Array | None) -> pa.Array:
+    """The phrases of keys of ``width`` numbers, the first of which is one of ``heads`` (or of ``words``)."""
+    parts = []
+    for _ in range(width - 1):
+        keys, last = np.divmod(keys, size)
+        parts.append(words.take(pa.array(last)))
+    parts.append((words if heads is None else heads).take(pa.array(keys)))
+    return pc.binary_join_element_wise(*reversed(parts), " ") if width > 1 else parts[0]
+
+
+def blocks(text: str) -> Iterator[list[bytes]]:
+    """The words of a text in turn, some of them empty; a line feed ends a piece, and the text."""
+    data = text.encode("utf-8", "surrogatepass").translate(PLAIN) + b"\n"
+    at = 0
+    while at < len(data):
+        end = len(data)
+        if end - at > BLOCK:  # up to a gap between words
+            gaps = [x for x in (data.find(b" ", at + BLOCK), data.find(b"\n", at + BLOCK)) if x >= 0]
+            end = min(gaps)
+        yield data[at:end].replace(b"\n", b" \n ").split(b" ")
+        at = end
 
 
 def count_rows(batches: Iterator[pa.RecordBatch], max_n: int, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Rows (lang, phrase, f) of the texts (lang, text), combined by chunks; the empty phrase has the number of words."""
-    held: dict[str, list[bytes]] = {}
+    held: dict[str, Counter] = {}
     size = 0
 
-    def out(lang: str, words: list[bytes], starts: int):
-        n = starts - words[:starts].count(b"\n")
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([n], pa.int64())], ["lang", "phrase", "f"])
-        for phrases, counts in combined(words, max_n, starts):
-            for a in range(0, len(counts), 50_000):
-                part = phrases.slice(a, 50_000)
-                yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(part), np.int8)), pa.array([lang])).cast(pa.string()), part, pa.array(counts[a : a + 50_000], pa.int64())], ["lang", "phrase", "f"])
+    def out(last: bool) -> Iterator[pa.RecordBatch]:
+        for lang, counter in held.items():
+            for phrases, counts in counter.rows(max_n, last):
+                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(phrases), np.int64))), phrases, pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
 
     for b in batches:
         for lang, text in zip(b.column(0), b.column(1)):
-            words = [w for w in tokens(text.as_py() or "") if w]
-            lang = lang.as_py()
-            while len(words) > chunk:  # phrases that start in the first chunk words
-                yield from out(lang, words[: chunk + max_n - 1], chunk)
-                words = words[chunk:]
-            held.setdefault(lang, []).extend(words)
-            size += len(words)
-            if size > chunk:
-                for k, v in held.items():
-                    yield from out(k, v, len(v))
-                held, size = {}, 0
-    for k, v in held.items():
-        yield from out(k, v, len(v))
-    held = {}
+            counter = held.setdefault(lang.as_py(), Counter())
+            for words in blocks(text.as_py() or ""):
+                size += counter.add(words)
+                if size > chunk or sum(len(c.numbers) for c in held.values()) > WORDS:
+                    yield from out(last=False)
+                    held = {k: c for k, c in held.items() if c.held}
+                    size = 0
+    yield from out(last=True)
+    held.clear()
     release()
 
 
@@ -116,7 +143,7 @@ def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10, text_col: st
     texts = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     rows = texts.mapInArrow(lambda batches: count_rows(batches, max_n), COUNTS)
     # rows are combined already: they are dealt first, so that no second combining runs before the shuffle
-    return rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
+    return rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | ((F.col("phrase") == "") & (F.col("f") > 0)))
 
 
 def _words():

@@ -63,19 +63,30 @@ def test_collocations_equal_a_loop(spark, max_n, share):
     assert rows(got) == loop_collocations(docs, max_n, 6, 30, share)
 
 
-def test_collocations_are_counted_over_chunks():
+def test_collocations_are_counted_over_chunks(monkeypatch):
     import pyarrow as pa
 
     text = babble(3000, 7)
     batch = pa.RecordBatch.from_arrays([pa.array(["aa", "bb"]), pa.array([text, text[:900]])], ["lang", "text"])
     sums = []
-    for chunk in (50, 1_000_000):
+    for chunk, block in ((50, 64), (1_000_000, 1 << 20), (700, 1)):
+        monkeypatch.setattr(collocations, "BLOCK", block)
         total = Counter()
         for b in collocations.count_rows(iter([batch]), 3, chunk):
             for r in b.to_pylist():
                 total[r["lang"], r["phrase"]] += r["f"]
         sums.append(total)
-    assert sums[0] == sums[1] and sums[0]["aa", ""] == 3000
+    assert sums[0] == sums[1] == sums[2] and sums[0]["aa", ""] == 3000
+
+
+def test_phrases_of_many_words_are_numbered_anew():
+    import pyarrow as pa
+
+    words = [str(i % 997 * 7919 % 1009) for i in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["aa"]), pa.array([" ".join(words)])], ["lang", "text"])
+    got = {r["phrase"]: r["f"] for b in collocations.count_rows(iter([batch]), 9) for r in b.to_pylist()}
+    want = Counter(" ".join(words[i : i + n]) for n in range(1, 10) for i in range(len(words) - n + 1))
+    assert got == {"": 5000} | want
 
 
 def test_collocations_of_awkward_rows(spark, awkward, nothing):
