@@ -27,6 +27,13 @@ def interval_overlaps(a: DataFrame, b: DataFrame, pair: str, width: float) -> Da
     return j.select(pair, "i", "j", F.try_divide(inter, union).alias("iou"), inter.alias("inter")).where("inter > 0").drop("inter")
 
 
+def cell_overlaps(a: DataFrame, b: DataFrame, pair: str) -> DataFrame:
+    """(pair, i, j, iou) of regions of both sides that share cells; columns pair, idx, area, cells (an array of cell numbers)."""
+    cells = lambda d, n: d.select(pair, F.col("idx").alias(n), F.col("area").alias(f"{n}_area"), F.explode("cells").alias("cell"))
+    n = cells(a, "i").join(cells(b, "j"), [pair, "cell"]).groupBy(pair, "i", "j").agg(F.count(F.lit(1)).alias("n"), F.max("i_area").alias("i_area"), F.max("j_area").alias("j_area"))
+    return n.select(pair, "i", "j", (F.col("n") / (F.col("i_area") + F.col("j_area") - F.col("n"))).alias("iou"))
+
+
 def greedy_match(overlaps: DataFrame, pair: str, limit: float = PARAMS["delta.match_iou"]) -> DataFrame:
     """One-to-one matches (pair, i, j, iou) of the largest overlaps first; of equal ones the larger i, then j.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillsift.plans import corpus, similarity, visits  # noqa: F401  (they register their queries)
+from quillsift.plans import corpus, images, similarity, visits  # noqa: F401  (they register their queries)
 from quillsift.plans.base import QUERIES, SQL
 
 
