@@ -39,6 +39,8 @@ from quillsift.llm.common import release, table, written
 CHUNK, WORDS, BLOCK, ROWS = 4_000_000, 1_500_000, 1 << 20, 50_000
 #: Lower case of A-Z; ends of pieces become line feeds, tabs become spaces.
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
+#: Characters by which phrases are dealt, and tasks that share phrases of one beginning.
+HEAD, SPREAD = 4, 8
 COUNTS = "lang string, phrase string, f long"
 
 
@@ -86,7 +88,12 @@ class Counter:
                     found, key = np.unique(key, return_inverse=True)
                     heads, width = _joined(found, size, width, words, heads), 1
                 key, whole, width = key[:-1] * size + at[n - 1 :], whole[:-1] & (at[n - 1 :] != 0), width + 1
-            found, counts = np.unique(key[:starts][whole[:starts]], return_counts=True)
+            # sorted in place: a chunk's numbers are copied once
+            found = key[:starts][whole[:starts]]
+            found.sort()
+            first = np.flatnonzero(np.diff(found, prepend=-1))
+            counts = np.diff(first, append=len(found))
+            found = found[first]
             for a in range(0, len(found), ROWS):
                 yield _joined(found[a : a + ROWS], size, width, words, heads), counts[a : a + ROWS]
 
@@ -142,8 +149,10 @@ def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10, text_col: st
     """(lang, phrase, f) of all phrases of 1 to max_n words seen ``least`` times, and of the empty phrase: all words."""
     texts = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     rows = texts.mapInArrow(lambda batches: count_rows(batches, max_n), COUNTS)
-    # rows are combined already: they are dealt first, so that no second combining runs before the shuffle
-    return rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | ((F.col("phrase") == "") & (F.col("f") > 0)))
+    # rows are combined already: they are dealt first, so that no second combining runs before the shuffle;
+    # sorted neighbours go together, which compresses well, while phrases that begin alike go to SPREAD tasks
+    dealt = F.substring("phrase", 1, HEAD), F.pmod(F.xxhash64("phrase"), F.lit(SPREAD))
+    return rows.repartition("lang", *dealt).groupBy("lang", dealt[0].alias("head"), dealt[1].alias("part"), "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | ((F.col("phrase") == "") & (F.col("f") > 0))).select("lang", "phrase", "f")
 
 
 def _words():
