@@ -204,6 +204,52 @@ def test_extraction_of_every_page(spark):
         assert got[k].text == want and got[k].n_chars == len(want)
 
 
+def sentences(n: int) -> str:
+    return " ".join(f"Sentence {i} of the text is long, has marks, and says a little more." for i in range(n))
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<div><p>A {sentences(3)}</p><div><p>B {sentences(5)}</p><p>{sentences(4)}</p></div></div>", f"A {sentences(3)} B {sentences(5)} {sentences(4)}"),
+        (f"<body><div><p>Lead.</p><div><p>{sentences(5)}</p><p>{sentences(4)}</p></div><p>Tail of it.</p></div></body>", f"Lead. {sentences(5)} {sentences(4)} Tail of it."),
+        (f"<body><article><h2>A</h2><p>{sentences(12)}</p></article><article><h2>B</h2><p>{sentences(4)}</p></article></body>", f"A {sentences(12)} B {sentences(4)}"),
+        (f"<main><article><p>{sentences(12)}</p></article><article><p>{sentences(4)}</p></article></main>", f"{sentences(12)} {sentences(4)}"),
+        ("We <mark class='search-hit'>found</mark> it, <span class='header'>Chapter</span> and <a class='related'>this link</a>.", "We found it, Chapter and this link."),
+        (f"<article><p>{sentences(5)}</p><figure><figcaption>A view.</figcaption></figure><ul><li>One</li></ul></article>", f"{sentences(5)} A view. One"),
+    ],
+)
+def test_extraction_keeps_all_of_the_text(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_extraction_of_deep_pages():
+    import time
+
+    for page, text in (("<div>x" * 100_000, " ".join("x" * 100_000)), ("<foo>" * 50_000 + "x" + "<li></b></x>" * 50_000, "x"), ("<p>y" + "<span hidden>" * 50_000 + "</b></span>" * 50_000, "y")):
+        began = time.process_time()
+        assert html_extract.extract(page) == text
+        assert time.process_time() - began < 15  # a square of the depth would take minutes
+
+
+def test_ratios_decide_on_pages_with_neutral_names(monkeypatch):
+    """The table's pages without names and article marks, where the article's paragraphs are long: the whole article and nothing else."""
+    import html as h
+
+    import pyarrow.parquet as pq
+
+    pages, want = [], []
+    for p in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        inner = re.search(r"<article>(.*?)</article>", p, re.S)[1]
+        text = " ".join(h.unescape(re.sub(r"<[^>]+>", " ", inner)).split())
+        if len(text) >= 250 * inner.count("<p>"):
+            pages.append(re.sub(r"<(/?)article>", lambda m: "</div>" if m[1] else "<div class='x2'>", p).replace('class="ad"', 'class="x1"'))
+            want.append(text)
+    assert len(pages) > 50 and [html_extract.extract(p) for p in pages] == want
+    monkeypatch.setattr(html_extract, "scores", lambda found: [1.0] * len(found))
+    assert all(html_extract.extract(p) != t for p, t in zip(pages, want))
+
+
 def test_extraction_edges(spark):
     d = spark.createDataFrame([(1, "u", None, 5), (1, "u", "<p>x" * 20_000, 5)], "page_id long, url string, html string, n_chars long")
     got = html_extract.html_extract(d).collect()
