@@ -43,6 +43,8 @@ from quillsift.llm.common import crc32_mod, table
 
 #: Fragments of each language and characters of each; languages; bytes of all samples.
 ROWS, FRAGMENT, LANGS, TOTAL = 256, 256, 128, 1 << 18
+#: Parts in which the rows of a language are cut first.
+PARTS = 32
 #: Bytes of a piece; bytes of texts that are worked on at once.
 PIECE, BATCH = 2048, 8 << 20
 FOLDS, HELD_OUT = 4, 2
@@ -60,7 +62,11 @@ def sample(docs: DataFrame, rows: int = ROWS, text_col: str = "text", lang_col:
     h = F.xxhash64(id_col, text_col)
     start = F.pmod(h, F.greatest(F.length(text_col) - FRAGMENT, F.lit(0)) + 1) + 1
     d = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.xxhash64(h).alias("h"), F.col(text_col).substr(start.cast("int"), F.lit(FRAGMENT)).alias("fragment"))
-    first = d.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "fragment"))).where(F.col("r") <= rows)  # cut in each task first
+    # cut in each task, then in parts of a language, so that few rows of a frequent one meet
+    d = d.withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for by in (("lang", "part"), ("lang",)):
+        d = d.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("h", "fragment"))).where(F.col("r") <= rows)
+    first = d
     # one row a language; a language's fragments are at most rows * FRAGMENT characters
     langs = first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("h", "fragment"))).alias("x")).orderBy(F.desc(F.size("x")), "lang").limit(LANGS)
     return sorted((r.lang, [f.fragment for f in r.x]) for r in langs.toLocalIterator())
