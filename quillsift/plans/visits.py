@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillsift.functions import scalars as S
-from quillsift.operators import compare, filters, groups, joins, metrics, rules
+from quillsift.operators import compare, filters, groups, joins, metrics, reports, rules
+from quillsift.operators.components import written
 from quillsift.params import PARAMS, params_table
 from quillsift.plans.base import query, r6, t
 from quillsift.sources import scans
@@ -106,23 +107,71 @@ def frame_functions(spark, sf_dir):
     )
 
 
-#: Thresholds by their keys, and the rules that use them, as SQL rows.
-_REGISTER_SQL = ", ".join(f"('{k}')" for k in sorted(PARAMS))
-_RULES_SQL = ", ".join(f"('{r.rule_id}', {f"'{r.threshold}'" if r.threshold else 'NULL'})" for r in rules.RULES)
+#: A register of a given table: each source is a rule that uses the threshold of its language; the thresholds of labelled texts are registered.
+_REGISTER_SQL = """
+r AS (SELECT DISTINCT source AS rule_id, source || '.' || lang AS threshold_key FROM documents),
+p AS (SELECT DISTINCT source || '.' || lang AS key FROM documents JOIN labels USING (doc_id) WHERE {where})"""
 
 
-@query(f"""SELECT threshold_key, rule_id FROM (VALUES {_RULES_SQL}) r(rule_id, threshold_key) WHERE threshold_key IS NOT NULL
-  AND threshold_key NOT IN (SELECT key FROM (VALUES {_REGISTER_SQL}) p(key))""")
+def _register(spark, sf_dir, where="true"):
+    key = F.concat("source", F.lit("."), "lang")
+    d = t(spark, sf_dir, "documents")
+    used = d.select(F.col("source").alias("rule_id"), key.alias("threshold_key")).distinct()
+    registry = d.join(t(spark, sf_dir, "labels"), "doc_id").where(where).select(key.alias("key")).distinct()
+    return rules.unregistered(used, registry).select("threshold_key", "rule_id")
+
+
+@query(f"""WITH {_REGISTER_SQL.format(where="quality = 1")} SELECT threshold_key, rule_id FROM r WHERE threshold_key IS NOT NULL AND threshold_key NOT IN (SELECT key FROM p WHERE key IS NOT NULL)""")
 def unregistered_thresholds(spark, sf_dir):
-    """Thresholds of rules that the register does not know: none."""
-    return rules.unregistered(rules.rule_table(spark), params_table(spark)).select("threshold_key", "rule_id")
+    """Thresholds that are in use but that the register (texts labelled good) does not know."""
+    return _register(spark, sf_dir, "quality = 1")
 
 
-@query(f"""SELECT threshold_key, rule_id FROM (VALUES {_RULES_SQL}) r(rule_id, threshold_key) WHERE threshold_key IS NOT NULL
-  AND threshold_key NOT IN (SELECT key FROM (VALUES {_REGISTER_SQL}) p(key) WHERE key NOT LIKE 'risk.growth%')""")
+@query(f"""WITH {_REGISTER_SQL.format(where="lang <> 'fr'")} SELECT threshold_key, rule_id FROM r WHERE threshold_key IS NOT NULL AND threshold_key NOT IN (SELECT key FROM p WHERE key IS NOT NULL)""")
 def unregistered_without_growth(spark, sf_dir):
-    """Thresholds of rules that a register without its growth keys would not know."""
-    return rules.unregistered(rules.rule_table(spark), params_table(spark).where("key NOT LIKE 'risk.growth%'")).select("threshold_key", "rule_id")
+    """Thresholds that a register without one family of keys (a language) does not know."""
+    return _register(spark, sf_dir, "lang != 'fr'")
+
+
+def _pair_reports(spark, sf_dir):
+    return reports.report_lines(_lesions(spark, sf_dir).withColumn("pair", F.col("lesion_id")), "pair")
+
+
+_FOUND_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reports.FOUND.items())
+_RULE_PLACE_SQL = " ".join(f"WHEN '{r.rule_id}' THEN {i}" for i, r in enumerate(rules.RULES))
+_LINES_SQL = f"""{_LESIONS_SQL.replace("le AS (SELECT user_id,", "le AS (SELECT newer_event_id AS user_id,")},
+g AS (SELECT user_id, max(ok::INT) = 1 AS ok FROM le GROUP BY user_id),
+top AS (SELECT user_id, count(*) AS n_rules, count(*) FILTER (r.level = 'Elevated') AS n_high, count(*) FILTER (r.level = 'Moderate') AS n_moderate FROM r GROUP BY user_id),
+b AS (SELECT user_id, ok, coalesce(n_rules, 0) AS n_rules, coalesce(n_high, 0) = 0 AND coalesce(n_moderate, 0) >= 2 AS several,
+             CASE WHEN NOT ok THEN 'Not assessed' WHEN coalesce(n_high, 0) > 0 OR coalesce(n_moderate, 0) >= 2 THEN 'Elevated' WHEN n_moderate = 1 THEN 'Moderate' ELSE 'Low' END AS band FROM g LEFT JOIN top USING (user_id)),
+lines AS (
+  SELECT user_id, section, 0::BIGINT AS place, line FROM b, (VALUES {", ".join(f"({k}, '{v}')" for k, v in reports.HEADINGS.items())}) AS h(section, line) WHERE CASE WHEN NOT ok THEN section IN (1, 7) ELSE section <> 6 OR band <> 'Low' END
+  UNION ALL SELECT user_id, 1, 1, count(*) || ' spots in an earlier and a later photo' FROM le JOIN b USING (user_id) WHERE b.ok GROUP BY user_id
+  UNION ALL SELECT user_id, 2, lesion_id + 1, '- spot ' || lesion_id || ' ' || CASE WHEN NOT le.ok THEN 'could not be compared' WHEN comparability <> 'full' THEN 'was seen only in part' WHEN pct IS NULL THEN 'has no earlier size' ELSE 'changed its area by ' || floor(pct)::BIGINT || ' %' END FROM le JOIN b USING (user_id) WHERE b.ok
+  UNION ALL SELECT user_id, 3, (lesion_id + 1) * {len(rules.RULES)} + CASE r.rule_id {_RULE_PLACE_SQL} END, '- spot ' || lesion_id || ' ' || CASE r.rule_id {_FOUND_SQL} END || CASE WHEN r.threshold IS NOT NULL THEN ': ' || floor(r.measured)::BIGINT || ' % against ' || floor(r.threshold)::BIGINT || ' %' ELSE '' END FROM r
+  UNION ALL SELECT user_id, 3, 1, '{reports.NOTHING_REACHED}' FROM b WHERE ok AND n_rules = 0
+  UNION ALL SELECT DISTINCT user_id, 4, CASE r.rule_id {_RULE_PLACE_SQL} END + 1, '- ' || r.rule_id FROM (SELECT *, bool_or(r.level = 'Elevated') OVER (PARTITION BY user_id) AS high FROM r) WHERE (r.level = 'Elevated') = high
+  UNION ALL SELECT user_id, 4, 1, '- nothing' FROM b WHERE ok AND n_rules = 0
+  UNION ALL SELECT user_id, 5, 1, band || CASE WHEN several THEN ', as several rules fired' ELSE '' END FROM b WHERE ok
+  UNION ALL SELECT user_id, 6, 1, '{reports.ADVICE}' FROM b WHERE ok AND band <> 'Low'
+  UNION ALL SELECT user_id, 1, place, line FROM b, (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(reports.REFUSED, 1))}) AS h(place, line) WHERE NOT ok
+  UNION ALL SELECT user_id, 7, place, line FROM b, (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(reports.CANNOT_SAY, 1))}) AS h(place, line))"""
+
+
+@query(f"""WITH {_LINES_SQL} SELECT user_id AS pair, section::INT AS section, place, line FROM lines""")
+def report_lines(spark, sf_dir):
+    """The report of each visit pair, line by line."""
+    return _pair_reports(spark, sf_dir)
+
+
+@query(f"""WITH {_LINES_SQL},
+bad AS (SELECT l.user_id FROM lines AS l JOIN b USING (user_id) WHERE NOT ok AND regexp_matches(line, '[0-9]') UNION ALL SELECT user_id FROM lines WHERE section < 5 AND regexp_matches(line, '\\b(Low|Moderate|Elevated|Not assessed)\\b'))
+SELECT (SELECT count(DISTINCT user_id) FROM lines) AS n_reports, (SELECT count(*) FROM b WHERE NOT ok) AS n_refused, (SELECT count(*) FROM bad) AS n_broken""")
+def report_rules(spark, sf_dir):
+    """Reports, refused ones, and lines that show a figure in a refusal or a band before the conclusion: none."""
+    d = written(_pair_reports(spark, sf_dir), "lines")
+    n = d.groupBy("pair").agg(F.max((F.col("section") == reports.THEREFORE).cast("int")).alias("concluded")).agg(F.count(F.lit(1)).alias("n_reports"), F.count_if(F.col("concluded") == 0).alias("n_refused"))
+    return n.join(F.broadcast(reports.broken_lines(d, "pair").agg(F.count(F.lit(1)).alias("n_broken"))))  # one row each
 
 
 @query(f"""WITH {_CHANGES_SQL}, k AS (SELECT event_type, confidence, abs(pct) AS err FROM c WHERE pct IS NOT NULL),
