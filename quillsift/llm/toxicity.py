@@ -2,7 +2,8 @@
 
 Features are the distinct character n-grams of a text (lower case, hashed), each
 scaled by the log ratio of its share in toxic and in other training texts; a
-logistic regression with L2 weights them.  Scores use the text only.
+logistic regression with L2 weights them.  Scores use the text only.  The threshold
+is set on texts that the fit has not seen (two halves, each scored by the other's fit).
 
 Training fits on at most ``TRAIN_ROWS`` labelled texts of each class, taken by a
 hash of the id; what of them reaches the driver has a bound for texts of bounded
@@ -35,10 +36,14 @@ from quillsift.llm.common import crc32_mod, release, table, whole_text, written
 TRAIN_ROWS = 1000
 SIZES = (3, 4, 5, 6)
 BITS = 20
-#: Gradient steps, and the entries of the training texts that are worked on at once.
-STEPS, PIECE = 40, 1_000_000
+#: Steps at most, the share of the first slope that ends them, and the moves that a step remembers.
+STEPS, TOLERANCE, MOVES = 200, 1e-3, 8
+#: Entries of the training texts that are worked on at once.
+PIECE = 1_000_000
 #: Least training texts that hold a feature; smoothing of counts; L2 strength.
-MIN_TEXTS, SMOOTH, L2 = 3, 0.5, 1.0
+MIN_TEXTS, SMOOTH, L2 = 3, 0.5, 100.0
+#: Weight of recall against precision in the choice of the threshold.
+BETA = 0.5
 FOLDS = 5
 
 
@@ -80,43 +85,95 @@ def pick(p: np.ndarray, n: np.ndarray, n_pos: int, n_neg: int) -> tuple[np.ndarr
     return keep, np.log((p[keep] + SMOOTH) / (n_pos + 2 * SMOOTH)) - np.log((n[keep] + SMOOTH) / (n_neg + 2 * SMOOTH))
 
 
-def regress(y: np.ndarray, features: list[np.ndarray], ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weight of each feature, intercept): logistic regression by accelerated gradient steps, classes of equal weight."""
-    # texts in pieces, so that only the numbers of their features are held for all of them
-    pieces, held, size = [], [], 0
-    for k, f in enumerate(features):
-        held.append(k)
-        size += len(f)
-        if size >= PIECE or k + 1 == len(features):
-            at = np.concatenate([features[i] for i in held])
-            lengths = np.array([len(features[i]) for i in held])
-            pieces.append((held[0], held[-1] + 1, at, np.repeat(np.arange(len(held)), lengths).astype(np.int32)))
-            held, size = [], 0
-    features.clear()
-    n_pos, n_neg = y.sum(), len(y) - y.sum()
-    weight = np.where(y == 1, 0.5 / n_pos, 0.5 / n_neg) * len(y)
-    norm = np.concatenate([np.bincount(row, ratio[at] ** 2, b - a) for a, b, at, row in pieces])
-    step = 1.0 / (0.25 * weight.max() * np.sort(norm)[-max(1, len(y) // 50) :].mean() + L2)
-    beta, bias, before, b0 = np.zeros(len(ratio)), 0.0, np.zeros(len(ratio)), 0.0
-    for k in range(STEPS):
-        m = k / (k + 3)
-        v, c = beta + m * (beta - before), bias + m * (bias - b0)
-        u, slope, total = ratio * v, np.zeros(len(ratio)), 0.0
-        for a, b, at, row in pieces:
-            z = np.bincount(row, u[at], b - a) + c
-            g = weight[a:b] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b])
-            slope += np.bincount(at, g[row], len(ratio))
+class Fit:
+    """Logistic regression with classes of equal weight over texts with 0/1 features, each scaled by its ratio."""
+
+    def __init__(self, y: np.ndarray, features: list[np.ndarray], ratio: np.ndarray):
+        self.y, self.ratio = y, ratio
+        n_pos, n_neg = y.sum(), len(y) - y.sum()
+        self.weight = np.where(y == 1, 0.5 / max(1, n_pos), 0.5 / max(1, n_neg)) * len(y)
+        # texts in pieces, so that only the numbers of their features are held for all of them
+        self.pieces, held, size = [], [], 0
+        for k, f in enumerate(features):
+            held.append(k)
+            size += len(f)
+            if size >= PIECE or k + 1 == len(features):
+                lengths = np.array([len(features[i]) for i in held])
+                self.pieces.append((held[0], held[-1] + 1, np.concatenate([features[i] for i in held]), np.repeat(np.arange(len(held)), lengths).astype(np.int32)))
+                held, size = [], 0
+
+    def value(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """The loss with its penalty at (weights, intercept), and its slope."""
+        d = len(self.ratio)
+        u, slope, total = self.ratio * x[:d], np.zeros(d), 0.0
+        loss = 0.5 * L2 * (x[:d] @ x[:d])
+        for a, b, at, row in self.pieces:
+            z = np.bincount(row, u[at], b - a) + x[d]
+            w, y = self.weight[a:b], self.y[a:b]
+            loss += (w * (np.logaddexp(0, z) - y * z)).sum()
+            g = w * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+            slope += np.bincount(at, g[row], d)
             total += g.sum()
-        before, b0 = beta, bias
-        beta, bias = v - step * (ratio * slope + L2 * v), c - step * total
-    return beta * ratio, float(bias)
+        return loss, np.append(self.ratio * slope + L2 * x[:d], total)
+
+    def solve(self) -> tuple[np.ndarray, float]:
+        """(weight of each feature, intercept), by limited-memory quasi-Newton steps until the slope is TOLERANCE of the first one."""
+        x = np.zeros(len(self.ratio) + 1)
+        loss, slope = self.value(x)
+        first, moves = np.linalg.norm(slope), []
+        for _ in range(STEPS):
+            if np.linalg.norm(slope) <= TOLERANCE * first:
+                break
+            step, shares = slope.copy(), []
+            for s, t in reversed(moves):
+                shares.append((s @ step) / (s @ t))
+                step -= shares[-1] * t
+            step *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / first
+            for (s, t), c in zip(moves, reversed(shares)):
+                step += s * (c - (t @ step) / (s @ t))
+            size = 1.0
+            while True:
+                new, after = self.value(x - size * step)
+                if new <= loss - 1e-4 * size * (slope @ step) or size < 1e-8:
+                    break
+                size /= 2
+            s, t = -size * step, after - slope
+            if s @ t > 0:
+                moves = [*moves[1 - MOVES :], (s, t)]
+            x, loss, slope = x + s, new, after
+        return x[:-1] * self.ratio, float(x[-1])
+
+
+def threshold(y: np.ndarray, features: list[np.ndarray], ratio: np.ndarray) -> float:
+    """The logit that tells the classes best on texts that the fit has not seen: each half is scored by the other's.
+
+    Best is the largest F measure of BETA: below 1, clean texts that are left alone count more than toxic ones that are found.
+    """
+    z = np.zeros(len(y))
+    for half in (0, 1):
+        seen, rest = np.flatnonzero(np.arange(len(y)) % 2 != half), np.flatnonzero(np.arange(len(y)) % 2 == half)
+        if not len(seen) or y[seen].min() == y[seen].max():
+            return 0.0
+        w, bias = Fit(y[seen], [features[i] for i in seen], ratio).solve()
+        z[rest] = [w[features[i]].sum() + bias for i in rest]
+    order = np.argsort(-z, kind="stable")
+    f = (1 + BETA**2) * np.cumsum(y[order]) / (np.arange(1, len(y) + 1) + BETA**2 * y.sum())
+    k = int(f.argmax())
+    return float(z[order[k]] + z[order[min(k + 1, len(y) - 1)]]) / 2
+
+
+def regress(y: np.ndarray, features: list[np.ndarray], ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weight of each feature, intercept), with the intercept moved so that the best threshold is 1/2."""
+    middle = threshold(y, features, ratio)
+    w, bias = Fit(y, features, ratio).solve()
+    return w, bias - middle
 
 
 def counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Texts of each class per hashed n-gram, and of each class, over a sample of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, texts = np.zeros((2, 1 << BITS), np.uint16), [0, 0]
+        seen, texts = np.zeros((2, 1 << BITS), np.int32), [0, 0]
         for b in batches:
             for label, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen[label][np.frombuffer(grams, "<i4")] += 1  # a text's n-grams are distinct
@@ -126,7 +183,7 @@ def counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
     total, texts = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
     for r in rows.mapInArrow(run, "seen binary, texts array<long>").toLocalIterator():
-        total += np.frombuffer(zlib.decompress(bytes(r.seen)), np.uint16).reshape(2, -1)
+        total += np.frombuffer(zlib.decompress(bytes(r.seen)), np.int32).reshape(2, -1)
         texts += r.texts
     return total[1], total[0], int(texts[1]), int(texts[0])
 
