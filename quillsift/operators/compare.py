@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.functions.scalars import angle_delta, magnitude, percent_change
+from quillsift.operators.components import written
 from quillsift.operators.filters import reliability
 from quillsift.params import PARAMS
 
@@ -37,26 +35,19 @@ def cell_overlaps(a: DataFrame, b: DataFrame, pair: str) -> DataFrame:
 def greedy_match(overlaps: DataFrame, pair: str, limit: float = PARAMS["delta.match_iou"]) -> DataFrame:
     """One-to-one matches (pair, i, j, iou) of the largest overlaps first; of equal ones the larger i, then j.
 
-    The rule is sequential within a pair; pairs stream sorted through each task,
-    so one holds two sets of used numbers at a time, never a pair's rows.
+    An overlap that is the best of both its ends is taken, whatever is taken
+    elsewhere; those it shares an end with go, and the next round looks at the
+    rest.  So the matches are those of one walk over all overlaps in order, and
+    a pair with very many lies in many tasks.  Each round's rest is written.
     """
-    d = overlaps.where(F.col("iou") >= limit).repartition(pair).sortWithinPartitions(pair, F.desc("iou"), F.desc("i"), F.desc("j")).select(pair, "i", "j", "iou")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, left, right = object(), set(), set()
-        for b in batches:
-            keep = []
-            for p, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if p != at:
-                    at, left, right = p, set(), set()
-                take = i not in left and j not in right
-                if take:
-                    left.add(i)
-                    right.add(j)
-                keep.append(take)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return d.mapInArrow(run, d.schema)
+    rest = written(overlaps.where(F.col("iou") >= limit).select(pair, "i", "j", "iou"), "overlaps")
+    best = lambda end: rest.groupBy(pair, end).agg(F.max(F.struct("iou", "i", "j")).alias("b")).select(pair, "b.*")
+    out = rest.limit(0)
+    while not rest.isEmpty():
+        taken = written(best("i").intersect(best("j")).select(pair, "i", "j", "iou"), "matches")
+        out = out.unionByName(taken)
+        rest = written(rest.join(taken.select(pair, "i"), [pair, "i"], "left_anti").join(taken.select(pair, "j"), [pair, "j"], "left_anti").select(pair, "i", "j", "iou"), "overlaps")
+    return out
 
 
 def match_states(a: DataFrame, b: DataFrame, matches: DataFrame, pair: str) -> DataFrame:

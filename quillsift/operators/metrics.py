@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillsift.functions.scalars import c
+from quillsift.operators.components import written
 
 Z95 = 1.96
 
@@ -91,14 +93,52 @@ def pearson(a, b) -> Column:
 def upper_median(x: str) -> Column:
     """The element at n // 2 of the sorted values: not interpolated, the upper one of two.
 
-    It is the discrete percentile just above one half (for under 1e11 rows), kept
-    as counts of distinct values.
+    For groups of few distinct values: it is the discrete percentile just above
+    one half (for under 1e11 rows), kept as counts of distinct values.
+    ``quantiles`` has no such bound.
     """
     return F.expr(f"percentile_disc(0.500000000001D) WITHIN GROUP (ORDER BY {x})")
 
 
-def describe(x: str) -> list[Column]:
-    return [F.min(x).alias("low"), F.median(x).alias("median"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.95)).alias("p95"), F.max(x).alias("high")]
+def running_counts(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """(by, x, n, upto, total): how often each value occurs in its group, and how many of the group's rows have it or a smaller one.
+
+    Distinct values are dealt by ranges of (group, value), so that a hot group
+    lies in many tasks; each task's sums are then added to those before it.
+    Nulls are left out.
+    """
+    counted = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("n"))
+    d = written(counted.repartitionByRange(*by, x).withColumn("_task", F.spark_partition_id()), "counts")
+    sums = d.groupBy(*by, "_task").agg(F.sum("n").alias("_n"))
+    upto = W.partitionBy(*by).orderBy("_task")
+    sums = sums.select(*(F.col(b).alias(f"_{b}") for b in by), F.col("_task").alias("_t"), (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy(*by)).alias("total"))
+    same = F.col("_task") == F.col("_t")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    within = F.sum("n").over(W.partitionBy(*by, "_task").orderBy(x))
+    return d.withColumn("_in", within).join(sums, same).select(*by, x, "n", (F.col("_before") + F.col("_in")).alias("upto"), "total")
+
+
+def quantiles(df: DataFrame, by: list[str], x: str, **at: float | None) -> DataFrame:
+    """(by, one column for each name): exact quantiles of ``x``, between two values by their distance.
+
+    A share of None is the upper median: the element at n // 2 of the sorted
+    values, not interpolated.  No group's values meet in one task.
+    """
+    d = running_counts(df, by, x)
+    out = []
+    for name, q in at.items():
+        place = F.floor(F.col("total") / 2).cast("double") if q is None else (F.col("total") - 1) * F.lit(float(q))
+        low, share = F.floor(place), place - F.floor(place)
+        value = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(x))).cast("double")
+        a, b = value(low), value(F.ceil(place))
+        out.append((a * (1 - F.max(share)) + b * F.max(share)).alias(name))
+    return d.groupBy(*by).agg(*out)
+
+
+def beside(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Rows of ``a`` with the columns of ``b`` for the same key; nulls are one key."""
+    return a.join(b.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def class_weights(counts: DataFrame, classes: list[str], label: str = "label", n: str = "n") -> DataFrame:

@@ -55,20 +55,19 @@ SELECT source, count(*) AS n, count(DISTINCT lang) AS n_langs, min(n_chars)::DOU
        round(stddev_pop(n_chars), 6) AS std
 FROM documents GROUP BY source""")
 def inventory_by_source(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").withColumn("x", F.col("n_chars").cast("double"))
-    low, median, mean, p95, high = metrics.describe("x")
-    return d.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("n_langs"), low, median, r6(F.avg("x")).alias("mean"), r6(F.percentile("x", F.lit(0.95))).alias("p95"), high,
-        metrics.upper_median("x").alias("upper_median"), r6(F.stddev_pop("x")).alias("std"),
-    )
+    d = t(spark, sf_dir, "documents").select("source", "lang", F.col("n_chars").cast("double").alias("x"))
+    g = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("n_langs"), F.min("x").alias("low"), r6(F.avg("x")).alias("mean"), F.max("x").alias("high"), r6(F.stddev_pop("x")).alias("std"))
+    q = metrics.quantiles(d, ["source"], "x", median=0.5, p95=0.95, upper_median=None)
+    return metrics.beside(g, q.withColumn("p95", r6(F.col("p95"))), "source")
 
 
 @query("""
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, median(value) AS median, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS high FROM events GROUP BY event_type""")
 def latency_summary(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), F.median("value").alias("median"), r6(F.percentile("value", F.lit(0.95))).alias("p95"), F.max("value").alias("high")
-    )
+    d = t(spark, sf_dir, "events").select("event_type", "value")
+    g = d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), F.max("value").alias("high"))
+    q = metrics.quantiles(d, ["event_type"], "value", median=0.5, p95=0.95)
+    return metrics.beside(g, q.withColumn("p95", r6(F.col("p95"))), "event_type")
 
 
 @query("""

@@ -8,6 +8,7 @@ from quillsift.functions import scalars as S
 from quillsift.operators import compare, consensus, filters, grids, groups, hamming, metrics, probes
 from quillsift.operators.components import written
 from quillsift.plans.base import query, r6, t
+from quillsift.sources import scans
 
 _SIDE = 8
 #: A cell is in the mask above the first number, and valid above the second.
@@ -353,3 +354,37 @@ def source_probe(spark, sf_dir):
     out = probes.linear_predictions(d.where("fold = 0"), "v", w).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
     total = out.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n"))).alias("right"))
     return out.join(F.broadcast(total)).select("label", "predicted", "n", r6(metrics.rate(F.coalesce("right", F.lit(0)), "total")).alias("accuracy"), F.lit(round(1 / classes, 6)).alias("chance"))  # one row
+
+
+@query(f"""WITH {_CELLS_SQL}
+SELECT vec_id, round(24 * 10.0::DOUBLE * (1 + max(v) FILTER (i = 0)) * 5 * (2 + max(v) FILTER (i = 1)) * sin(2 * pi() / 48), 6) AS area, round(10 * (1 + max(v) FILTER (i = 0)), 6) AS right_end FROM cells GROUP BY vec_id""")
+def ellipse_areas(spark, sf_dir):
+    """Outlines drawn around ellipses of two of a vector's numbers: their areas and where they reach to the right."""
+    ring = S.ellipse_points(F.lit(0.0), F.lit(3.0), 10.0 * (1 + F.col("v")[0]), 5.0 * (2 + F.col("v")[1]))
+    d = _numbers(spark, sf_dir).select("vec_id", ring.alias("ring"))
+    return d.select("vec_id", r6(S.shoelace("ring")).alias("area"), r6(F.array_max(F.transform("ring", lambda p: p["x"]))).alias("right_end"))
+
+
+@query("""
+WITH n AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)
+SELECT lang, round(-sum(n / t * log2(n / t)), 6) AS bits FROM (SELECT lang, n, sum(n) OVER (PARTITION BY lang) AS t FROM n) GROUP BY lang""")
+def source_entropy(spark, sf_dir):
+    """How evenly a language's texts come from the sources, in bits; the column names are looked up, not assumed."""
+    d = t(spark, sf_dir, "documents")
+    lang, source = filters.pick_column(d, "language", "Lang"), filters.pick_column(d, "origin", "SOURCE")
+    n = d.groupBy(F.col(lang).alias("lang"), F.col(source).alias("source")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return n.groupBy("lang").agg(r6(S.entropy(F.collect_list("n"))).alias("bits"))  # one number a source
+
+
+@query(f"""
+WITH {_RASTER_SQL},
+area AS (SELECT vec_id, ring, abs(sum(x * y2 - x2 * y)) / 2 AS area FROM sides GROUP BY ALL),
+e AS (SELECT label, vec_id % 100 AS image, vec_id, max(area) AS area FROM area JOIN embeddings USING (vec_id) GROUP BY ALL)
+SELECT label, image, count(*) AS n_annotations, round(sum(area), 6) AS area FROM e GROUP BY label, image""")
+def largest_ring_areas(spark, sf_dir):
+    """The largest ring of each annotation, summed for each image and channel."""
+    point = lambda i: F.array((F.col("v")[2 * i] + 0.5) * _PHOTO[0], (F.col("v")[2 * i + 1] + 0.5) * _PHOTO[1])
+    rings = F.array(*(F.concat(*(point(first + i) for i in range(n))) for first, n in _RINGS))
+    d = _numbers(spark, sf_dir).select((F.col("vec_id") % 100).alias("stem"), F.col("label").alias("channel"), F.col("vec_id").alias("annotation"), F.explode(rings).alias("flat"))
+    d = scans.max_area_per_image(d.withColumn("area", S.shoelace(S.ring_points("flat"))))
+    return d.select(F.col("channel").alias("label"), F.col("stem").alias("image"), "n_annotations", r6(F.col("area")).alias("area"))

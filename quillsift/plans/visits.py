@@ -184,14 +184,16 @@ FROM k, m GROUP BY event_type""")
 def evaluation_summary(spark, sf_dir):
     """Correlation of confidence and error, with rejected pairs at the worst error, and rates with their own denominators."""
     d = compare.changes(_pairs(spark, sf_dir)).withColumn("err", F.abs(S.percent_change("older_value", "newer_value"))).where("err IS NOT NULL")
-    m = d.agg(F.max("err").alias("worst"), F.percentile("confidence", F.lit(0.25)).alias("p25"))
+    m = d.agg(F.max("err").alias("worst")).join(metrics.quantiles(d, [], "confidence", p25=0.25))  # one row each
+    middle = metrics.quantiles(d, ["event_type"], "err", median_error=0.5)
     d = d.join(F.broadcast(m)).withColumn("filled", F.when(F.col("status") == "ok", F.col("err")).otherwise(F.col("worst")))  # one row
     low = F.col("confidence") <= F.col("p25")
-    return d.groupBy("event_type").agg(
+    g = d.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), r6(metrics.pearson("confidence", "err")).alias("r"), r6(metrics.pearson("confidence", "filled")).alias("r_worst_fill"), r6(F.avg("err")).alias("mae"),
-        r6(F.avg(F.when(low, F.col("err")))).alias("mae_low_quartile"), F.count_if(low).alias("n_low_quartile"), r6(F.median("err")).alias("median_error"),
+        r6(F.avg(F.when(low, F.col("err")))).alias("mae_low_quartile"), F.count_if(low).alias("n_low_quartile"),
         r6(metrics.rate_where(F.col("err") > 10, F.col("status") == "ok")).alias("flagged_share"),
     )
+    return metrics.beside(g, middle.withColumn("median_error", r6(F.col("median_error"))), "event_type")
 
 
 @query(f"""WITH {_CHANGES_SQL}, k AS (SELECT CASE WHEN NOT ok THEN 'low confidence (' || confidence || ')' WHEN newer_k < 20 THEN 'small overlap (' || newer_k || ')' END AS reason FROM c)
@@ -217,12 +219,23 @@ def interval_overlaps(spark, sf_dir):
     return compare.interval_overlaps(_intervals(spark, sf_dir, 0), _intervals(spark, sf_dir, 1), "pair", 10.0).withColumn("iou", r6(F.col("iou")))
 
 
-@query()
+@query("""
+WITH RECURSIVE a AS (SELECT user_id AS pair, event_id AS i, floor(value) AS lo, floor(value) + 10 + event_id % 5 AS hi FROM events WHERE event_id % 2 = 0),
+b AS (SELECT user_id AS pair, event_id AS j, floor(value) AS lo, floor(value) + 10 + event_id % 5 AS hi FROM events WHERE event_id % 2 = 1),
+o AS (SELECT a.pair, i, j, (least(a.hi, b.hi) - greatest(a.lo, b.lo)) / (greatest(a.hi, b.hi) - least(a.lo, b.lo)) AS iou FROM a JOIN b USING (pair) WHERE least(a.hi, b.hi) > greatest(a.lo, b.lo)),
+e AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY iou DESC, i DESC, j DESC) AS n FROM o WHERE iou >= 0.1),
+walk(pair, n, i, j, iou, used_i, used_j, take) AS (
+  SELECT pair, n, i, j, iou, [i], [j], true FROM e WHERE n = 1
+  UNION ALL SELECT e.pair, e.n, e.i, e.j, e.iou, CASE WHEN free THEN used_i || [e.i] ELSE used_i END, CASE WHEN free THEN used_j || [e.j] ELSE used_j END, free
+  FROM (SELECT w.*, NOT list_contains(used_i, e.i) AND NOT list_contains(used_j, e.j) AS free FROM walk AS w JOIN e ON e.pair = w.pair AND e.n = w.n + 1) AS w JOIN e ON e.pair = w.pair AND e.n = w.n + 1),
+m AS (SELECT pair, i, j, iou FROM walk WHERE take)
+SELECT pair, i, j, round(iou, 6) AS iou, 'persistent' AS state FROM m
+UNION ALL SELECT pair, i, NULL, NULL, 'resolved' FROM a WHERE (pair, i) NOT IN (SELECT pair, i FROM m) UNION ALL SELECT pair, NULL, j, NULL, 'new' FROM b WHERE (pair, j) NOT IN (SELECT pair, j FROM m)""")
 def greedy_matches(spark, sf_dir):
-    """One-to-one matches of overlapping intervals with their states; tests hold it against a brute-force loop."""
+    """One-to-one matches of overlapping intervals with their states."""
     a, b = _intervals(spark, sf_dir, 0), _intervals(spark, sf_dir, 1)
     m = compare.greedy_match(compare.interval_overlaps(a, b, "pair", 10.0), "pair")
-    return compare.match_states(a, b, m, "pair")
+    return compare.match_states(a, b, m, "pair").withColumn("iou", r6(F.col("iou")))
 
 
 @query()

@@ -162,6 +162,20 @@ def test_correlation_of_a_constant_is_null(spark):
     assert d.agg(metrics.upper_median("b").alias("m")).first().m == 3.0
 
 
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    table = [("hot", float(v)) for v in rng.integers(0, 40, 3000)] + [("b", float(v)) for v in rng.normal(size=11)] + [(None, 5.0), (None, 7.0), ("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(table, "g string, x double").repartition(6)
+    got = {r.g: tuple(r[1:]) for r in metrics.quantiles(df, ["g"], "x", low=0.0, q=0.25, median=0.5, p95=0.95, high=1.0, upper=None).collect()}
+    assert set(got) == {"hot", "b", None, "one"}
+    for g, values in got.items():
+        x = np.array([v for k, v in table if k == g])
+        assert values == pytest.approx((x.min(), *np.percentile(x, (25, 50, 95)), x.max(), np.sort(x)[len(x) // 2]))
+    assert metrics.quantiles(df, [], "x", median=0.5).first().median == np.percentile([v for _, v in table if v is not None], 50)
+    assert metrics.beside(df.select("g").distinct(), metrics.quantiles(df, ["g"], "x", median=0.5), "g").count() == 4
+    assert metrics.quantiles(df.limit(0), ["g"], "x", median=0.5).count() == 0
+
+
 def test_bootstrap_covers_the_mean(spark):
     d = spark.createDataFrame([("a", i % 2) for i in range(200)] + [("b", 1), ("c", None)], "k string, v int")
     got = {r.k: r for r in metrics.bootstrap_interval(d, "k", "v").collect()}
