@@ -1,15 +1,17 @@
 """Document fingerprints: a threshold-scaled sketch of word shingles.
 
 Every 5-word shingle (of a text with fewer words: all its words) is hashed to 64
-bits; the sketch keeps every hash below a fixed fraction of the hash range.  The
-fraction is 1/8 from 256 distinct shingles on; below that it is twice as large for
-each time that the number halves, and up to 32 all hashes are kept.  A sketch says
-which fraction it has, and gives one for any smaller fraction by dropping hashes.  So
-sketches of any sizes compare, and they merge: the union of the hashes below the
-least of their fractions, brought to the fraction of the whole, is the sketch of the
-union, exactly (``merge``, ``at_level``).  The share of a sketch's hashes that another
-one holds, at the smaller fraction of both, estimates containment, also between very
-unequal texts.  A fingerprint is the fraction's exponent and the sorted hashes in hex.
+bits; the sketch keeps every hash below a quarter of the hash range, whatever the
+text's size.  So sketches of any sizes compare, and they merge exactly: the union of
+two sketches is the sketch of the union.  The share of a sketch's hashes that another
+one holds estimates containment, also between very unequal texts.
+
+A text of at most OWN distinct shingles has all its hashes in a field of its own, so
+that two such texts are compared exactly.  Against a longer text only the hashes below
+a quarter count; a short text may have none of them (three quarters to the power of
+its shingles: 24 % of texts with 5, 0.02 % with 30).  Nothing is known then, and the
+likeness is UNKNOWN, 0.5.  A fingerprint is ``w:`` and all hashes, or ``p:`` and the
+kept ones, sorted, in hex.
 
 ``with_next`` pairs each row with the next one by id without a global sort in
 one task: ranges of ids are dealt to tasks, and the first row of each range is
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -37,8 +40,8 @@ from pyspark.sql import functions as F
 from quillsift.llm.common import table, whole_text
 
 SHINGLE_WORDS = 5
-#: Of long texts one hash in 2 ** LEVELS is kept; distinct shingles up to which all are kept.
-LEVELS, WHOLE = 3, 32
+#: One hash in 2 ** LEVEL is kept; distinct shingles up to which a text has all of them beside that; likeness where nothing is left to compare.
+LEVEL, OWN, UNKNOWN = 2, 64, 0.5
 #: Rows of a range of ids, and the most ranges (their bounds are the only thing the driver holds).
 RANGE_ROWS, MOST_RANGES = 2000, 1 << 16
 MEMO_WORDS = 200_000
@@ -77,56 +80,54 @@ def shingles(text: str, k: int = SHINGLE_WORDS) -> np.ndarray:
     return mix(h)
 
 
-Sketch = tuple[int, np.ndarray]
+class Sketch(NamedTuple):
+    """kept: the sorted hashes below the fraction; own: all of them, or None if there are more than OWN."""
 
+    kept: np.ndarray
+    own: np.ndarray | None
 
-def level(n: int) -> int:
-    """The exponent of the fraction for n distinct shingles."""
-    return min(LEVELS, max(0, (max(n, 1) - 1) // WHOLE).bit_length())
 
+def _sketch(h: np.ndarray) -> Sketch:
+    return Sketch(below(h), h if len(h) <= OWN else None)
 
-def below(h: np.ndarray, k: int) -> np.ndarray:
-    """The sorted hashes in the lowest 1 / 2 ** k of their range."""
-    return h[: np.searchsorted(h, np.uint64(1 << 64 - k))] if k else h
 
-
-def sketch(text: str) -> Sketch:
-    h = np.unique(shingles(text))
-    k = level(len(h))
-    return k, below(h, k)
+def below(h: np.ndarray) -> np.ndarray:
+    """The sorted hashes in the lowest 1 / 2 ** LEVEL of their range."""
+    return h[: np.searchsorted(h, np.uint64(1 << 64 - LEVEL))]
 
 
-def at_level(s: Sketch, k: int) -> Sketch:
-    """The sketch at a fraction that is not larger than its own."""
-    if k < s[0]:
-        raise ValueError("a sketch has no hashes above its fraction")
-    return k, below(s[1], k)
+def sketch(text: str) -> Sketch:
+    return _sketch(np.unique(shingles(text)))
 
 
 def merge(a: Sketch, b: Sketch) -> Sketch:
-    """The sketch of the union of two texts' shingles, at the smaller fraction of both."""
-    k = max(a[0], b[0])
-    return k, np.union1d(below(a[1], k), below(b[1], k))
+    """The sketch of the union of two texts' shingles."""
+    if a.own is not None and b.own is not None:
+        return _sketch(np.union1d(a.own, b.own))
+    return Sketch(np.union1d(a.kept, b.kept), None)
 
 
 def containment(a: Sketch, b: Sketch) -> float:
-    """Estimated share of a's shingles that b has; two empty sketches are alike."""
-    k = max(a[0], b[0])
-    # a text with words keeps a hash at its own fraction nearly always; the other one's may leave none
-    x, y = below(a[1], k), below(b[1], k)
-    if not len(x) or not len(y):
-        return float(a[0] == b[0] and len(a[1]) == len(b[1]) == 0)
+    """Estimated share of a's shingles that b has, exact between short texts; an empty sketch is like another one only."""
+    short = a.own is not None and b.own is not None
+    x, y = (a.own, b.own) if short else (a.kept, b.kept)
+    if not len(x):
+        empty = a.own is not None and not len(a.own)
+        return float(short and not len(y)) if empty else UNKNOWN
+    if not len(y):
+        return 0.0
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     return float(np.count_nonzero(y[at] == x) / len(x))
 
 
 def to_hex(s: Sketch) -> str:
-    return f"{s[0]}:{s[1].astype('>u8').tobytes().hex()}"
+    return ("p:" if s.own is None else "w:") + (s.kept if s.own is None else s.own).astype(">u8").tobytes().hex()
 
 
 def from_hex(s: str) -> Sketch:
-    k, h = s.split(":")
-    return int(k), np.frombuffer(bytes.fromhex(h), ">u8").astype(np.uint64)
+    kind, h = s.split(":")
+    h = np.frombuffer(bytes.fromhex(h), ">u8").astype(np.uint64)
+    return Sketch(h, None) if kind == "p" else _sketch(h)
 
 
 def with_next(df: DataFrame, run, schema: str) -> DataFrame:

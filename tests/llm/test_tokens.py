@@ -173,8 +173,8 @@ def test_sketch_estimates_containment():
     assert fingerprint.containment(b, a) == 1.0
     assert abs(fingerprint.containment(a, b) - 0.1) < 0.04
     again = fingerprint.from_hex(fingerprint.to_hex(a))
-    assert again[0] == a[0] == 3 and np.array_equal(again[1], a[1])
-    assert len(a[1]) == sum(h < 2**61 for h in brute_sketch(whole))
+    assert again.own is a.own is None and np.array_equal(again.kept, a.kept)
+    assert len(a.kept) == sum(h < 2**62 for h in brute_sketch(whole))
 
 
 @pytest.mark.parametrize("n", [4, 36, 37, 60, 68, 69, 130, 260, 270, 2000])
@@ -185,10 +185,27 @@ def test_merged_parts_give_the_sketch_of_the_whole(n):
     for cut in (5, n // 3, n // 2, n - 7):
         if 5 <= cut <= n - 5:
             parts = fingerprint.merge(fingerprint.sketch(" ".join(words[:cut])), fingerprint.sketch(" ".join(words[cut - 4 :])))
-            at = fingerprint.at_level(parts, whole[0])
-            assert at[0] == whole[0] and np.array_equal(at[1], whole[1])
-    kept = {h for h in brute_sketch(" ".join(words)) if h < 2 ** (64 - whole[0])}
-    assert set(whole[1].tolist()) == kept and whole[0] == (0 if n <= 36 else 1 if n <= 68 else 2 if n <= 132 else 3)
+            assert fingerprint.to_hex(parts) == fingerprint.to_hex(whole)
+    every = brute_sketch(" ".join(words))
+    assert set(whole.kept.tolist()) == {h for h in every if h < 2**62}  # one fraction for all sizes
+    assert (set(whole.own.tolist()) == every) if n <= 68 else whole.own is None
+
+
+@pytest.mark.parametrize("n, unknown", [(5, 0.24), (30, 0.0002), (65, 0.0)])
+def test_short_texts_inside_long_ones(n, unknown):
+    """A text that stands whole inside one of 3,000 shingles is found whole, or said to be unknown; a stranger never is."""
+    rng = random.Random(n)
+    missing = 0
+    for _ in range(300):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3004)]
+        at = rng.randrange(2000)
+        part, long = fingerprint.sketch(" ".join(words[at : at + n + 4])), fingerprint.sketch(" ".join(words))
+        got = fingerprint.containment(part, long)
+        assert got in (fingerprint.UNKNOWN, 1.0)
+        missing += got == fingerprint.UNKNOWN
+        assert fingerprint.containment(fingerprint.sketch(" ".join("z" + w for w in words[:n])), long) in (fingerprint.UNKNOWN, 0.0)
+        assert fingerprint.containment(long, part) <= n / 3000 + 0.03
+    assert abs(missing / 300 - unknown) < 0.08
 
 
 def test_short_texts_are_compared_exactly():
