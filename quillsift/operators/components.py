@@ -18,9 +18,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors (``spark.checkpoint.dir``); a temporary one if unset, as in tests."""
+    """The folder shared by driver and executors (``spark.checkpoint.dir``).
+
+    Where it is unset, as in tests, a session in one process gets a temporary one;
+    on a cluster that is an error, as its machines would not share it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quillsift-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

@@ -67,13 +67,6 @@ def hamming_pairs(df: DataFrame, fp: str, limit: int) -> DataFrame:
     return j.where(F.array_position(close, True) == F.col("band") + 1).select("fp_a", "fp_b", "distance")
 
 
-def nearest_fingerprints(queries: DataFrame, base: DataFrame, key: str, fp: str, limit: int) -> DataFrame:
-    """Nearest fingerprint of ``base`` for each query row, up to ``limit`` bits; ties take the least one."""
-    q, d = banded(queries.select(key, F.col(fp).alias("fp")), "fp", limit, flipped=True), banded(base.select(F.col(fp).alias("other")).where("other IS NOT NULL").distinct(), "other", limit)
-    j = q.join(d, ["band", "bits"]).withColumn("distance", hamming("fp", "other").cast("int")).where(F.col("distance") <= limit)
-    return j.groupBy(key).agg(F.min(F.struct("distance", "other")).alias("_m")).select(key, F.col("_m.distance").alias("distance"), F.col("_m.other").alias("nearest"))
-
-
 def dihedral(hashes: DataFrame, owner: str, column: str) -> DataFrame:
     """One row for each hash of an owner's turned and mirrored forms."""
     return hashes.select(owner, F.explode(column).alias("fp"))

@@ -56,6 +56,17 @@ def visit_changes(spark, sf_dir):
     return d.select("user_id", "event_type", "older_event_id", "newer_event_id", "confidence", "status", r6(F.col("area_change_pct")).alias("area_change_pct"), "notable_area", "reliability")
 
 
+@query(f"""WITH {_PAIRS_SQL},
+c AS (SELECT newer_event_id, older_k > 10 AS measurable, ((1.7::DOUBLE * (newer_k - older_k) + 90) % 180 + 180) % 180 - 90 AS hue, newer_k - older_k AS sat, newer_value - older_value AS val FROM p),
+m AS (SELECT newer_event_id, CASE WHEN measurable THEN sqrt(hue * hue + sat * sat + val * val) END AS shift FROM c)
+SELECT newer_event_id, round(shift, 6) AS colour_magnitude, coalesce(shift >= 28, false) AS notable_colour FROM m""")
+def colour_shifts(spark, sf_dir):
+    """How far each spot's colour moved between visits, hue on its circle; null where it cannot be measured."""
+    d = _pairs(spark, sf_dir).withColumn("measurable", F.col("older_k") > 10).withColumn("hue_0", 1.7 * F.col("older_k")).withColumn("hue_1", 1.7 * F.col("newer_k"))
+    d = compare.colour_shift(d, ("hue_0", "hue_1"), ("older_k", "newer_k"), ("older_value", "newer_value"), "measurable")
+    return d.select("newer_event_id", r6(F.col("colour_magnitude")).alias("colour_magnitude"), "notable_colour")
+
+
 @query(f"""WITH {_CHANGES_SQL}, v AS (SELECT ok, CASE WHEN ok THEN pct END AS area_change_pct, coalesce(ok AND abs(pct) >= 10, false) AS notable_area, CASE WHEN ok THEN 'any' END AS reliability FROM c)
 SELECT count(*) AS n_broken FROM v WHERE NOT ok AND (area_change_pct IS NOT NULL OR reliability IS NOT NULL OR notable_area)""")
 def refusals_carry_nothing(spark, sf_dir):

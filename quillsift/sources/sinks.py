@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillsift.operators.filters import guarded, quality_label
+from quillsift.operators.metrics import running_counts
 
 
 def write_manifest(df: DataFrame, path: str, split: str = "split") -> None:
@@ -33,9 +34,16 @@ def report_lines(df: DataFrame, pattern: str, columns: list[str]) -> DataFrame:
 
 
 def export_names(df: DataFrame, split: str, label: str, key: str) -> DataFrame:
-    """A numbered name for each row within its split and class."""
-    n = F.row_number().over(W.partitionBy(split, label).orderBy(key)) - 1
-    return df.withColumn("export_name", F.format_string("%s_%05d", F.col(label), n))
+    """A numbered name for each row within its split and class, in the order of the key (null first).
+
+    Numbers are counts of the keys before, added up over ranges of keys; only rows
+    of one key are ranked together.
+    """
+    d = df.withColumn("_key", F.struct(key))  # a struct is never null
+    first = running_counts(d, [split, label], "_key").select(F.col(split).alias("_split"), F.col(label).alias("_label"), F.col("_key").alias("_k"), (F.col("upto") - F.col("n")).alias("_first"))
+    d = d.join(first, F.col(split).eqNullSafe(F.col("_split")) & F.col(label).eqNullSafe(F.col("_label")) & F.col("_key").eqNullSafe(F.col("_k")))
+    n = F.col("_first") + F.row_number().over(W.partitionBy(split, label, "_key").orderBy(F.lit(0))) - 1
+    return d.withColumn("export_name", F.format_string("%s_%05d", F.col(label), n)).select(*df.columns, "export_name")
 
 
 def missing_only(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -346,3 +346,19 @@ def test_recycled_sample_and_restricted_matches(spark):
     near = spark.createDataFrame([("out/b.png", "setone", 3)], "path string, dataset string, distance int")
     assert rows(joins.restricted_matches(files, near, ["setone", "settwo"])) == [("out/SetOne/a.png", "setone", 0, "named"), ("out/b.png", "setone", 3, "alike")]
     assert rows(joins.exists_in(files, near, ["path"])) == [("out/b.png",)]
+
+
+def test_the_shared_folder_is_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from quillsift.operators import components
+
+    def session(**settings):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: settings.get(k, d), set=settings.__setitem__))
+
+    assert components.shared_dir(session(**{"spark.checkpoint.dir": "x:/y", "spark.master": "yarn"})) == "x:/y"
+    for master in ("yarn", "spark://a:1", "local-cluster[2,1,900]"):
+        with pytest.raises(RuntimeError):
+            components.shared_dir(session(**{"spark.master": master}))
+    monkeypatch.setattr(components.tempfile, "mkdtemp", lambda prefix: prefix)
+    assert components.shared_dir(session(**{"spark.master": "local[4]"})) == "quillsift-"

@@ -170,3 +170,11 @@ def test_live_query(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == [(0, 5)]
+
+
+def test_export_names_number_every_row(spark):
+    table = [("train", "a", k) for k in (5, 3, None, 3, 9)] + [("val", "a", 1), ("train", None, 2), (None, "b", 2)]
+    df = spark.createDataFrame(table, "split string, label string, key int")
+    got = sorted(((r.split, r.label, r.key, r.export_name) for r in sinks.export_names(df, "split", "label", "key").collect()), key=repr)
+    assert [x for x in got if x[:2] == ("train", "a")] == sorted([("train", "a", None, "a_00000"), ("train", "a", 3, "a_00001"), ("train", "a", 3, "a_00002"), ("train", "a", 5, "a_00003"), ("train", "a", 9, "a_00004")], key=repr)
+    assert len(got) == len(table) and ("val", "a", 1, "a_00000") in got and (None, "b", 2, "b_00000") in got
