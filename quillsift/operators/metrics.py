@@ -188,6 +188,36 @@ def bootstrap_interval(df: DataFrame, key: str, value: str, resamples: int = 200
     return counted.groupBy(key).applyInArrow(run, f"{key} {kind}, n long, mean double, low double, high double")
 
 
+#: Chances that a Poisson draw of mean 1 is at most 0, 1, 2 ...; beyond the last one 32 bits tell nothing more.
+POISSON = tuple(np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 10)])).tolist())
+
+
+def drawn_interval(df: DataFrame, key: str, id_col: str, value: str, resamples: int = 400, seed: int = 42) -> DataFrame:
+    """(key, n, mean, low, high): percentile interval of resampled means, each row weighted by draws of its own.
+
+    In each resample a row counts as often as a Poisson draw of mean 1 says, made by
+    md5 of seed, id and resample (four from one digest).  Weights and weighted values
+    are summed before anything is shuffled, so a group is ``resamples`` pairs of
+    numbers, however many rows it has.  Null values are left out; low and high are
+    null under two values.
+    """
+    d = df.where(F.col(value).isNotNull()).select(key, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.col(value).cast("double").alias("_v"))
+    blocks = F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1))
+    digest = lambda g: F.md5(F.concat(F.lit(f"{seed}:"), F.col("_id"), F.lit(":"), g.cast("string")).cast("binary"))
+    d = d.select(key, "_v", F.explode(F.transform(blocks, lambda g: F.struct(g.alias("g"), digest(g).alias("h")))).alias("_b"))
+
+    def weight(k: int) -> Column:
+        u = F.conv(F.substring("_b.h", 8 * k + 1, 8), 16, 10).cast("double") / 2.0**32
+        return sum((F.when(u >= t, 1).otherwise(0) for t in POISSON), F.lit(0))
+
+    sums = d.groupBy(key, "_b.g").agg(*(x for k in range(4) for x in (F.sum(weight(k)).alias(f"_w{k}"), F.sum(weight(k) * F.col("_v")).alias(f"_s{k}"))))
+    means = sums.select(key, F.explode(F.array(*(F.struct((F.col("g") * 4 + k).alias("i"), F.try_divide(f"_s{k}", f"_w{k}").alias("m")) for k in range(4)))).alias("_r")).where(F.col("_r.i") < resamples)
+    ends = means.groupBy(key).agg(F.percentile("_r.m", F.lit(0.025)).alias("low"), F.percentile("_r.m", F.lit(0.975)).alias("high"))
+    whole = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
+    many = F.col("n") >= 2
+    return beside(whole, ends, key).select(key, "n", "mean", F.when(many, F.col("low")).alias("low"), F.when(many, F.col("high")).alias("high"))
+
+
 def compared(old, new, higher_is_better: bool) -> Column:
     """same, better or WORSE of a metric in two arms."""
     d = (c(new) - c(old)) * (1 if higher_is_better else -1)

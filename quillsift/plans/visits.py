@@ -249,11 +249,20 @@ def greedy_matches(spark, sf_dir):
     return compare.match_states(a, b, m, "pair").withColumn("iou", r6(F.col("iou")))
 
 
-@query()
+_POISSON_SQL = " + ".join(f"(u >= {t!r})::INT" for t in metrics.POISSON)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, lang, toxic FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL),
+b AS (SELECT lang, toxic, md5('42:' || doc_id || ':' || g) AS h, g FROM d, (SELECT unnest(range(0, 100)) AS g)),
+w AS (SELECT lang, toxic, g * 4 + k AS i, ('0x' || substr(h, 8 * k + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM b, (SELECT unnest(range(0, 4)) AS k)),
+m AS (SELECT lang, i, sum(toxic * ({_POISSON_SQL}))::DOUBLE / nullif(sum({_POISSON_SQL}), 0) AS m FROM w GROUP BY lang, i),
+e AS (SELECT lang, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY lang)
+SELECT lang, n, round(mean, 6) AS mean, CASE WHEN n >= 2 THEN round(low, 6) END AS low, CASE WHEN n >= 2 THEN round(high, 6) END AS high FROM (SELECT lang, count(*) AS n, avg(toxic) AS mean FROM d GROUP BY lang) JOIN e USING (lang)""")
 def bootstrap_by_lang(spark, sf_dir):
-    """Interval of the toxic share per language; tests hold it against a plain resampling."""
+    """Interval of the toxic share per language, from 400 resamples."""
     d = t(spark, sf_dir, "documents").select("doc_id", "lang").join(t(spark, sf_dir, "labels"), "doc_id")
-    return metrics.bootstrap_interval(d, "lang", "toxic")
+    return metrics.drawn_interval(d, "lang", "doc_id", "toxic").select("lang", "n", *(r6(F.col(x)).alias(x) for x in ("mean", "low", "high")))
 
 
 @query("""

@@ -348,6 +348,16 @@ def test_recycled_sample_and_restricted_matches(spark):
     assert rows(joins.exists_in(files, near, ["path"])) == [("out/b.png",)]
 
 
+def test_drawn_interval_covers_the_mean(spark):
+    df = spark.createDataFrame([("a", i, i % 2) for i in range(400)] + [("b", 1, 1), ("c", 2, None), (None, 3, 4), (None, None, 6)], "k string, id long, v int")
+    got = {r.k: r for r in metrics.drawn_interval(df, "k", "id", "v", resamples=403).collect()}
+    # the deviation of a mean of 400 draws of 0 or 1 is 1/40
+    assert set(got) == {"a", "b", None} and got["a"].mean == 0.5 and abs(got["a"].low - 0.451) < 0.02 and abs(got["a"].high - 0.549) < 0.02
+    assert (got["b"].n, got["b"].low, got[None].n, got[None].mean) == (1, None, 2, 5.0)
+    assert abs(metrics.POISSON[0] - np.exp(-1)) < 1e-12 and abs(metrics.POISSON[2] - 2.5 * np.exp(-1)) < 1e-12
+    assert metrics.drawn_interval(df.limit(0), "k", "id", "v").count() == 0
+
+
 def test_the_shared_folder_is_named_on_a_cluster(monkeypatch):
     from types import SimpleNamespace
 
