@@ -14,13 +14,14 @@ likeness is UNKNOWN, 0.5.  A fingerprint is ``w:`` and all hashes, or ``p:`` and
 kept ones, sorted, in hex.
 
 ``with_next`` pairs each row with the next one by id without a global sort in
-one task: ranges of ids are dealt to tasks, and the first row of each range is
-also sent to the range before it.
+one task: ranges of (id, hash of the text) are dealt to tasks, so that very many rows
+of one id are split too, and the first row of each range is also sent to the range
+before it.
 
 Edge cases: a null text counts as empty; a text without words has the empty
 fingerprint, equal only to another empty one (likeness 1, else 0); very long texts
 count with all their shingles, repeated ones once; null ids come
-first; rows with equal ids follow each other by text; a single row is its own
+first; rows with equal ids follow each other by the hash of their text; a single row is its own
 next one; an empty table gives an empty result; other columns are not read.
 """
 
@@ -42,8 +43,8 @@ from quillsift.llm.common import table, whole_text
 SHINGLE_WORDS = 5
 #: One hash in 2 ** LEVEL is kept; distinct shingles up to which a text has all of them beside that; likeness where nothing is left to compare.
 LEVEL, OWN, UNKNOWN = 2, 64, 0.5
-#: Rows of a range of ids, and the most ranges (their bounds are the only thing the driver holds).
-RANGE_ROWS, MOST_RANGES = 2000, 1 << 16
+#: Rows of a range of ids, and the most ranges; sampled rows of a range (16 bytes each, the only thing the driver holds).
+RANGE_ROWS, MOST_RANGES, SAMPLE = 2000, 1 << 16, 20
 MEMO_WORDS = 200_000
 
 
@@ -136,25 +137,30 @@ def with_next(df: DataFrame, run, schema: str) -> DataFrame:
     ``run`` maps an iterator of (doc_id, text, next_text) to record batches.
     """
     spark = df.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    n = df.count()
+    d = df.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_k"), F.xxhash64("text").alias("_h"))
+    n, low = d.agg(F.count(F.lit(1)), F.min(F.struct("_k", "_h"))).first()
     ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
-    first, cuts = df.select(key.alias("k")).agg(F.min("k"), F.percentile_approx("k", F.lit([i / ranges for i in range(1, ranges)] or [0.5]), F.lit(max(10_000, 20 * ranges)))).first()
-    bounds = np.unique(np.array([c for c in cuts or () if c > first] if ranges > 1 else [], np.int64))
-    shared = spark.sparkContext.broadcast((first, bounds))
+    pairs = np.dtype([("k", "<i8"), ("h", "<i8")])
+    bounds = np.empty(0, pairs)
+    if ranges > 1:  # from a sample of some SAMPLE rows a range
+        some = np.sort(np.array([tuple(r) for r in d.select("_k", "_h").sample(min(1.0, SAMPLE * ranges / n), 42).toLocalIterator()], pairs))
+        bounds = np.unique(some[np.arange(1, ranges) * len(some) // ranges]) if len(some) else some
+        bounds = bounds[bounds != np.array(tuple(low), pairs)]
+    shared = spark.sparkContext.broadcast((np.array([tuple(low)] if n else [], pairs), bounds))
 
     @F.pandas_udf("array<int>")
-    def targets(k: pd.Series) -> pd.Series:
-        low, cut = shared.value
-        ids = k.to_numpy()
-        at = np.searchsorted(cut, ids, side="right")
-        heads = np.concatenate([[False], np.ones(len(cut), bool)])[at] & (np.concatenate([[low], cut])[at] == ids)
+    def targets(k: pd.Series, h: pd.Series) -> pd.Series:
+        least, cut = shared.value
+        rows = np.empty(len(k), cut.dtype)
+        rows["k"], rows["h"] = k, h
+        at = np.searchsorted(cut, rows, side="right")
+        heads = (at > 0) & (np.concatenate([least, cut])[at] == rows)
         # even: the row itself; odd: a copy for the end of the range before
-        return pd.Series([[2 * a] + ([2 * a - 1] if head else []) + ([2 * len(cut) + 1] if i == low else []) for a, head, i in zip(at.tolist(), heads.tolist(), ids.tolist())])
+        return pd.Series([[2 * a] + ([2 * a - 1] if head else []) + ([2 * len(cut) + 1] if first else []) for a, head, first in zip(at.tolist(), heads.tolist(), (rows == least).tolist())])
 
-    d = df.select("doc_id", "text", key.alias("_k")).withColumn("_to", F.explode(targets("_k")))
-    d = d.select(F.expr("shiftright(_to, 1)").alias("_range"), (F.col("_to") % 2 == 1).alias("_copy"), "_k", "doc_id", "text")
-    d = d.repartition("_range").sortWithinPartitions("_range", "_copy", "_k", "text").drop("_k")
+    d = d.withColumn("_to", F.explode(targets("_k", "_h")))
+    d = d.select(F.expr("shiftright(_to, 1)").alias("_range"), (F.col("_to") % 2 == 1).alias("_copy"), "_k", "_h", "doc_id", "text")
+    d = d.repartition("_range").sortWithinPartitions("_range", "_copy", "_k", "_h", "text").drop("_k", "_h")
 
     def triples(batches: Iterator[pa.RecordBatch]):
         at, held = None, None

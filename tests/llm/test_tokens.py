@@ -231,6 +231,25 @@ def test_op3_against_a_loop(spark, monkeypatch):
         assert r.near_next == fingerprint.containment(fingerprint.sketch(a), fingerprint.sketch(b))
 
 
+def test_rows_of_one_id_are_dealt_to_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 10)
+    from pyspark.sql import functions as F
+
+    texts = [(None if i % 3 else i, f"text number {i % 90} of all") for i in range(200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    order = [r.text for r in df.withColumn("h", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_first(), "h", "text").collect()]
+    seen = []
+
+    def run(triples):
+        import pyarrow as pa
+
+        for _, a, b in triples:
+            yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b])], ["a", "b"])
+
+    seen = sorted((r.a, r.b) for r in fingerprint.with_next(df, run, "a string, b string").collect())
+    assert seen == sorted(zip(order, order[1:] + order[:1]))
+
+
 def test_fingerprint_edges(awkward, nothing, spark):
     d = fingerprint.compare_edited(awkward).collect()
     assert len(d) == awkward.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in d)
