@@ -12,6 +12,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,23 +165,45 @@ def _size(b: bytes) -> tuple[int, int]:
     raise ValueError("no known header")
 
 
+#: Bytes of a file that are read for its header; a longer header (large metadata before the frame) takes the whole file.
+HEADER_BYTES = 1 << 16
+
+
+def _opened_size(path: str):
+    """Width and height of the file at a path or address, by its first bytes."""
+    address = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+    store, inner = fs.FileSystem.from_uri(address)
+    with store.open_input_file(inner) as f:
+        try:
+            return _size(f.read(HEADER_BYTES))
+        except (ValueError, struct.error, IndexError):
+            if f.size() <= HEADER_BYTES:
+                raise
+            f.seek(0)
+            return _size(f.read())
+
+
 def image_sizes(images: DataFrame) -> DataFrame:
-    """(path, width, height, error) of files with their content, by their headers alone; what cannot be read has an error.
+    """(path, width, height, error) of image files; what cannot be read has an error.
 
+    Without a ``content`` column each file is opened where the task runs and only
+    its first HEADER_BYTES are read (the store must be one that Arrow opens).  With
+    one, for stores that only Spark reads, the header is taken from the content.
     Spark's file scan itself leaves out files without a byte.
     """
+    held = "content" in images.columns
 
     def run(batches):
         for batch in batches:
             out = []
-            for path, content in zip(batch.path, batch.content):
+            for path, content in zip(batch.path, batch.content if held else batch.path):
                 try:
-                    out.append((path, *_size(bytes(content)), None))
+                    out.append((path, *(_size(bytes(content)) if held else _opened_size(path)), None))
                 except Exception as e:  # any damage is a row of the report
                     out.append((path, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=["path", "width", "height", "error"]).astype({"width": "Int64", "height": "Int64"})
 
-    return images.select("path", "content").mapInPandas(run, "path string, width long, height long, error string")
+    return images.select("path", *(["content"] if held else [])).mapInPandas(run, "path string, width long, height long, error string")
 
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"

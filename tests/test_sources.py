@@ -118,6 +118,11 @@ def test_image_sizes_by_header(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     got = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.error is None) for r in scans.image_sizes(scans.images(spark, str(tmp_path), content=True)).collect()}
     assert got == {"a.png": (640, 480, True), "b.jpg": (44, 33, True), "c.webp": (100, 50, True), "d.bmp": (7, 9, True), "e.jpg": (None, None, False), "f.png": (None, None, False)}
+    # by opening the files: a long comment before the frame takes more than the first bytes
+    comment = b"\xff\xfe" + struct.pack(">H", 40_002) + bytes(40_000)
+    (tmp_path / "g.jpg").write_bytes(b"\xff\xd8" + comment * 2 + jpeg[10:])
+    opened = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.error is None) for r in scans.image_sizes(scans.images(spark, str(tmp_path))).collect()}
+    assert opened == got | {"g.jpg": (44, 33, True)}
 
 
 def test_workbook_and_descriptors(spark, tmp_path):
