@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -33,6 +35,29 @@ def test_banded_join_finds_every_pair(spark):
         assert hamming.hamming_pairs(d, "fp", limit).count() == len(want)
 
 
+def within(fps, limit):
+    fps = np.unique(fps)
+    out = set()
+    for i in range(0, len(fps), 64):
+        d = np.bitwise_count((fps[i : i + 64, None] ^ fps[i:]).view(np.uint64))
+        a, b = np.nonzero(d <= limit)
+        out.update((int(fps[i + x]), int(fps[i + y])) for x, y in zip(a, b) if x < y)
+    return out
+
+
+def test_many_forms_meet_at_a_limit_of_12(spark):
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 2**63, 80000, dtype=np.int64)
+    fps[:300] = fps[300:600] ^ (np.int64(1) << rng.integers(0, 63, (300, 12))).sum(axis=1)
+    fps[600:700] &= (1 << 50) - 1  # one bucket of the last bands
+    d = spark.createDataFrame(pd.DataFrame({"owner": np.arange(80000) // 8, "fp": fps})).groupBy("owner").agg(F.collect_list("fp").alias("forms"))
+    began = time.time()
+    got = {(r.owner_a, r.owner_b) for r in hamming.owner_pairs(d, "owner", "forms", 12).collect()}
+    assert time.time() - began < 60  # a row for each two strangers with a like band took minutes
+    at = {int(f): i // 8 for i, f in enumerate(fps)}
+    assert got == {tuple(sorted((at[a], at[b]))) for a, b in within(fps, 12) if at[a] != at[b]} and len(got) >= 250
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(2, 50)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     d = spark.createDataFrame(edges, "a long, b long")
