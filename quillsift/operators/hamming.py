@@ -74,7 +74,7 @@ def hamming_pairs(df: DataFrame, fp: str, limit: int) -> DataFrame:
     first band in which both are close, so no pair has to be dropped as a duplicate.
     """
     d = df.select(F.col(fp).alias("fp")).where("fp IS NOT NULL").distinct()
-    if JOINED < limit <= BANDED:
+    if limit > JOINED:
         return _block_pairs(written(d, "distinct"), limit)
     a = banded(d.select(F.col("fp").alias("fp_a")), "fp_a", limit, flipped=True)
     b = banded(d.select(F.col("fp").alias("fp_b")), "fp_b", limit)

@@ -58,6 +58,16 @@ def test_many_forms_meet_at_a_limit_of_12(spark):
     assert got == {tuple(sorted((at[a], at[b]))) for a, b in within(fps, 12) if at[a] != at[b]} and len(got) >= 250
 
 
+def test_many_fingerprints_meet_at_a_limit_of_20(spark):
+    fps = np.random.default_rng(6).integers(0, 2**63, 60000, dtype=np.int64)
+    d = spark.createDataFrame(pd.DataFrame({"fp": fps}))
+    began = time.time()
+    got = hamming.hamming_pairs(d, "fp", 20).agg(F.count("*"), F.count_distinct("fp_a", "fp_b"), F.count_if(F.col("fp_a") >= F.col("fp_b")), F.count_if(F.col("distance") != F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))), F.max("distance")).first()
+    assert time.time() - began < 60  # half of all pairs were rows
+    n = sum(int((np.bitwise_count((f ^ fps[i + 1 :]).view(np.uint64)) <= 20).sum()) for i, f in enumerate(fps))
+    assert tuple(got) == (n, n, 0, 0, 20)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(2, 50)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     d = spark.createDataFrame(edges, "a long, b long")
