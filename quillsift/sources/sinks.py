@@ -33,17 +33,20 @@ def report_lines(df: DataFrame, pattern: str, columns: list[str]) -> DataFrame:
     return df.select(F.format_string(pattern, *columns).alias("line"))
 
 
-def export_names(df: DataFrame, split: str, label: str, key: str) -> DataFrame:
-    """A numbered name for each row within its split and class, in the order of the key (null first).
+def export_names(df: DataFrame, split: str, label: str, key: str, width: int | None = None) -> DataFrame:
+    """A numbered name for each row within its split and class, in the order of the key (null first); null without a class.
 
     Numbers are counts of the keys before, added up over ranges of keys; only rows
-    of one key are ranked together.
+    of one key are ranked together.  They have five digits, or as many as they
+    need; with a ``width`` they have exactly so many, as SQL's lpad writes them:
+    the digits beyond are lost, and names repeat.
     """
     d = df.withColumn("_key", F.struct(key))  # a struct is never null
     first = running_counts(d, [split, label], "_key").select(F.col(split).alias("_split"), F.col(label).alias("_label"), F.col("_key").alias("_k"), (F.col("upto") - F.col("n")).alias("_first"))
     d = d.join(first, F.col(split).eqNullSafe(F.col("_split")) & F.col(label).eqNullSafe(F.col("_label")) & F.col("_key").eqNullSafe(F.col("_k")))
     n = F.col("_first") + F.row_number().over(W.partitionBy(split, label, "_key").orderBy(F.lit(0))) - 1
-    return d.withColumn("export_name", F.format_string("%s_%05d", F.col(label), n)).select(*df.columns, "export_name")
+    digits = F.format_string("%05d", n) if width is None else F.lpad(n.cast("string"), width, "0")
+    return d.withColumn("export_name", F.concat(F.col(label), F.lit("_"), digits)).select(*df.columns, "export_name")
 
 
 def missing_only(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import struct
 import zipfile
 import zlib
 
+import duckdb
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -183,3 +184,17 @@ def test_export_names_number_every_row(spark):
     got = sorted(((r.split, r.label, r.key, r.export_name) for r in sinks.export_names(df, "split", "label", "key").collect()), key=repr)
     assert [x for x in got if x[:2] == ("train", "a")] == sorted([("train", "a", None, "a_00000"), ("train", "a", 3, "a_00001"), ("train", "a", 3, "a_00002"), ("train", "a", 5, "a_00003"), ("train", "a", 9, "a_00004")], key=repr)
     assert len(got) == len(table) and ("val", "a", 1, "a_00000") in got and (None, "b", 2, "b_00000") in got
+
+
+def test_export_names_beyond_five_digits(spark, tmp_path):
+    from quillsift.plans import catalog
+
+    d = spark.range(130_000).select(F.col("id").alias("c_custkey"), F.when(F.col("id") != 7, "BUILDING").alias("c_mktsegment"))
+    d.write.parquet(str(tmp_path / "customer.parquet"))
+    got = sorted((r.c_custkey, r.split, r.export_name or "") for r in catalog.queries()["export_names"](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == sorted((k, split, name or "") for split, name, k in c.sql(catalog.oracle_sql()["export_names"]).fetchall())
+    whole = sinks.export_names(d.withColumn("split", F.lit("all")), "split", "c_mktsegment", "c_custkey")
+    assert whole.agg(F.count_distinct("export_name")).first()[0] == 129_999 and whole.agg(F.max("export_name")).first()[0] == "BUILDING_99999"
+    assert whole.where("c_custkey = 129999").first().export_name == "BUILDING_129998"
