@@ -230,6 +230,20 @@ def test_draws_are_different_numbers_by_md5():
         assert row.tolist() == want
 
 
+def test_consensus_draws_until_it_is_found(spark):
+    rng, wrong = random.Random(8), [(7 * i + 30978) % 10 < 6 for i in range(32)]
+    assert not any(not any(wrong[i] for i in draw) for draw in consensus.draws("30978", 32, 512, 42))  # none of the first draws is all true
+    m = []
+    for i in range(32):
+        x, y = rng.gauss(320, 100), rng.gauss(240, 75)
+        m.append((1.1 * x - 0.1 * y + 5 + (60.0 + i * 37 % 97 if wrong[i] else 0), 0.1 * x + 0.9 * y - 3 - (40.0 + i * 53 % 89 if wrong[i] else 0), x, y))
+    df = spark.createDataFrame([("30978", m)], "key string, m array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    got = consensus.consensus(df, "key", "m", least=10).first()
+    assert got.inliers == [i for i in range(32) if not wrong[i]] and got.reason is None and abs(got.h[0][2] - 5) < 1e-6
+    hopeless = np.random.default_rng(9).uniform(0, 500, (30, 4))
+    assert 4 <= consensus.fit("k", hopeless, 512, 4.0, 42)["n_inliers"] < 10  # ends all the same
+
+
 def test_consensus_agrees_with_a_loop(spark):
     rng = random.Random(3)
     true = np.array([[1.05, 0.04, 12.0], [-0.03, 0.97, -7.0], [1e-5, -2e-5, 1.0]])
