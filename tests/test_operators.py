@@ -68,6 +68,35 @@ def test_many_fingerprints_meet_at_a_limit_of_20(spark):
     assert tuple(got) == (n, n, 0, 0, 20)
 
 
+def test_two_nearest_of_many_rows(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    v = rng.normal(0, 0.1, (60000, 64)).astype(np.float32)
+    v[1:40] = v[0]  # copies: the least keys count
+    pd.DataFrame({"id": np.arange(60000), "v": list(v)}).to_parquet(tmp_path / "v.parquet")
+    table = spark.read.parquet(str(tmp_path / "v.parquet"))
+    began = time.time()
+    j = joins.nearest_two(table.where("id % 100 = 0").withColumnRenamed("id", "a"), table.withColumnRenamed("id", "b"), "a", "b", "v")
+    got = {(r.a, r.b, r.d1, r.d2) for r in joins.ratio_test(j, "a", "b", "distance", 2.0).collect()}
+    assert time.time() - began < 60  # 36 million distances as expressions took minutes
+    want = set()
+    for a in range(0, 60000, 100):
+        d = ((v[a].astype(float) - v.astype(float)) ** 2).cumsum(axis=1)[:, -1]
+        d[a] = np.inf
+        b, second = np.lexsort((np.arange(60000), d))[:2]
+        want |= {(a, int(b), float(d[b]), float(d[second]))} if d[b] < 2 * d[second] else set()
+    assert got == want and len(got) == 599
+
+
+def test_two_nearest_with_gaps(spark):
+    nan = float("nan")
+    table = [(0, [0.0, 0.0]), (1, [1.0, None]), (2, [3.0]), (3, None), (4, [None, 2.0]), (5, [nan, 0.0]), (6, []), (7, [1e200, 0.0]), (None, [0.0, 0.0])]
+    d = spark.createDataFrame(table, "id long, v array<double>")
+    j = joins.nearest_two(d.where("id = 0").withColumnRenamed("id", "a"), d.withColumnRenamed("id", "b"), "a", "b", "v")
+    assert {(1, 1.0), (4, 4.0)} <= {(r.b, r.distance) for r in j.collect()}
+    r = joins.ratio_test(j, "a", "b", "distance", 0.95).first()
+    assert (r.a, r.b, r.d1, r.d2) == (0, 1, 1.0, 4.0)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(2, 50)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     d = spark.createDataFrame(edges, "a long, b long")
